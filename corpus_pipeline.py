@@ -35,7 +35,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = materialize(simhash.simhash_groups(docs).select("doc_id", "component_id"))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    ids = docs.join(kept, "doc_id", "left_semi")
+    ids = docs.join(kept.hint("merge"), "doc_id", "left_semi")
     first = ids.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.xxhash64(*COLUMNS[1:])).alias("row"))
     nameless = docs.where("doc_id is null").select(*COLUMNS)
     return first.select("doc_id", "row.*").select(*COLUMNS).union(nameless)

@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Two shuffles carry text: chunk bodies to their group (each body once per map task), and documents to their removals.
     A chunk that stands in a third of all documents is combined on the map side, and its occurrences meet only a join
-    that adaptive execution splits.
+    that adaptive execution splits. Both join sides grow with the input, so they are never broadcast.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = source.mapInArrow(_chunks, "id long, first int, lines int, h long, body string")
@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = materialize(groups.select("h", F.col("at.id").alias("keep_id"), F.col("at.first").alias("keep_first"), F.octet_length("body").alias("size"), F.md5("body").alias("digest")))
     spots = found.select("id", "first", "lines", "h", F.octet_length("body").alias("size"), F.md5("body").alias("digest"))
     drop = (
-        spots.join(repeated, ["h", "size", "digest"])
+        spots.join(repeated.hint("merge"), ["h", "size", "digest"])
         .where("not (id = keep_id and first = keep_first)")
         .select("id", "first", "lines")
         .groupBy(F.col("id").alias("_drop_id"))
@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _without(docs: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keep = [c for c in docs.columns if c != "removed_lines"]
-    joined = docs.select(*keep).join(drop, F.col(id_col).cast("long") == F.col("_drop_id"), "left")
+    joined = docs.select(*keep).join(drop.hint("merge"), F.col(id_col).cast("long") == F.col("_drop_id"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda _, k: ~F.exists("_drops", lambda d: (k >= d["first"]) & (k < d["first"] + d["lines"])))
     text = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
