@@ -52,6 +52,14 @@ def with_fields(schema: T.StructType, *added: tuple[str, str]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, T.LongType() if t == "long" else T.DoubleType() if t == "double" else T.StringType()) for n, t in added)])
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column has it (names are compared without case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corviq.llm.common import materialize, rows_of, with_fields
+from corviq.llm.common import fresh, materialize, rows_of, with_fields
 
 UNKNOWN = "und"
 PROFILE = 400
@@ -126,10 +126,10 @@ class Profiles:
         return self.langs[best], 1.0 - float(away[best]) / (self.most * len(top))
 
 
-def _predict(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], most: int) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], most: int, hidden: str) -> Iterator[pa.RecordBatch]:
     model = Profiles(profiles, most)
     for batch in batches:
-        at = batch.schema.get_field_index("_corviq_text")
+        at = batch.schema.get_field_index(hidden)
         found = [model.predict(t) for t in batch.column(at).to_pylist()]
         kept = [k for k in range(batch.num_columns) if k != at]
         columns = [batch.column(k) for k in kept]
@@ -145,6 +145,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     Null texts and texts without a letter are ``und`` with score 0; so is everything if there are no profiles.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = docs.select(*columns, F.col(text_col).alias("_corviq_text"))
+    hidden = fresh("_text", columns)
+    source = docs.select(*columns, F.col(text_col).alias(hidden))
     schema = with_fields(docs.select(*columns).schema, ("lang_pred", "string"), ("score", "double"))
-    return source.mapInArrow(lambda it: _predict(it, profiles, most), schema)
+    return source.mapInArrow(lambda it: _predict(it, profiles, most, hidden), schema)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corviq.llm.common import materialize, rows_of
+from corviq.llm.common import fresh, materialize, rows_of
 
 LONG_LINE, LEAST_WORDS, LEAST_LINES, MOST_LINES, DIVISOR = 48, 24, 2, 16, 2
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -109,9 +109,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _without(docs: DataFrame, drop: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keep = [c for c in docs.columns if c != "removed_lines"]
-    joined = docs.select(*keep).join(drop.hint("merge"), F.col(id_col).cast("long") == F.col("_drop_id"), "left")
+    by, drops = fresh("_drop_id", docs.columns), fresh("_drops", docs.columns)
+    drop = drop.select(F.col("_drop_id").alias(by), F.col("_drops").alias(drops)).hint("merge")
+    joined = docs.select(*keep).join(drop, F.col(id_col).cast("long") == F.col(by), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(lines, lambda _, k: ~F.exists("_drops", lambda d: (k >= d["first"]) & (k < d["first"] + d["lines"])))
-    text = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    gone = F.coalesce(F.aggregate("_drops", F.lit(0).cast("long"), lambda s, d: s + d["lines"]), F.lit(0).cast("long"))
+    left = F.filter(lines, lambda _, k: ~F.exists(drops, lambda d: (k >= d["first"]) & (k < d["first"] + d["lines"])))
+    text = F.when(F.col(drops).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    gone = F.coalesce(F.aggregate(drops, F.lit(0).cast("long"), lambda s, d: s + d["lines"]), F.lit(0).cast("long"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], gone.alias("removed_lines"))

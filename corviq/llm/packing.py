@@ -67,12 +67,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, vocabulary: str, with_
         yield pa.record_batch(columns if with_ids else columns[:5], names if with_ids else names[:5])
 
 
-def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> dict[int, int]:
     """The combination of available lengths, the longest among them, that leaves the least slack.
 
     Bitset subset sums: bit s of an integer says that the sum s can be reached; counts are split into powers of two,
     and the bitsets before each item lead back to the combination. Long lengths are tried first, and the search ends
-    as soon as the bin can be full.
+    as soon as the bin can be full but for ``slack``: that keeps short lengths for later bins.
     """
     first = max(counts)
     gap = capacity - first
@@ -86,7 +86,7 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
             if new != reach:
                 steps.append((length, take, reach))
                 reach = new
-        if reach >> gap & 1:
+        if reach.bit_length() > gap - slack:
             break
     need, out = reach.bit_length() - 1, {first: 1}
     for length, take, before in reversed(steps):
@@ -96,16 +96,11 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return out
 
 
-def bins(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """[(combination, how many bins of it)]: the fullest combination is removed as often as the counts allow.
-
-    Each entry uses some length up to less than one more combination needs, so there are a few thousand entries for a
-    capacity of 1024, whatever the number of pieces.
-    """
+def _bins(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[int, int], int]]:
     counts = {n: c for n, c in counts.items() if c}
     out = []
     while counts:
-        combination = fullest(counts, capacity)
+        combination = fullest(counts, capacity, slack)
         times = min(counts[n] // k for n, k in combination.items())
         for n, k in combination.items():
             counts[n] -= k * times
@@ -115,6 +110,16 @@ def bins(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
     return out
 
 
+def bins(counts: dict[int, int], capacity: int, slacks: tuple[int, ...] = (0, 1, 2, 3, 5, 8, 12, 20)) -> list[tuple[dict[int, int], int]]:
+    """[(combination, how many bins of it)]: the fullest combination is removed as often as the counts allow.
+
+    The plan is made for each of ``slacks`` and the one with the fewest bins is taken (a tie: the least slack). Each
+    entry uses some length up to less than one more combination needs, so there are a few thousand entries for a
+    capacity of 1024, whatever the number of pieces.
+    """
+    return min((_bins(counts, capacity, s) for s in slacks), key=lambda plan: sum(times for _, times in plan))
+
+
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """By length: first rank, pieces a bin, first sequence and offset in it of each run of ranks."""
     rows: dict[int, list[tuple[int, int, int, int]]] = {}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corviq.llm.common import materialize, rows_of, with_fields
+from corviq.llm.common import fresh, materialize, rows_of, with_fields
 
 MAX_TRIES = 64
 
@@ -249,11 +249,11 @@ def retries(entities: DataFrame, key: bytes) -> DataFrame | None:
     raise RuntimeError(f"no free surrogates after {MAX_TRIES} tries")
 
 
-def _replaced(batches: Iterator[pa.RecordBatch], key: bytes, text_col: str) -> Iterator[pa.RecordBatch]:
+def _replaced(batches: Iterator[pa.RecordBatch], key: bytes, text_col: str, tries_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         texts = batch.column(names.index(text_col)).to_pylist()
-        again = batch.column(names.index("_tries")).to_pylist() if "_tries" in names else [None] * len(texts)
+        again = batch.column(names.index(tries_col)).to_pylist() if tries_col in names else [None] * len(texts)
         made, counts = [], []
         for text, tries in zip(texts, again, strict=True):
             spans = find(text)
@@ -266,7 +266,7 @@ def _replaced(batches: Iterator[pa.RecordBatch], key: bytes, text_col: str) -> I
                     at = b
                 text = "".join([*parts, text[at:]])
             made.append(text)
-        columns = {n: batch.column(k) for k, n in enumerate(names) if n != "_tries"}
+        columns = {n: batch.column(k) for k, n in enumerate(names) if n != tries_col}
         columns[text_col] = pa.array(made, pa.string())
         columns["n_entities"] = pa.array(counts, pa.int64())
         yield pa.record_batch(list(columns.values()), list(columns))
@@ -287,15 +287,16 @@ def pseudonymize(docs: DataFrame, key: bytes = b"corviq-surrogates", id_col: str
     Null texts stay null; rows are never dropped. Distinct entities are aggregated on the map side, so that one that
     stands in a third of all documents costs a row per task. Documents are shuffled only if some first surrogate
     collided (then by id, to meet their retries). A row with a null id then keeps first surrogates. Repeated ids share
-    retries. An existing n_entities or _tries column is replaced.
+    retries. An existing n_entities column is replaced.
     """
-    docs = docs.drop("n_entities", "_tries")
+    docs = docs.drop("n_entities")
+    tries, retry = fresh("_tries", docs.columns), fresh("_retry_id", docs.columns)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     entities = materialize(texts.select("text").mapInArrow(_entities, "kind string, value string").distinct())
     again = retries(entities, key)
     schema = with_fields(docs.schema, ("n_entities", "long"))
     if again is not None:
         hits = texts.mapInArrow(_mentions, "id long, kind string, value string").join(again, ["kind", "value"])
-        hits = hits.groupBy(F.col("id").alias("_retry_id")).agg(F.collect_set(F.struct("kind", "value", "tries")).alias("_tries"))
-        docs = docs.join(hits, F.col(id_col).cast("long") == F.col("_retry_id"), "left").drop("_retry_id")
-    return docs.mapInArrow(lambda it: _replaced(it, key, text_col), schema)
+        hits = hits.groupBy(F.col("id").alias(retry)).agg(F.collect_set(F.struct("kind", "value", "tries")).alias(tries))
+        docs = docs.join(hits, F.col(id_col).cast("long") == F.col(retry), "left").drop(retry)
+    return docs.mapInArrow(lambda it: _replaced(it, key, text_col, tries), schema)
