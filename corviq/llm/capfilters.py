@@ -26,6 +26,7 @@ PER_TABLE = 4.0  # filters a vector is expected to be in, of one table
 IN_FILTER = 8.0  # vectors expected in a filter
 BLOCKS = 2  # of a product code
 BLOCK = 512
+SLICE = 500  # vectors that are decoded at once
 
 
 @lru_cache(64)
@@ -73,7 +74,7 @@ def decode(unit: np.ndarray, words: int, z: float, table: int) -> tuple[np.ndarr
         after = total[:, None] + scores[b][row]
         keep, word = np.nonzero(after + rest[b + 1][row][:, None] >= reach[row][:, None])
         row, code, total = row[keep], code[keep] * words + word, after[keep, word]
-    return row, code + (table + 1) * (1 << 40)
+    return row, code + table * words**blocks_n
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +85,16 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
+def narrow(words: int) -> bool:
+    """Whether 32 bits number the filters of all tables."""
+    return TABLES * words**BLOCKS < 1 << 31
+
+
 def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float) -> Iterator[pa.RecordBatch]:
+    number = np.int32 if narrow(words) else np.int64
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
             values, offsets = _vectors(batch.column(batch.schema.get_field_index("v")))
             dims = np.diff(offsets)
             for dim in np.unique(dims).tolist():
@@ -97,7 +104,7 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float) -> Iterat
                 found = [decode(x, words, z, t) for t in range(TABLES)]
                 row, key = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 order = np.lexsort((key, row))
-                row, key = row[order], key[order] + (dim << 44)
+                row, key = row[order], key[order].astype(number)
                 if not len(row):
                     continue
                 ends = np.searchsorted(row, np.arange(len(rows) + 1))
@@ -107,7 +114,8 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float) -> Iterat
                 flat = np.concatenate(([0], np.cumsum(lens)))
                 within = np.arange(flat[-1]) - np.repeat(flat[:-1], lens)
                 lists = pa.ListArray.from_arrays(pa.array(flat, pa.int32()), pa.array(key[np.repeat(ends[row], lens) + within]))
-                yield pa.record_batch([pa.array(key), *taken.columns, lists], ["key", *batch.schema.names, "filters"])
+                where = key.astype(np.int64) + (dim << 44)  # vectors of different lengths never meet
+                yield pa.record_batch([pa.array(where), *taken.columns, lists], ["key", *batch.schema.names, "filters"])
 
 
 def _met_before(filters: list[np.ndarray], key: int) -> np.ndarray | None:
@@ -145,7 +153,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
                 near &= part[a:b][:, None] != part[a:b][None, :]
             if not near.any():
                 continue
-            before = _met_before([filters[ft[r] : ft[r + 1]] for r in range(a, b)], int(key[a]))
+            before = _met_before([filters[ft[r] : ft[r + 1]] for r in range(a, b)], int(key[a]) & (1 << 44) - 1)
             if before is not None:
                 near &= ~before
             p, q = np.nonzero(near)
@@ -172,7 +180,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Choose parameters by the number of vectors: filters grow with it, so that their occupancy stays the same.
     """
     v = F.col("v")
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    exact = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # floats are widened where they are compared
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(exact).alias("v"))
     # infinity times zero is NaN: one sum tells whether all components are finite
     whole = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * 0.0)
     some = F.exists(v, lambda x: x != 0)
@@ -180,7 +189,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = base.where(usable).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     groups = materialize(groups)
     words, z = plan(max(1, groups.count()))
-    schema = "key long, rep long, m long, v array<double>, filters array<long>"
+    schema = f"key long, rep long, m long, v {exact}, filters array<{'int' if narrow(words) else 'long'}>"
     postings = groups.select("rep", "m", "v").mapInArrow(lambda it: _postings(it, words, z), schema)
     postings = materialize(postings)
     dealt = blocked(postings, "key", "rep", block).select("key", "i", "j", "part", "rep", "m", "v", "filters")
