@@ -33,6 +33,7 @@ UNLIKELY = re.compile(
     r"|breadcrumbs?|foot|footer|header|masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|discussion|share|sharing|social|related|recommend\w*|widget\w*|toolbar|paginat\w*|pager|login|signup|signin|copyright|legal|disclaimer|search|tags?|byline-links|hidden|skip-link)(?:[\s_-]|\d*$)",
     re.IGNORECASE,
 )
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")  # sideBar, cookieNotice
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar"))
 KEEP = frozenset(("html", "body", "article", "main"))
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "dd", "li", "figcaption"))
@@ -62,7 +63,7 @@ def _unlikely(name: str, raw: str) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.IGNORECASE):
         return True
-    return any(UNLIKELY.search(a[k]) for k in ("class", "id") if k in a)
+    return any(UNLIKELY.search(HUMP.sub("-", a[k])) for k in ("class", "id") if k in a)
 
 
 def parse(page: str) -> Node:
