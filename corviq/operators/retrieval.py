@@ -16,6 +16,12 @@ MAX_K = 10_000
 BROADCAST_QUERIES = 4_096  # of a batch
 
 
+def scored(df: DataFrame, query: Sequence[float], vector: str = "embedding", keep: Sequence[str] = ("id",)) -> DataFrame:
+    """Inner products of all rows, finite ones only."""
+    score = scalar.dot(F.col(vector), scalar.vec(list(query)))
+    return df.select(*keep, score.alias("score")).where(~F.isnan("score") & (F.abs("score") < float("inf")))
+
+
 def knn(df: DataFrame, query: Sequence[float], k: int, vector: str = "embedding", keep: Sequence[str] = ("id",)) -> DataFrame:
     """Exact k-NN by inner product, descending, ties by id. Filters go on ``df`` before; those after on the result.
 
@@ -23,9 +29,7 @@ def knn(df: DataFrame, query: Sequence[float], k: int, vector: str = "embedding"
     """
     if not 1 <= k <= MAX_K:
         raise EngineError("54000", f"k is 1 to {MAX_K}")
-    score = scalar.dot(F.col(vector), scalar.vec(list(query)))
-    scored = df.select(*keep, score.alias("score")).where(~F.isnan("score") & (F.abs("score") < float("inf")))
-    return scored.orderBy(F.desc("score"), F.asc("id")).limit(k)
+    return scored(df, query, vector, keep).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
 def _block_topk(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def bm25(docs: DataFrame, query: str, text: str = "text", k1: float = 1.2, b: fl
     terms = query_terms(query)
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    toks = docs.select("id", tokens(F.col(text)).alias("t"))
+    toks = docs.where(F.col(text).isNotNull()).select("id", tokens(F.col(text)).alias("t"))  # rows without a text are no documents
     tf = toks.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(w))).alias(f"tf{n}") for n, w in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{n}") > 0, 1)).alias(f"df{n}") for n in range(len(terms))])
     score = F.lit(0.0)
@@ -189,6 +193,26 @@ def rrf_confidence(score: Column, k: int = 60, weights: tuple[float, float] = (1
     return score / (sum(weights) / (k + 1))
 
 
+def rerank(hits: DataFrame, rank=None, limit: int = 10) -> DataFrame:
+    """Runs a reranker (hits to hits with new scores; None: as they are) and cuts; the reranked must be among the hits.
+
+    ``hits`` is a pool of at most ``MAX_K`` rows (id, score, ...). A model that scores pairs plugs in as ``rank``.
+    """
+    if not 1 <= limit <= MAX_K:
+        raise EngineError("54000", f"limit is 1 to {MAX_K}")
+    best = hits.orderBy(F.desc("score"), F.asc("id")).limit(MAX_K)
+    out = best if rank is None else rank(best).join(best.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return out.orderBy(F.desc("score"), F.asc("id")).limit(limit)
+
+
+def boost_ids(hits: DataFrame, ids: DataFrame, amount: float, most: float = 1.0) -> DataFrame:
+    """Adds ``amount`` to the hits whose id is in ``ids`` (id); never removes one."""
+    if not 0 <= amount <= most:
+        raise EngineError("22000", f"bad boost {amount}")
+    marked = hits.join(ids.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left")
+    return marked.withColumn("score", F.col("score") + F.when(F.col("_in"), amount).otherwise(0.0)).drop("_in").orderBy(F.desc("score"), F.asc("id"))
+
+
 def rerank_lexical(hits: DataFrame, query: str, text: str = "text", k: int = 60, fused: float = 3.0, lexical: float = 1.0) -> DataFrame:
     """``hits`` (id, score, text) by fused / (k + rank) + lexical / (k + rank of shared terms), group-end ranks."""
     shared = F.size(F.array_intersect(F.array_distinct(tokens(F.col(text))), F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")))

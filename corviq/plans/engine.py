@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corviq.errors import EngineError
 from corviq.operators import relational as R
 from corviq.operators import retrieval as V
+from corviq.plans import planner
 from corviq.policy import TENANT, VISIBILITY, Policy
 
 KEYS = {
@@ -18,6 +19,18 @@ KEYS = {
     "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id * 1000 + turn",
 }
 
+#: Fields that a changing operation needs, and those that it may have.
+WRITES = {
+    "insert": ({"table", "rows", "operation_id"}, {"on_conflict", "target", "returning"}),
+    "update": ({"table", "set", "filter", "operation_id"}, {"returning", "partitioned", "chunk"}),
+    "delete": ({"table", "filter", "operation_id"}, {"returning", "partitioned", "chunk"}),
+    "create_table": ({"table", "columns"}, {"constraints"}),
+    "alter_table": ({"table"}, {"add_column", "drop_column"}),
+    "drop_table": ({"table"}, set()),
+    "show_partitioned_dml": (set(), set()),
+    "cancel_partitioned_dml": ({"operation_id"}, set()),
+}
+
 _AGG = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
 
 
@@ -31,19 +44,18 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def estimate_tier(question: str) -> str:
     """Direct, intent or abstraction, by what a question asks for."""
-    low = question.lower()
-    if any(w in low for w in ("why", "how come", "explain", "compare", "overview", "architecture", "summar")):
-        return "abstraction"
-    if any(w in low for w in ("how ", "where ", "which ", "find", "should")):
-        return "intent"
-    return "direct"
+    return planner.tier(question)[0]
 
 
 class Engine:
     """A session of a tenant over a resolver of raw tables. Everything it reads passes :meth:`table`."""
 
-    def __init__(self, resolve: Callable[[str], DataFrame], policy: Policy):
-        self.resolve, self.policy = resolve, policy
+    def __init__(self, resolve: Callable[[str], DataFrame], policy: Policy, store=None, client: planner.Client | None = None):
+        self.resolve, self.policy, self.store, self.client = resolve, policy, store, client
+        self.visibility = "public"  # of the rows that this session writes
+        self.enums: dict[str, list[str]] = {}
+        self.indexes: dict[str, tuple] = {}
+        self.running: dict[str, str] = {}  # partitioned statements by operation id
         self.views: dict[str, Callable[[Engine], DataFrame]] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
         self.mode: str | None = None
@@ -53,6 +65,68 @@ class Engine:
     def over(cls, spark: SparkSession, sf_dir: str, tenant: str = "tenant-a") -> Engine:
         return cls(lambda n: derived(spark, sf_dir, n), Policy(tenant))
 
+    @classmethod
+    def on(cls, store, policy: Policy, client: planner.Client | None = None) -> Engine:
+        """A session that reads and writes the tables of a store."""
+        return cls(store.raw, policy, store, client)
+
+    @property
+    def spark(self) -> SparkSession:
+        return SparkSession.getActiveSession()
+
+    def sql(self, text: str, *params, data: str | None = None):
+        """Runs statements of the dialect; a query gives a DataFrame, a change the rows of RETURNING or their number."""
+        from corviq.sql.compiler import run
+
+        return run(self, text, params, data)
+
+    # -- searches
+
+    def expand(self, question: str) -> planner.Expansion:
+        if self.client is None:
+            raise EngineError("0A000", "this session has no planner")
+        return planner.parse_expansion(self.client(planner.prompt(question)))
+
+    def embed(self, text: str, df: DataFrame, vector: str | None) -> list[float]:
+        """The hashing embedding of a text, with the dimension of the table's vectors."""
+        from corviq.sources.ingest import embed_text
+
+        if vector is None:
+            raise EngineError("22000", "there is no vector column")
+        dim = (df.schema[vector].metadata or {}).get("dim")
+        if dim is None:
+            first = df.select(F.size(vector).alias("n")).where("n > 0").first()
+            dim = first["n"] if first else 1
+        return embed_text(text, dim)
+
+    def hits(self, df: DataFrame, vector: str, query, k: int, body: str | None = None, text: str | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+        """(id, score): exact k-NN, or its fusion with BM25 where there is a text."""
+        if text is None:
+            return V.knn(df, query, k, vector).select("id", "score")
+        return V.rrf(V.scored(df, query, vector), V.bm25(df, text, body), k, weights=weights)
+
+    def ann_plan(self) -> str:
+        return "probe" if any(m == "hnsw" for _, m, _ in self.indexes.values()) else "exact"
+
+    # -- partitioned statements
+
+    def partitioned(self, operation: str | None, action) -> int:
+        if not operation:
+            raise EngineError("23502", "an operation id is required")
+        self.running[operation] = "running"
+        try:
+            done = action(lambda: self.running.get(operation) == "cancelled")
+            self.running[operation] = "done"
+            return done
+        except EngineError:
+            self.running[operation] = "stopped"
+            raise
+
+    def cancel(self, operation: str) -> None:
+        if operation not in self.running:
+            raise EngineError("42704", f"no operation {operation}")
+        self.running[operation] = "cancelled"
+
     def table(self, name: str) -> DataFrame:
         """A view (built with this session's rights) or a table behind the visibility filter."""
         if name in self.views:
@@ -101,12 +175,14 @@ class Engine:
 
     def query(self, op: Mapping) -> DataFrame:
         """``{"op": "scan" | "search" | "aggregate", "table": ..., "filter": {...}, ...}``; unknown fields are refused."""
+        kind = op.get("op")
+        if kind in WRITES:
+            return self._write(kind, op)
         known = {
             "scan": {"op", "table", "filter", "columns", "order_by", "limit", "offset", "distinct"},
-            "search": {"op", "table", "filter", "vector", "text", "k", "mode", "columns", "post_filter", "boosts", "weights"},
+            "search": {"op", "table", "filter", "vector", "text", "plan", "k", "mode", "columns", "post_filter", "boosts", "weights"},
             "aggregate": {"op", "table", "filter", "group_by", "items", "having", "order_by", "limit", "offset"},
         }
-        kind = op.get("op")
         if kind not in known:
             raise EngineError("42601", f"no operation {kind}")
         if extra := set(op) - known[kind]:
@@ -143,15 +219,22 @@ class Engine:
 
     def _search(self, df: DataFrame, op: Mapping) -> DataFrame:
         k, (mode, _) = op.get("k", 10), self.resolve_mode(op.get("mode"))
-        wide = max(k, 200)
-        if "text" in op and "vector" in op and "text" in df.columns:
-            hits = V.rrf(V.knn(df, op["vector"], wide), V.bm25(df, op["text"]), k, weights=tuple(op.get("weights", (1.0, 1.0))))
+        if "plan" in op:
+            if "vector" in op or "text" in op:
+                raise EngineError("42601", "plan excludes vector and text")
+            expansion = self.expand(op["plan"])
+            vector = next((c for c, t in df.dtypes if t == "array<float>"), None)
+            op = {**op, "vector": self.embed(expansion.dense_text(), df, vector), "text": expansion.sparse_text(op["plan"]), "boosts": expansion.boosts(df.columns)}
+            mode, _ = self.resolve_mode(op.get("mode"), expansion.mode_hint)
+        body = next((c for c in ("body", "text") if c in df.columns), None)
+        if "text" in op and "vector" in op and body:
+            hits = self.hits(df, "embedding", op["vector"], k, body, op["text"], tuple(op.get("weights", (1.0, 1.0))))
             gate = {"least": 0.98, "margin": 0.005}
             confidence = V.rrf_confidence(F.col("score"))
         elif "vector" in op:
             hits, gate, confidence = V.knn(df, op["vector"], k), {"least": 0.80, "margin": 0.05}, F.col("score")
         else:
-            hits = V.bm25(df, op["text"]).orderBy(F.desc("score"), "id").limit(k)
+            hits = V.bm25(df, op["text"], body or "text").orderBy(F.desc("score"), "id").limit(k)
             gate, confidence = {"least": 0.0, "margin": 0.0}, F.col("score")
         columns = [c for c in op.get("columns", ()) if c != "id"]
         if columns or op.get("post_filter") or op.get("boosts"):
@@ -164,6 +247,45 @@ class Engine:
             hits = V.gate(hits.withColumn("_raw", F.col("score")).withColumn("score", confidence), **gate).withColumn("score", F.col("_raw")).drop("_raw")
         return hits.select("id", *columns, "score").orderBy(F.desc("score"), "id")
 
+    def _write(self, kind: str, op: Mapping):
+        """insert, update, delete, create_table, alter_table, drop_table and the two that look after partitioned changes."""
+        from corviq.sql import statements as st
+
+        required, optional = WRITES[kind]
+        if (missing := required - set(op)) or (extra := set(op) - required - optional - {"op"}):
+            raise EngineError("42601", f"missing or unknown fields {sorted(missing or extra)}")
+        if kind == "show_partitioned_dml":
+            return self.spark.createDataFrame([(k, v) for k, v in self.running.items()], "operation_id string, state string")
+        if kind == "cancel_partitioned_dml":
+            return self.cancel(op["operation_id"])
+        table, store = op["table"], st._store(self)
+        if kind == "create_table":
+            return st._create_table(self, table, [(c["name"], c["type"].lower(), c.get("default")) for c in op["columns"]], [tuple(r) for r in op.get("constraints", ())])
+        if kind == "drop_table":
+            return store.drop(table)
+        if kind == "alter_table":
+            add = op.get("add_column")
+            return st._alter_table(self, table, (add["name"], add["type"].lower(), add.get("default")) if add else None, drop=op.get("drop_column"))
+        raw = store.raw(table)
+        returning = "*" if op.get("returning") else None
+        if kind == "insert":
+            columns = sorted({c for r in op["rows"] for c in r})
+            rows = [[r.get(c) for c in columns] for r in op["rows"]]
+            conflict = op.get("on_conflict", "error")
+            return st._insert(self, table, columns, rows, conflict, op.get("target"), None, returning, op["operation_id"], None, None)
+        where = R.predicate(op["filter"], raw.columns)
+        if kind == "delete":
+            if op.get("partitioned"):
+                return self.partitioned(op["operation_id"], lambda stop: store.partitioned_delete(table, self.policy, where, op["operation_id"], op.get("chunk", 1000), stop))
+            return st._returned(self, store.delete(table, self.policy, where, op["operation_id"]), returning)
+        fields = {f.name: f for f in raw.schema.fields}
+        if unknown := set(op["set"]) - set(fields) | set(op["set"]) & {"id", TENANT, VISIBILITY}:
+            raise EngineError("42703", f"no column {sorted(unknown)[0]} to set")
+        values = {c: F.lit(st.value(v, fields[c])) for c, v in op["set"].items()}
+        if op.get("partitioned"):
+            return self.partitioned(op["operation_id"], lambda stop: store.partitioned_update(table, self.policy, where, values, op["operation_id"], op.get("chunk", 1000), stop))
+        return st._returned(self, store.update(table, self.policy, where, values, op["operation_id"]), returning)
+
     def explain(self, op: Mapping) -> list[tuple[str, str]]:
         """(item, value) rows about how a dict query runs."""
         mode, source = self.resolve_mode(op.get("mode"))

@@ -165,3 +165,36 @@ def copy_line(columns: Sequence[Column], form: str = "text") -> Column:
         return F.concat_ws(",", *cells)
     cells = [F.coalesce(F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\\N")) for c in columns]
     return F.concat_ws("\t", *cells)
+
+
+def tier_column(question: Column) -> Column:
+    """The tier of each question as a column: direct, intent or abstraction."""
+    low = F.concat(F.lit(" "), F.lower(question), F.lit(" "))
+    return (
+        F.when(low.rlike("why |how come|explain|compare|overview|architecture|summar"), "abstraction").when(low.rlike("how |where |which |find|should"), "intent").otherwise("direct")
+    )
+
+
+MAX_FILES = 64
+
+
+def check_files(files: DataFrame, path: str = "path", body: str = "text", most: int = MAX_FILES) -> None:
+    """The limits of a batch of files: their number, their size, no path twice."""
+    seen = files.agg(F.count("*").alias("n"), F.count_distinct(path).alias("paths"), F.max(F.octet_length(body)).alias("most")).first()
+    if seen["n"] > most or (seen["most"] or 0) > MAX_INPUT:
+        raise EngineError("54000", f"at most {most} files of 16 MiB")
+    if seen["paths"] < seen["n"]:
+        raise EngineError("21000", "a path stands twice in the batch")
+
+
+def replace_files(table: DataFrame, files: DataFrame, dim: int = 64) -> DataFrame:
+    """``table`` (path, chunk, start_line, end_line, body, embedding) after ``files`` (path, text) were ingested.
+
+    The rows of each given path are replaced as a whole by its new chunks; a path whose text is null or empty loses its
+    rows. An anti join on the path keeps the rest; only chunk rows of the batch are embedded.
+    """
+    numbered = files.withColumn("id", F.xxhash64("path"))
+    chunks = chunk_file(numbered.where(F.col("text").isNotNull())).join(numbered.select("id", "path"), "id").drop("id")
+    new = embed(chunks, dim).select("path", "chunk", "start_line", "end_line", "body", "embedding")
+    kept = table.join(files.select("path").distinct(), "path", "left_anti")
+    return kept.select(*new.columns).unionByName(new)

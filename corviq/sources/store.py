@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -19,16 +19,20 @@ SYSTEM = T.StructType([T.StructField(TENANT, T.StringType()), T.StructField(VISI
 
 
 class Store:
-    """A folder of tables. Each version is a folder of Parquet; the catalog names the current one and is replaced atomically.
+    """A folder of tables on storage that driver and executors share (any file system Spark can write).
 
-    One writer. Readers keep the version that they planned on. Folders must be on storage that executors share.
+    Each version of a table is a folder of Parquet; numbered catalog files say which is current. A commit writes the
+    catalog under a temporary name and renames it to the next number, which fails if another writer was first (40001).
+    Readers keep the version that they planned on.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
-        self.path = os.path.join(root, "catalog.json")
-        self.catalog = json.load(open(self.path)) if os.path.exists(self.path) else {"tables": {}, "ledger": {}}
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.root))
+        self.number = max([int(m[1]) for f in self._fs.listStatus(self._path(self.root)) if (m := re.fullmatch(r"catalog-(\d+)\.json", f.getPath().getName()))], default=0)
+        self.catalog = json.loads(spark.read.text(f"{self.root}/catalog-{self.number}.json", wholetext=True).first()[0]) if self.number else {"tables": {}, "ledger": {}}
         self.staged: dict | None = None
         self.failed = False
 
@@ -57,17 +61,21 @@ class Store:
         return self.catalog if self.staged is None else self.staged
 
     def _save(self, state: dict) -> None:
-        temporary = f"{self.path}.{uuid.uuid4().hex}"
-        with open(temporary, "w") as f:
-            json.dump(state, f)
-        os.replace(temporary, self.path)
+        temporary, target = self._path(f"{self.root}/_{uuid.uuid4().hex}"), self._path(f"{self.root}/catalog-{self.number + 1}.json")
+        out = self._fs.create(temporary, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self._fs.exists(target) or not self._fs.rename(temporary, target):
+            self._fs.delete(temporary, False)
+            raise EngineError("40001", "another writer committed first")
+        self.number += 1
         self.catalog = state
 
     def _publish(self, name: str, df: DataFrame, ledger: tuple[str, str] | None = None) -> None:
         state = self._state()
         entry = dict(state["tables"][name])
         entry["version"] = uuid.uuid4().hex
-        df.write.parquet(os.path.join(self.root, name, entry["version"]))
+        df.write.parquet(f"{self.root}/{name}/{entry['version']}")
         entry["generation"] = entry.get("generation", 0) + 1
         new = json.loads(json.dumps(state))
         new["tables"][name] = entry
@@ -80,13 +88,13 @@ class Store:
 
     # -- definition
 
-    def create(self, name: str, schema: T.StructType, key: Sequence[str] = ("id",), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), check: Sequence[str] = (), foreign: Sequence[tuple[str, str, str, str]] = ()) -> None:
-        """``foreign``: (column, parent table, parent column, on delete: restrict, cascade, set_null)."""
+    def create(self, name: str, schema: T.StructType, key: Sequence[str] = ("id",), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), check: Sequence[str] = (), foreign: Sequence[tuple[str, str, str, str]] = (), defaults: dict | None = None) -> None:
+        """``foreign``: (column, parent table, parent column, on delete: restrict, cascade, set_null, set_default)."""
         state = self._state()
         if name in state["tables"]:
             raise EngineError("42P07", f"{name} exists")
         whole = T.StructType([*SYSTEM.fields, *schema.fields])
-        state["tables"][name] = {"schema": whole.json(), "key": list(key), "unique": [list(u) for u in unique], "not_null": list(not_null), "check": list(check), "foreign": [list(f) for f in foreign]}
+        state["tables"][name] = {"schema": whole.json(), "key": list(key), "unique": [list(u) for u in unique], "not_null": list(not_null), "check": list(check), "foreign": [list(f) for f in foreign], "defaults": defaults or {}}
         self._publish(name, self.spark.createDataFrame([], whole))
 
     def drop(self, name: str) -> None:
@@ -96,10 +104,53 @@ class Store:
         if self.staged is None:
             self._save(state)
 
-    def add_column(self, name: str, column: T.StructField) -> None:
+    def add_column(self, name: str, column: T.StructField, default=None) -> None:
         raw, entry = self.raw(name), self._entry(name)
+        if column.name in raw.columns:
+            raise EngineError("42701", f"{column.name} exists")
+        entry.setdefault("defaults", {})[column.name] = default
         entry["schema"] = T.StructType([*T.StructType.fromJson(json.loads(entry["schema"])).fields, column]).json()
-        self._publish(name, raw.withColumn(column.name, F.lit(None).cast(column.dataType)))
+        self._publish(name, raw.withColumn(column.name, F.lit(default).cast(column.dataType)))
+
+    def retype(self, name: str, column: str, kind: T.DataType) -> None:
+        """ALTER COLUMN ... TYPE: every value must convert."""
+        raw, entry = self.raw(name), self._entry(name)
+        if column not in raw.columns:
+            raise EngineError("42703", f"no column {column}")
+        entry["schema"] = T.StructType([T.StructField(f.name, kind) if f.name == column else f for f in raw.schema.fields]).json()
+        self._publish(name, raw.withColumn(column, F.col(column).cast(kind)))
+
+    def add_rule(self, name: str, kind: str, rule) -> None:
+        """primary, unique, check, not_null or foreign; rows that break it refuse the change."""
+        old, entry = json.loads(json.dumps(self._entry(name))), self._entry(name)
+        if kind == "primary":
+            entry["key"] = list(rule)
+            entry["not_null"] = sorted({*entry["not_null"], *rule} - {"id"})
+        else:
+            entry[kind].append(list(rule) if isinstance(rule, tuple) else rule)
+        try:
+            self._check(name, self.raw(name))
+        except EngineError:
+            self._state()["tables"][name] = old
+            raise
+        if self.staged is None:
+            self._save(self.catalog)
+
+    def drop_rule(self, name: str, rule: str) -> None:
+        """By the conventional name: table_pkey, table_column_key, table_check (the n-th: table_checkN), table_column_fkey."""
+        entry = self._entry(name)
+        if rule == f"{name}_pkey":
+            entry["key"] = ["id"]
+        elif hit := [u for u in entry["unique"] if rule == f"{name}_{'_'.join(u)}_key"]:
+            entry["unique"].remove(hit[0])
+        elif hit := [f for f in entry["foreign"] if rule == f"{name}_{f[0]}_fkey"]:
+            entry["foreign"].remove(hit[0])
+        elif hit := [c for n, c in enumerate(entry["check"]) if rule in (f"{name}_check{n or ''}", f"{name}_check{n + 1}")]:
+            entry["check"].remove(hit[0])
+        else:
+            raise EngineError("42704", f"no constraint {rule}")
+        if self.staged is None:
+            self._save(self.catalog)
 
     def drop_column(self, name: str, column: str) -> None:
         raw, entry = self.raw(name), self._entry(name)
@@ -118,7 +169,7 @@ class Store:
 
     def raw(self, name: str) -> DataFrame:
         entry = self._entry(name)
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(os.path.join(self.root, name, entry["version"]))
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(f"{self.root}/{name}/{entry['version']}")
 
     def read(self, name: str, policy: Policy) -> DataFrame:
         return policy.read(self.raw(name))
@@ -150,13 +201,17 @@ class Store:
 
     def _rows(self, name: str, policy: Policy, rows: Sequence[dict], visibility: str) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(self._entry(name)["schema"]))
-        data = [tuple({**r, TENANT: policy.tenant, VISIBILITY: visibility}.get(f.name) for f in schema.fields) for r in rows]
+        fixed, defaults = {TENANT: policy.tenant, VISIBILITY: visibility}, self._entry(name).get("defaults", {})
+        if unknown := {c for r in rows for c in r} - set(schema.names):
+            raise EngineError("42703", f"no column {sorted(unknown)[0]}")
+        data = [tuple({**defaults, **r, **fixed}.get(f.name) for f in schema.fields) for r in rows]
         return self.spark.createDataFrame(data, schema)
 
-    def insert(self, name: str, policy: Policy, rows: Sequence[dict], operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",)) -> DataFrame:
+    def insert(self, name: str, policy: Policy, rows: Sequence[dict], operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",), sets: dict[str, tuple] | None = None) -> DataFrame:
         """Rows of one statement, all or none. ``on_conflict``: error, nothing, or update (by ``key`` among owned rows).
 
-        Returns the written rows. A key twice in one statement is refused.
+        Returns the written rows. A key twice in one statement is refused. ``sets`` limits an update to some columns:
+        ("excluded", column of the new row) or ("lit", value).
         """
 
         def act() -> DataFrame:
@@ -179,9 +234,22 @@ class Store:
                 if hidden.limit(1).count():
                     raise EngineError("42501", "the row can't be written")
                 # a row that is updated keeps its id and visibility
-                kept = [c for c in ("id", VISIBILITY) if c not in key]
-                joined = new.alias("n").join(owned.select(*key, *[F.col(c).alias(f"_{c}_old") for c in kept]).alias("o"), same, "left")
-                written = joined.select(*[F.coalesce(F.col(f"_{c}_old"), F.col(f"n.{c}")).alias(c) if c in kept else F.col(f"n.{c}") for c in new.columns])
+                before = owned.select(*key, F.struct(*old.columns).alias("_old")).alias("o")
+                joined = new.alias("n").join(before, same, "left")
+                types = dict(old.dtypes)
+
+                def after_update(c: str) -> Column:
+                    was, now = F.col(f"_old.{c}"), F.col(f"n.{c}")
+                    if c in ("id", VISIBILITY) and c not in key or sets is not None and c not in sets and c not in key:
+                        changed = was
+                    elif sets is not None and c in sets:
+                        how, value = sets[c]
+                        changed = F.col(f"n.{value}") if how == "excluded" else F.lit(value).cast(types[c])
+                    else:
+                        changed = now
+                    return F.when(F.col("_old").isNull(), now).otherwise(changed).alias(c)
+
+                written = joined.select(*[after_update(c) for c in new.columns])
                 rest = old.alias("o").join(new.alias("n"), [*same, F.col(f"o.{TENANT}") == F.lit(policy.tenant)], "left_anti")
                 after = rest.unionByName(written)
             self._check(name, after)
@@ -222,6 +290,25 @@ class Store:
         old = self.raw(name)
         self._publish(name, old.where(~F.coalesce(policy.owned(), F.lit(False))))
 
+    def partitioned_update(self, name: str, policy: Policy, where: Column, values: dict[str, Column], operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
+        """Chunks in id order, each a commit of its own and checked by itself; each row changes at most once."""
+        if self.staged is not None:
+            raise EngineError("25001", "not inside a transaction")
+        cursor, done = -(1 << 63), 0
+        while True:
+            hit = where & policy.owned() & policy.visible() & (F.col("id") > cursor)
+            last, n = self.raw(name).where(hit).orderBy("id").limit(chunk).agg(F.max("id"), F.count("*")).first()
+            if last is None:
+                return done
+            if cancelled():
+                raise EngineError("VD002", f"cancelled after {done} rows")
+            old = self.raw(name)
+            now = F.coalesce(hit & (F.col("id") <= last), F.lit(False))
+            after = old.withColumn("_hit", now).select(*[F.when(F.col("_hit"), values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes])
+            self._check(name, after)
+            self._publish(name, after)
+            cursor, done = last, done + n
+
     def partitioned_delete(self, name: str, policy: Policy, where: Column, operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
         """Chunks in id order, each a commit of its own; the same operation id resumes after the last one."""
         if self.staged is not None:
@@ -245,7 +332,10 @@ class Store:
             if df.where(F.col(column).isNull()).limit(1).count():
                 raise EngineError("23502", f"{column} is null")
         for rule in entry["check"]:
-            if df.where(f"not ({rule})").limit(1).count():
+            from corviq.plans.engine import Engine
+            from corviq.sql.compiler import predicate  # rules are in the dialect, like everything that users write
+
+            if df.where(~predicate(rule, df, Engine(self.raw, Policy("")))).limit(1).count():
                 raise EngineError("23514", f"{rule} is violated")
         for columns in (entry["key"], *entry["unique"]):
             known = df.where(" and ".join(f"`{c}` is not null" for c in columns))
@@ -277,5 +367,6 @@ class Store:
                     self._referenced(child, hit, depth + 1)
                     self._publish(child, rows.join(keys, match, "left_anti"))
                 else:
+                    default = entry.get("defaults", {}).get(column) if action == "set_default" else None
                     marked = rows.join(keys.withColumn("_h", F.lit(True)), match, "left")
-                    self._publish(child, marked.withColumn(column, F.when(F.col("_h"), None).otherwise(F.col(column))).select(*rows.columns))
+                    self._publish(child, marked.withColumn(column, F.when(F.col("_h"), F.lit(default).cast(dict(rows.dtypes)[column])).otherwise(F.col(column))).select(*rows.columns))

@@ -1,6 +1,6 @@
 import pytest
 
-from corviq import queries
+from corviq import dialect_queries, queries  # noqa: F401
 from tests.conftest import DATA, same
 
 
