@@ -489,7 +489,7 @@ _POOLS = (
 
 
 def _fused(e):
-    return V.rrf(V.knn(e.table("embeddings"), PROBE, 10_000), V.bm25(e.table("documents"), TEXT), 20)
+    return V.rrf(V.scored(e.table("embeddings"), PROBE), V.bm25(e.table("documents"), TEXT), 20)
 
 
 @query("h1_rrf", f"WITH {_POOLS} SELECT id, round(score, 9) AS score FROM fused")
