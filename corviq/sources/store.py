@@ -15,15 +15,19 @@ from pyspark.sql import types as T
 from corviq.errors import EngineError
 from corviq.policy import TENANT, VISIBILITY, Policy
 
+#: Rows of a statement up to which they are broadcast.
+FEW = 10_000
+
 SYSTEM = T.StructType([T.StructField(TENANT, T.StringType()), T.StructField(VISIBILITY, T.StringType()), T.StructField("id", T.LongType())])
 
 
 class Store:
     """A folder of tables on storage that driver and executors share (any file system Spark can write).
 
-    Each version of a table is a folder of Parquet; numbered catalog files say which is current. A commit writes the
-    catalog under a temporary name and renames it to the next number, which fails if another writer was first (40001).
-    Readers keep the version that they planned on.
+    A table is a list of parts, each a folder of Parquet that never changes. An insert adds a part; changes and deletes
+    rewrite only the parts that hold rows they touch. Numbered catalog files say which parts are current: a commit writes
+    the catalog under a temporary name and renames it to the next number, which fails if another writer was first
+    (40001). Readers keep the parts that they planned on. :meth:`compact` joins small parts.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -71,11 +75,15 @@ class Store:
         self.number += 1
         self.catalog = state
 
-    def _publish(self, name: str, df: DataFrame, ledger: tuple[str, str] | None = None) -> None:
+    def _publish(self, name: str, df: DataFrame | None, ledger: tuple[str, str] | None = None, keep: Sequence[str] = ()) -> None:
+        """The table becomes the parts ``keep`` and a new one with the rows of ``df`` (None: no rows)."""
         state = self._state()
         entry = dict(state["tables"][name])
-        entry["version"] = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{entry['version']}")
+        entry["parts"] = list(keep)
+        if df is not None:
+            part = uuid.uuid4().hex
+            df.write.parquet(f"{self.root}/{name}/{part}")
+            entry["parts"].append(part)
         entry["generation"] = entry.get("generation", 0) + 1
         new = json.loads(json.dumps(state))
         new["tables"][name] = entry
@@ -86,6 +94,20 @@ class Store:
         else:
             self.staged = new
 
+    def _split(self, name: str, hit: Column | DataFrame, on: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+        """(parts with rows that ``hit`` holds for, or that match a DataFrame by ``on``; the other parts)."""
+        parts = self._entry(name)["parts"]
+        if len(parts) < 2:
+            return parts, []
+        rows = self.raw(name).withColumn("_part", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1))
+        rows = rows.where(hit) if isinstance(hit, Column) else rows.join(hit, list(on), "left_semi")
+        found = {r[0] for r in rows.select("_part").distinct().collect()}
+        return [p for p in parts if p in found], [p for p in parts if p not in found]
+
+    def compact(self, name: str, files: int = 1) -> None:
+        """All parts as one, in ``files`` files."""
+        self._publish(name, self.raw(name).coalesce(files))
+
     # -- definition
 
     def create(self, name: str, schema: T.StructType, key: Sequence[str] = ("id",), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), check: Sequence[str] = (), foreign: Sequence[tuple[str, str, str, str]] = (), defaults: dict | None = None) -> None:
@@ -110,7 +132,10 @@ class Store:
             raise EngineError("42701", f"{column.name} exists")
         entry.setdefault("defaults", {})[column.name] = default
         entry["schema"] = T.StructType([*T.StructType.fromJson(json.loads(entry["schema"])).fields, column]).json()
-        self._publish(name, raw.withColumn(column.name, F.lit(default).cast(column.dataType)))
+        if default is None and column.name not in entry.get("dropped", ()):
+            self._publish(name, None, keep=entry["parts"])  # files without the column read as null
+        else:
+            self._publish(name, raw.withColumn(column.name, F.lit(default).cast(column.dataType)))
 
     def retype(self, name: str, column: str, kind: T.DataType) -> None:
         """ALTER COLUMN ... TYPE: every value must convert."""
@@ -130,6 +155,7 @@ class Store:
             entry[kind].append(list(rule) if isinstance(rule, tuple) else rule)
         try:
             self._check(name, self.raw(name))
+            self._check_unique(name, self.raw(name))
         except EngineError:
             self._state()["tables"][name] = old
             raise
@@ -157,7 +183,8 @@ class Store:
         if column not in raw.columns:
             raise EngineError("42703", f"no column {column}")
         entry["schema"] = T.StructType([f for f in raw.schema.fields if f.name != column]).json()
-        self._publish(name, raw.drop(column))
+        entry.setdefault("dropped", []).append(column)  # files keep it; a new column of the name rewrites them
+        self._publish(name, None, keep=entry["parts"])
 
     def _entry(self, name: str) -> dict:
         try:
@@ -168,8 +195,13 @@ class Store:
     # -- reading
 
     def raw(self, name: str) -> DataFrame:
-        entry = self._entry(name)
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(f"{self.root}/{name}/{entry['version']}")
+        return self._read(name, self._entry(name)["parts"])
+
+    def _read(self, name: str, parts: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(self._entry(name)["schema"]))
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def read(self, name: str, policy: Policy) -> DataFrame:
         return policy.read(self.raw(name))
@@ -192,12 +224,21 @@ class Store:
         return key, digest
 
     def _guard(self, action):
+        """One statement: all of it or nothing, what it does to other tables included."""
+        own = self.staged is None
+        if own:
+            self.begin()
         try:
-            return action()
-        except EngineError:
-            if self.staged is not None:
+            out = action()
+        except BaseException:
+            if own:
+                self.rollback()
+            else:
                 self.failed = True
             raise
+        if own:
+            self.commit()
+        return out
 
     def _rows(self, name: str, policy: Policy, rows: Sequence[dict], visibility: str) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(self._entry(name)["schema"]))
@@ -219,29 +260,27 @@ class Store:
             new, old = self._rows(name, policy, rows, visibility), self.raw(name)
             if new.groupBy(*key).count().where("count > 1").limit(1).count():
                 raise EngineError("21000", "a key stands twice in the statement")
-            same = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in key]
-            owned = old.where(policy.owned())
-            clash = new.alias("n").join(owned.alias("o"), same, "left_semi")
+            few = F.broadcast if len(rows) <= FEW else (lambda df: df)
+            mine = old.where(policy.owned())
+            clash = mine.join(few(new.select(*key)), list(key), "left_semi")
+            keep, rest = self._entry(name)["parts"], None
             if on_conflict == "error":
                 if clash.limit(1).count():
                     raise EngineError("23505", "duplicate key")
-                written, after = new, old.unionByName(new)
+                written = new
             elif on_conflict == "nothing":
-                written = new.alias("n").join(owned.alias("o"), same, "left_anti")
-                after = old.unionByName(written)
+                written = new.join(clash.select(*key), list(key), "left_anti").select(*new.columns)
             else:
-                hidden = new.alias("n").join(owned.where(~policy.visible()).alias("o"), same, "left_semi")
-                if hidden.limit(1).count():
+                if clash.where(~policy.visible()).limit(1).count():
                     raise EngineError("42501", "the row can't be written")
-                # a row that is updated keeps its id and visibility
-                before = owned.select(*key, F.struct(*old.columns).alias("_old")).alias("o")
-                joined = new.alias("n").join(before, same, "left")
                 types = dict(old.dtypes)
+                before = clash.select(*key, F.struct(*old.columns).alias("_old"))
+                joined = new.alias("n").join(before, list(key), "left")
 
                 def after_update(c: str) -> Column:
                     was, now = F.col(f"_old.{c}"), F.col(f"n.{c}")
                     if c in ("id", VISIBILITY) and c not in key or sets is not None and c not in sets and c not in key:
-                        changed = was
+                        changed = was  # a row that is updated keeps its id and visibility
                     elif sets is not None and c in sets:
                         how, value = sets[c]
                         changed = F.col(f"n.{value}") if how == "excluded" else F.lit(value).cast(types[c])
@@ -250,48 +289,65 @@ class Store:
                     return F.when(F.col("_old").isNull(), now).otherwise(changed).alias(c)
 
                 written = joined.select(*[after_update(c) for c in new.columns])
-                rest = old.alias("o").join(new.alias("n"), [*same, F.col(f"o.{TENANT}") == F.lit(policy.tenant)], "left_anti")
-                after = rest.unionByName(written)
-            self._check(name, after)
-            self._publish(name, after, claim)
+                gone = new.select(*key).withColumn(TENANT, F.lit(policy.tenant))
+                touched, keep = self._split(name, few(gone), [*key, TENANT])
+                rest = self._read(name, touched).join(few(gone), [*key, TENANT], "left_anti").select(*old.columns)
+            self._check(name, written)
+            others = old if rest is None else self._read(name, keep).unionByName(rest)
+            self._check_unique(name, written, few, others)
+            if rest is not None:
+                self._publish(name, rest.unionByName(written), claim, keep)
+            else:
+                self._publish(name, written, claim, keep)
             return written
 
         return self._guard(act)
 
+    def _change(self, name: str, hit: Column, values: dict[str, Column], claim: tuple[str, str] | None = None) -> DataFrame:
+        """Sets columns where ``hit`` holds, in the parts that have such rows; returns the changed rows."""
+        touched, keep = self._split(name, hit)
+        old = self._read(name, touched)
+        marked = old.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+        after = marked.select(*[F.when(F.col("_hit"), values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes], "_hit")
+        changed = after.where("_hit").drop("_hit")
+        self._check(name, changed)
+        entry = self._entry(name)
+        if any(set(values) & set(columns) for columns in (entry["key"], *entry["unique"])):
+            self._check_unique(name, self._read(name, keep).unionByName(after.drop("_hit")))
+        self._publish(name, after.drop("_hit") if touched else None, claim, keep)
+        return changed
+
     def update(self, name: str, policy: Policy, where: Column, values: dict[str, Column], operation: str | None) -> DataFrame:
         """Owned and visible rows for which ``where`` is true; returns them as they are now."""
 
         def act() -> DataFrame:
             claim = self._claim(policy, name, operation, f"{where}{ {k: str(v) for k, v in values.items()} }")
-            old = self.raw(name)
-            hit = F.coalesce(where & policy.owned() & policy.visible(), F.lit(False))
-            marked = old.withColumn("_hit", hit)
-            after = marked.select(*[F.when(F.col("_hit"), values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes], "_hit")
-            self._check(name, after.drop("_hit"))
-            self._publish(name, after.drop("_hit"), claim)
-            return after.where("_hit").drop("_hit")
+            return self._change(name, where & policy.owned() & policy.visible(), values, claim)
 
         return self._guard(act)
 
+    def _remove(self, name: str, hit: Column, claim: tuple[str, str] | None = None) -> DataFrame:
+        touched, keep = self._split(name, hit)
+        old = self._read(name, touched)
+        self._referenced(name, old.where(hit))
+        self._publish(name, old.where(~F.coalesce(hit, F.lit(False))) if touched else None, claim, keep)
+        return old.where(hit)
+
     def delete(self, name: str, policy: Policy, where: Column, operation: str | None) -> DataFrame:
         """Removes owned and visible rows for which ``where`` is true; returns them as they were."""
 
         def act() -> DataFrame:
             claim = self._claim(policy, name, operation, f"delete {where}")
-            old = self.raw(name)
-            hit = F.coalesce(where & policy.owned() & policy.visible(), F.lit(False))
-            self._referenced(name, old.where(hit))
-            self._publish(name, old.where(~hit), claim)
-            return old.where(hit)
+            return self._remove(name, where & policy.owned() & policy.visible(), claim)
 
         return self._guard(act)
 
     def truncate(self, name: str, policy: Policy) -> None:
-        old = self.raw(name)
-        self._publish(name, old.where(~F.coalesce(policy.owned(), F.lit(False))))
+        """Removes all rows that the tenant owns."""
+        self._guard(lambda: self._remove(name, policy.owned()))
 
-    def partitioned_update(self, name: str, policy: Policy, where: Column, values: dict[str, Column], operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
-        """Chunks in id order, each a commit of its own and checked by itself; each row changes at most once."""
+    def _chunks(self, name: str, policy: Policy, where: Column, chunk: int, cancelled, step) -> int:
+        """Chunks in id order, each a commit of its own; every row is met once, the predicate holds anew in each chunk."""
         if self.staged is not None:
             raise EngineError("25001", "not inside a transaction")
         cursor, done = -(1 << 63), 0
@@ -302,31 +358,24 @@ class Store:
                 return done
             if cancelled():
                 raise EngineError("VD002", f"cancelled after {done} rows")
-            old = self.raw(name)
-            now = F.coalesce(hit & (F.col("id") <= last), F.lit(False))
-            after = old.withColumn("_hit", now).select(*[F.when(F.col("_hit"), values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes])
-            self._check(name, after)
-            self._publish(name, after)
+            try:
+                self._guard(lambda h=hit & (F.col("id") <= last): step(h))
+            except EngineError as e:
+                raise EngineError("VD001", f"ended after {done} rows: {e}") if done else e from None
             cursor, done = last, done + n
 
+    def partitioned_update(self, name: str, policy: Policy, where: Column, values: dict[str, Column], operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
+        """An update in chunks; sending it again after a stop goes on with the rows that still fit."""
+        return self._chunks(name, policy, where, chunk, cancelled, lambda hit: self._change(name, hit, values))
+
     def partitioned_delete(self, name: str, policy: Policy, where: Column, operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
-        """Chunks in id order, each a commit of its own; the same operation id resumes after the last one."""
-        if self.staged is not None:
-            raise EngineError("25001", "not inside a transaction")
-        cursor, done = -(1 << 63), 0
-        while True:
-            hit = where & policy.owned() & policy.visible() & (F.col("id") > cursor)
-            ids = self.raw(name).where(hit).orderBy("id").limit(chunk).agg(F.max("id"), F.count("*")).first()
-            if ids[0] is None:
-                return done
-            if cancelled():
-                raise EngineError("VD002", f"cancelled after {done} rows")
-            self._publish(name, self.raw(name).where(~F.coalesce(hit & (F.col("id") <= ids[0]), F.lit(False))))
-            cursor, done = ids[0], done + ids[1]
+        """A delete in chunks; sending it again after a stop goes on with the rest."""
+        return self._chunks(name, policy, where, chunk, cancelled, lambda hit: self._remove(name, hit))
 
     # -- constraints
 
     def _check(self, name: str, df: DataFrame) -> None:
+        """The rules that a row obeys or breaks by itself or by its parents."""
         entry = self._entry(name)
         for column in entry["not_null"]:
             if df.where(F.col(column).isNull()).limit(1).count():
@@ -337,16 +386,21 @@ class Store:
 
             if df.where(~predicate(rule, df, Engine(self.raw, Policy("")))).limit(1).count():
                 raise EngineError("23514", f"{rule} is violated")
-        for columns in (entry["key"], *entry["unique"]):
-            known = df.where(" and ".join(f"`{c}` is not null" for c in columns))
-            if known.groupBy(TENANT, *columns).count().where("count > 1").limit(1).count():
-                raise EngineError("23505", f"duplicate {', '.join(columns)}")
         for column, parent, target, _ in entry["foreign"]:
             keys = self.raw(parent).select(F.col(target).alias("_p"), F.col(TENANT).alias("_t"))
             orphans = df.where(F.col(column).isNotNull()).join(keys, (F.col(column) == F.col("_p")) & (F.col(TENANT) == F.col("_t")), "left_anti")
             if orphans.limit(1).count():
                 raise EngineError("23503", f"{column} has no parent")
 
+    def _check_unique(self, name: str, df: DataFrame, few=None, others: DataFrame | None = None) -> None:
+        """Keys among ``df``, and between it and ``others``: new rows are looked up there, the table isn't grouped."""
+        entry = self._entry(name)
+        for columns in (entry["key"], *entry["unique"]):
+            known = df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(TENANT, *columns)
+            twice = known.groupBy(TENANT, *columns).count().where("count > 1").limit(1).count()
+            if twice or others is not None and others.join(few(known), [TENANT, *columns], "left_semi").limit(1).count():
+                raise EngineError("23505", f"duplicate {', '.join(columns)}")
+
     def _referenced(self, name: str, gone: DataFrame, depth: int = 0) -> None:
         """What a delete does to the rows that point at it."""
         if depth > 16:

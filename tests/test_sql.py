@@ -128,6 +128,7 @@ def test_statements(spark, tmp_path):
     assert [r["n"] for r in e.sql("UPDATE p SET n = n + 1, name = 'zz' WHERE id = 3 RETURNING n USING OPERATION_ID 'u1'").collect()] == [4]
     assert [r["id"] for r in e.sql("SELECT id FROM p WHERE embedding IS NOT NULL ORDER BY embedding <=> '[0.0,2.0]' LIMIT 1").collect()] == [2]
     assert other.sql("DELETE FROM p WHERE id = 1 USING OPERATION_ID 'd0'") == 0
+    assert len(store._entry("p")["parts"]) > 1
     e.sql("BEGIN; DELETE FROM p WHERE id = 1 USING OPERATION_ID 'd1'")
     assert e.sql("SELECT COUNT(*) AS n FROM p").first()["n"] == 2
     e.sql("ROLLBACK")
@@ -141,6 +142,8 @@ def test_statements(spark, tmp_path):
     e.sql("CREATE TABLE c (p_id BIGINT REFERENCES p (id) ON DELETE SET NULL)")
     e.sql("INSERT INTO c (id, p_id) VALUES (1, 7) USING OPERATION_ID 'c2'; DELETE FROM p WHERE id = 7 USING OPERATION_ID 'd2'")
     assert e.sql("SELECT p_id FROM c LIMIT 1").first()["p_id"] is None
+    store.compact("p")
+    assert len(store._entry("p")["parts"]) == 1
     e.sql("ALTER TABLE p DROP CONSTRAINT p_name_key; TRUNCATE TABLE p")
     assert e.sql("SELECT COUNT(*) AS n FROM p").first()["n"] == 0
     assert Store(spark, str(tmp_path)).raw("c").count() == 1
