@@ -60,6 +60,10 @@ _TEXTS: dict[str, tuple[str, str]] = {
         "SELECT id, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0) AND EXISTS (SELECT id FROM region) AND c_acctbal > (SELECT AVG(c_acctbal) FROM customer)",
         "SELECT id, c_name FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000) AND c_nationkey NOT IN (SELECT s_nationkey FROM {supplier} WHERE s_acctbal < 0) AND EXISTS (SELECT id FROM {region}) AND c_acctbal > (SELECT avg(c_acctbal) FROM {customer})",
     ),
+    "sql_in_or": (
+        "SELECT id FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000) OR c_acctbal < -900",
+        "SELECT id FROM {customer} WHERE c_nationkey IN (SELECT s_nationkey FROM {supplier}) OR c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 1000) OR c_acctbal < -900",
+    ),
     "sql_scalar_projection": ("SELECT id, (SELECT MAX(c_acctbal) FROM customer) AS top FROM nation", "SELECT id, (SELECT max(c_acctbal) FROM {customer}) AS top FROM {nation}"),
     "sql_cte": (
         "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 150000), per AS (SELECT o_custkey, COUNT(*) AS n FROM big GROUP BY o_custkey) SELECT n, COUNT(*) AS customers FROM per GROUP BY n",

@@ -15,6 +15,7 @@ from corviq.errors import EngineError
 
 SAMPLE = 50_000  # rows at most from which centroids are fitted; every row is indexed
 ROUNDS = 12
+RECALL = 0.95  # of a sample's exact neighbours, which the probes are chosen for
 VISIBLE_SHARE = 0.1  # below it a full scan is cheaper than probing lists that are mostly invisible
 
 
@@ -105,7 +106,7 @@ def search(index: DataFrame, coarse: Coarse, queries: Mapping[int, Sequence[floa
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def tune(index: DataFrame, coarse: Coarse, k: int = 10, least: float = 0.95, queries: int = 64) -> int:
+def tune(index: DataFrame, coarse: Coarse, k: int = 10, least: float = RECALL, queries: int = 64) -> int:
     """The fewest probes with which a sample of indexed vectors finds the share ``least`` of its exact neighbours.
 
     One exact batch search over the index; only the sample's ``k`` neighbours and their lists reach the driver.

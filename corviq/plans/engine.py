@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corviq.errors import EngineError
+from corviq.operators import ann
 from corviq.operators import relational as R
 from corviq.operators import retrieval as V
 from corviq.plans import planner
@@ -55,6 +57,8 @@ class Engine:
         self.visibility = "public"  # of the rows that this session writes
         self.enums: dict[str, list[str]] = {}
         self.indexes: dict[str, tuple] = {}
+        self._ann: dict[tuple[str, str], tuple] = {}
+        self.ann_plan = "exact"
         self.running: dict[str, str] = {}  # partitioned statements by operation id
         self.views: dict[str, Callable[[Engine], DataFrame]] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
@@ -99,14 +103,37 @@ class Engine:
             dim = first["n"] if first else 1
         return embed_text(text, dim)
 
-    def hits(self, df: DataFrame, vector: str, query, k: int, body: str | None = None, text: str | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-        """(id, score): exact k-NN, or its fusion with BM25 where there is a text."""
+    def hits(self, df: DataFrame, vector: str, query, k: int, body: str | None = None, text: str | None = None, weights: tuple[float, float] = (1.0, 1.0), table: str | None = None) -> DataFrame:
+        """(id, score): k-NN, or its fusion with BM25 where there is a text; exact unless ``table`` has an hnsw index."""
+        wide = k if text is None else max(k, 200)
+        near = self._approximate(table, df, vector, query, wide) if table else None
+        self.ann_plan = "exact" if near is None else "probe"
         if text is None:
-            return V.knn(df, query, k, vector).select("id", "score")
-        return V.rrf(V.scored(df, query, vector), V.bm25(df, text, body), k, weights=weights)
-
-    def ann_plan(self) -> str:
-        return "probe" if any(m == "hnsw" for _, m, _ in self.indexes.values()) else "exact"
+            return V.knn(df, query, k, vector).select("id", "score") if near is None else near
+        return V.rrf(V.scored(df, query, vector) if near is None else near, V.bm25(df, text, body), k, weights=weights)
+
+    def _approximate(self, table: str, df: DataFrame, vector: str, query, k: int) -> DataFrame | None:
+        """(id, score) by probing a declared index, or None where there is none or a full scan is cheaper.
+
+        The index of a table is fitted over the rows that this session sees, once per table generation, and kept beside
+        the store's tables, partitioned by list. ``df`` may be filtered: only its ids count, and if they are too few of
+        the indexed rows, probing would find too little.
+        """
+        if self.store is None or (table, "hnsw", (vector,)) not in self.indexes.values():
+            return None
+        generation = self.store._entry(table)["generation"]
+        if (table, vector) not in self._ann or self._ann[table, vector][0] != generation:
+            rows = self.table(table)
+            coarse = ann.fit(rows, vector=vector)
+            path = f"{self.store.root}/_index/{table}-{vector}-{generation}-{uuid.uuid4().hex}"
+            ann.assign(rows, coarse, vector).write.partitionBy("list").parquet(path)
+            stored = self.spark.read.schema("id long, embedding array<float>, list int").parquet(path)
+            self._ann[table, vector] = (generation, coarse, stored, ann.tune(stored, coarse, least=ann.RECALL), stored.count())
+        _, coarse, stored, probes, total = self._ann[table, vector]
+        ids = df.where(F.col(vector).isNotNull()).select("id")
+        if not ann.worthwhile(ids.count(), total):
+            return None
+        return ann.search(stored.join(ids, "id", "left_semi"), coarse, {0: query}, k, probes).select("id", "score")
 
     # -- partitioned statements
 
@@ -228,11 +255,11 @@ class Engine:
             mode, _ = self.resolve_mode(op.get("mode"), expansion.mode_hint)
         body = next((c for c in ("body", "text") if c in df.columns), None)
         if "text" in op and "vector" in op and body:
-            hits = self.hits(df, "embedding", op["vector"], k, body, op["text"], tuple(op.get("weights", (1.0, 1.0))))
+            hits = self.hits(df, "embedding", op["vector"], k, body, op["text"], tuple(op.get("weights", (1.0, 1.0))), op["table"])
             gate = {"least": 0.98, "margin": 0.005}
             confidence = V.rrf_confidence(F.col("score"))
         elif "vector" in op:
-            hits, gate, confidence = V.knn(df, op["vector"], k), {"least": 0.80, "margin": 0.05}, F.col("score")
+            hits, gate, confidence = self.hits(df, "embedding", op["vector"], k, table=op["table"]), {"least": 0.80, "margin": 0.05}, F.col("score")
         else:
             hits = V.bm25(df, op["text"], body or "text").orderBy(F.desc("score"), "id").limit(k)
             gate, confidence = {"least": 0.0, "margin": 0.0}, F.col("score")

@@ -309,8 +309,28 @@ class Compiler:
             fact = self.query(node[1]).limit(1).agg((F.count("*") > 0).alias(name))
             env.df = env.df.join(F.broadcast(fact))
             return ("raw", name)
+        if node[0] == "in_query" and isinstance(node[2], Query):
+            return ("raw", self.marked(node, env))
         return tuple(self.attach(x, env) if isinstance(x, tuple) else x for x in node)
 
+    def marked(self, node, env: Env) -> str:
+        """IN of a subquery as a three-valued column: a left join with its distinct values and one row of facts."""
+        _, left, query, negate = node
+        key, seen, out = self.fresh("k"), self.fresh("m"), self.fresh("i")
+        inner = self.query(query)
+        if len(inner.columns) != 1:
+            raise EngineError("42601", "the subquery has more than one column")
+        df = env.df.withColumn(key, self.expr(self.attach(left, env), env))
+        if _family(df.schema[key].dataType) != _family(inner.schema[0].dataType):
+            raise EngineError("42804", "IN compares different types")
+        value = inner.select(F.col(f"`{inner.columns[0]}`").alias("_v"))
+        facts = value.agg(F.count("*").alias("_n"), F.count("_v").alias("_known"))
+        known = value.where(F.col("_v").isNotNull()).distinct().withColumn(seen, F.lit(True))
+        joined = df.join(known, F.col(key) == F.col("_v"), "left").join(F.broadcast(facts))
+        found = F.when(F.col("_n") == 0, False).when(F.col(seen), True).when(F.col(key).isNull() | (F.col("_n") > F.col("_known")), None).otherwise(False)
+        env.df = joined.withColumn(out, ~found if negate else found).drop("_v", "_n", "_known", key, seen)
+        return out
+
     def where(self, condition: tuple | None, env: Env) -> None:
         for part in _conjuncts(condition):
             if part[0] == "in_query":
@@ -462,7 +482,8 @@ class Compiler:
         self.used |= {"mode": mode, "mode_source": source, "order": "RLS,DISTANCE,SCALAR" if late else "RLS,SCALAR,DISTANCE"}
         if not late:
             self.where(s.where, env)
-        hits = self.engine.hits(env.df, vec, query, k, body if text is not None else None, text, weights)
+        hits = self.engine.hits(env.df, vec, query, k, body if text is not None else None, text, weights, s.relations[0].name)
+        self.used["ann_plan"] = self.engine.ann_plan
         gate = {"least": 0.98, "margin": 0.005} if text is not None else {"least": 0.80, "margin": 0.05}
         if boosts:
             hits = V.boost(hits.join(env.df.select("id", *{b[0] for b in boosts}), "id"), boosts).select("id", "score")
@@ -550,9 +571,8 @@ def explain(engine, q: Query) -> DataFrame:
     c = Compiler(engine)
     df = c.query(q)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    ann = engine.ann_plan()
     access = "pushed filters" if "PushedFilters: [" in plan and "PushedFilters: []" not in plan else "full scan"
-    lines = [f"{k}: {v}" for k, v in ({"engine": "spark"} | c.used | {"ann_plan": ann, "scalar_plan": access}).items()]
+    lines = [f"{k}: {v}" for k, v in ({"engine": "spark"} | {"ann_plan": "none"} | c.used | {"scalar_plan": access}).items()]
     return engine.spark.createDataFrame([(x,) for x in [*lines, *plan.split("\n")]], "`QUERY PLAN` string")
 
 

@@ -180,6 +180,25 @@ def test_inverted_file_recall(e):
     assert np.array_equal(ann.fit(vectors).centroids, coarse.centroids)
 
 
+def test_declared_index(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    e = Engine.on(Store(spark, str(tmp_path)), Policy("a"))
+    e.sql("CREATE TABLE v (embedding VECTOR(8), lang TEXT)")
+    rows = [{"id": k, "embedding": x.astype(np.float32).tolist(), "lang": "rare" if k % 50 == 0 else "common"} for k, x in enumerate(rng.standard_normal((600, 8)))]
+    e.store.insert("v", e.policy, rows, "load")
+    probe = "[1.0,0.5,0.0,-1.0,0.2,0.0,0.3,0.9]"
+    text = f"SELECT id FROM v ORDER BY embedding <=> '{probe}' LIMIT 20"
+    exact = [r["id"] for r in e.sql(text).collect()]
+    e.sql("CREATE INDEX near ON v USING hnsw (embedding)")
+    found = [r["id"] for r in e.sql(text).collect()]
+    assert len(set(found) & set(exact)) >= 18
+    assert "ann_plan: probe" in [r[0] for r in e.sql(f"EXPLAIN {text}").collect()]
+    few = [r["id"] for r in e.sql(f"SELECT id FROM v WHERE lang = 'rare' ORDER BY embedding <=> '{probe}' LIMIT 12").collect()]
+    assert e.ann_plan == "exact" and len(few) == 12
+    e.sql("INSERT INTO v (id, embedding) VALUES (1000, '[9,9,9,-9,9,9,9,9]') USING OPERATION_ID 'more'")
+    assert e.sql(text).first()["id"] == 1000  # the index follows the table
+
+
 def test_files(spark, tmp_path):
     old = spark.createDataFrame([("a.txt", 0, 1, 1, "old", [0.0]), ("b.txt", 0, 1, 1, "stays", [0.0])], "path string, chunk int, start_line int, end_line int, body string, embedding array<float>")
     files = spark.createDataFrame([("a.txt", "new text"), ("c.md", "# A\nx\n# B\ny")], "path string, text string")
