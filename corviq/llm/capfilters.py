@@ -21,7 +21,7 @@ from corviq.llm.common import key_runs, materialize
 from corviq.llm.components import connected_components, spanning
 
 LEAST = 3  # filters that any vector is in, of one table
-TABLES = 4  # independent rotations and codes: what one misses another finds
+TABLES = 4  # independent rotations and codes, up to 100,000 vectors: what one misses another finds
 PER_TABLE = 4.0  # filters a vector is expected to be in, of one table
 IN_FILTER = 8.0  # vectors expected in a filter
 BLOCKS = 2  # of a product code
@@ -49,6 +49,11 @@ def plan(n: int) -> tuple[int, float]:
     return words, NormalDist().inv_cdf(1 - PER_TABLE / words**BLOCKS)
 
 
+def tables(n: int) -> int:
+    """Tables for ``n`` vectors. A table finds fewer of the links as its filters narrow, so larger inputs get more."""
+    return TABLES + int(np.ceil(1.5 * max(0.0, np.log10(max(n, 1) / 1e5))))
+
+
 def decode(unit: np.ndarray, words: int, z: float, table: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every filter direction of a table whose product with the row reaches the threshold."""
     dim = unit.shape[1]
@@ -85,13 +90,13 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
-def narrow(words: int) -> bool:
+def narrow(words: int, count: int) -> bool:
     """Whether 32 bits number the filters of all tables."""
-    return TABLES * words**BLOCKS < 1 << 31
+    return count * words**BLOCKS < 1 << 31
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float) -> Iterator[pa.RecordBatch]:
-    number = np.int32 if narrow(words) else np.int64
+def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float, count: int) -> Iterator[pa.RecordBatch]:
+    number = np.int32 if narrow(words, count) else np.int64
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
@@ -101,7 +106,7 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float) -> Iterat
                 rows = np.flatnonzero(dims == dim)
                 x = values[offsets[rows][:, None] + np.arange(dim)].astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = [decode(x, words, z, t) for t in range(TABLES)]
+                found = [decode(x, words, z, t) for t in range(count)]
                 row, key = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order].astype(number)
@@ -173,8 +178,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Equal vectors are collapsed first and counted. Every link has cosine >= ``least``, computed in
-    double precision; a link is found if its ends share a filter, which misses about one link in a thousand at 0.955
-    (measured in the tests) and hardly any of nearer ones. Each link is counted in the first filter that both ends share,
+    double precision; a link is found if its ends share a filter, which isn't certain: of links at cosine 0.955 about
+    two in a thousand were missed at 50,000 vectors of 64 components, fewer of nearer ones (README has the figures). Each link is counted in the first filter that both ends share,
     so no table of pairs is made: blocks emit one row per vector. Rows with a null id link with nothing. Rows that
     repeat an id are vectors of their own, but share links and component. Labels and other columns aren't looked at.
     Choose parameters by the number of vectors: filters grow with it, so that their occupancy stays the same.
@@ -188,9 +193,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = F.coalesce(F.col("id").isNotNull() & ~F.exists(v, lambda x: x.isNull()) & (whole == 0.0) & some, F.lit(False))
     groups = base.where(usable).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     groups = materialize(groups)
-    words, z = plan(max(1, groups.count()))
-    schema = f"key long, rep long, m long, v {exact}, filters array<{'int' if narrow(words) else 'long'}>"
-    postings = groups.select("rep", "m", "v").mapInArrow(lambda it: _postings(it, words, z), schema)
+    n = max(1, groups.count())
+    (words, z), count = plan(n), tables(n)
+    schema = f"key long, rep long, m long, v {exact}, filters array<{'int' if narrow(words, count) else 'long'}>"
+    postings = groups.select("rep", "m", "v").mapInArrow(lambda it: _postings(it, words, z, count), schema)
     postings = materialize(postings)
     dealt = blocked(postings, "key", "rep", block).select("key", "i", "j", "part", "rep", "m", "v", "filters")
     found = materialize(dealt.mapInArrow(lambda it: _links(it, least), "rep long, links long, root long"))
