@@ -33,6 +33,8 @@ WRITES = {
     "cancel_partitioned_dml": ({"operation_id"}, set()),
 }
 
+KEY = "_key"
+
 _AGG = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
 
 
@@ -103,13 +105,17 @@ class Engine:
             dim = first["n"] if first else 1
         return embed_text(text, dim)
 
-    def hits(self, df: DataFrame, vector: str, query, k: int, body: str | None = None, text: str | None = None, weights: tuple[float, float] = (1.0, 1.0), table: str | None = None) -> DataFrame:
-        """(id, score): k-NN, or its fusion with BM25 where there is a text; exact unless ``table`` has an hnsw index."""
+    def hits(self, df: DataFrame, vector: str, query, k: int, body: str | None = None, text: str | None = None, weights: tuple[float, float] = (1.0, 1.0), table: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """(id, score; the key for id, where ``df`` has one; exact k-NN also carries ``keep``): k-NN, or its fusion with BM25 where there is a text; exact unless ``table`` has an hnsw index."""
         wide = k if text is None else max(k, 200)
         near = self._approximate(table, df, vector, query, wide) if table else None
         self.ann_plan = "exact" if near is None else "probe"
+        whole = df.withColumn("id", F.col(KEY)) if KEY in df.columns else df
+        if near is not None and KEY in df.columns:
+            near = near.join(df.select("id", KEY), "id").select(F.col(KEY).alias("id"), "score")
         if text is None:
-            return V.knn(df, query, k, vector).select("id", "score") if near is None else near
+            return V.knn(whole, query, k, vector, keep=("id", *keep)) if near is None else near
+        df = whole
         return V.rrf(V.scored(df, query, vector) if near is None else near, V.bm25(df, text, body), k, weights=weights)
 
     def _approximate(self, table: str, df: DataFrame, vector: str, query, k: int) -> DataFrame | None:
@@ -128,8 +134,15 @@ class Engine:
             path = f"{self.store.root}/_index/{table}-{vector}-{generation}-{uuid.uuid4().hex}"
             ann.assign(rows, coarse, vector).write.partitionBy("list").parquet(path)
             stored = self.spark.read.schema("id long, embedding array<float>, list int").parquet(path)
+            if stored.groupBy("id").count().where("count > 1").limit(1).count():
+                stored = None  # ids of several tenants clash: exact search
+            if stored is None:
+                self._ann[table, vector] = (generation, coarse, None, 0, 0)
+                return None
             self._ann[table, vector] = (generation, coarse, stored, ann.tune(stored, coarse, least=ann.RECALL), stored.count())
         _, coarse, stored, probes, total = self._ann[table, vector]
+        if stored is None:
+            return None
         ids = df.where(F.col(vector).isNotNull()).select("id")
         if not ann.worthwhile(ids.count(), total):
             return None
@@ -154,15 +167,21 @@ class Engine:
             raise EngineError("42704", f"no operation {operation}")
         self.running[operation] = "cancelled"
 
-    def table(self, name: str) -> DataFrame:
-        """A view (built with this session's rights) or a table behind the visibility filter."""
+    def table(self, name: str, keyed: bool = False) -> DataFrame:
+        """A view (built with this session's rights) or a table behind the visibility filter.
+
+        ``keyed`` adds ``_key`` to a table's rows: ids are unique within a tenant only, (id, tenant) always.
+        """
         if name in self.views:
             return self.views[name](self)
         try:
             raw = self.resolve(name)
         except KeyError:
             raise EngineError("42P01", f"no table {name}") from None
-        return self.policy.read(raw).drop(TENANT, VISIBILITY)
+        visible = self.policy.read(raw)
+        if keyed and "id" in visible.columns:
+            visible = visible.withColumn(KEY, F.struct("id", TENANT))
+        return visible.drop(TENANT, VISIBILITY)
 
     def create_view(self, name: str, build: Callable[[Engine], DataFrame]) -> None:
         if name in self.views:
@@ -214,7 +233,7 @@ class Engine:
             raise EngineError("42601", f"no operation {kind}")
         if extra := set(op) - known[kind]:
             raise EngineError("42601", f"unknown fields {sorted(extra)}")
-        df = self.table(op["table"])
+        df = self.table(op["table"], keyed=kind == "search")
         if op.get("filter"):
             df = df.where(R.predicate(op["filter"], df.columns))
         return getattr(self, f"_{kind}")(df, op)
@@ -261,11 +280,15 @@ class Engine:
         elif "vector" in op:
             hits, gate, confidence = self.hits(df, "embedding", op["vector"], k, table=op["table"]), {"least": 0.80, "margin": 0.05}, F.col("score")
         else:
-            hits = V.bm25(df, op["text"], body or "text").orderBy(F.desc("score"), "id").limit(k)
+            whole = df.withColumn("id", F.col(KEY)) if KEY in df.columns else df
+            hits = V.bm25(whole, op["text"], body or "text").orderBy(F.desc("score"), "id").limit(k)
             gate, confidence = {"least": 0.0, "margin": 0.0}, F.col("score")
         columns = [c for c in op.get("columns", ()) if c != "id"]
         if columns or op.get("post_filter") or op.get("boosts"):
-            hits = hits.join(df.select("*"), "id")  # late: the payload of the winners only
+            key = KEY if KEY in df.columns else "id"
+            hits = hits.select(F.col("id").alias("_hit"), "score").join(df, F.col("_hit") == F.col(key)).drop("_hit", KEY)  # late: the payload of the winners only
+        elif KEY in df.columns:
+            hits = hits.select(F.col("id.id").alias("id"), "score")
         if op.get("post_filter"):
             hits = hits.where(R.predicate(op["post_filter"], df.columns))
         if op.get("boosts"):

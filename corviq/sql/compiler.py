@@ -14,6 +14,7 @@ from corviq.errors import EngineError
 from corviq.functions import scalar as S
 from corviq.operators import relational as R
 from corviq.operators import retrieval as V
+from corviq.plans.engine import KEY
 from corviq.sql.lexer import split
 from corviq.sql.parser import AGGREGATES, RANKS, Parser, Query, Select, SetOp, Statement
 
@@ -268,11 +269,14 @@ class Compiler:
     def relation(self, name: str) -> DataFrame:
         return self.ctes[name] if name in self.ctes else self.engine.table(name)
 
-    def source(self, s: Select) -> Env:
+    def source(self, s: Select, keyed: bool = False) -> Env:
         aliases = [r.alias for r in s.relations]
         if len(set(aliases)) < len(aliases):
             raise EngineError("42712", "a relation name is used twice")
         first = s.relations[0]
+        if keyed and first.name not in self.ctes:
+            df = self.engine.table(first.name, keyed=True)
+            return Env(df, [(first.alias, {c: c for c in df.columns if c != KEY})])
         df = self.relation(first.name)
         if len(s.relations) == 1:
             return Env(df, [(first.alias, {c: c for c in df.columns})])
@@ -348,8 +352,8 @@ class Compiler:
                 env.df = env.df.where(self.expr(part, env))
 
     def select(self, s: Select) -> DataFrame:
-        env = self.source(s)
         search = s.plan is not None or len(s.order) == 1 and (s.order[0][0][:2] == ("op", "<=>") or s.order[0][0][0] == "call" and s.order[0][0][1] in ("hybrid_rrf", "hybrid"))
+        env = self.source(s, keyed=bool(search) and len(s.relations) == 1)
         if search:
             return self.search(s, env)
         if s.mode or s.hint:
@@ -454,7 +458,7 @@ class Compiler:
         if s.limit is None:
             raise EngineError("42601", "a search needs LIMIT")
         k, body, weights, planned, boosts = s.limit, "body", (1.0, 1.0), None, []
-        columns = list(env.df.columns)
+        columns = [c for c in env.df.columns if c != KEY]
         vec = next((c for c, t in env.df.dtypes if t == "array<float>"), None)
         if s.plan is not None:
             expansion = self.engine.expand(s.plan)
@@ -482,15 +486,22 @@ class Compiler:
         self.used |= {"mode": mode, "mode_source": source, "order": "RLS,DISTANCE,SCALAR" if late else "RLS,SCALAR,DISTANCE"}
         if not late:
             self.where(s.where, env)
-        hits = self.engine.hits(env.df, vec, query, k, body if text is not None else None, text, weights, s.relations[0].name)
+        hits = self.engine.hits(env.df, vec, query, k, body if text is not None else None, text, weights, s.relations[0].name, () if boosts or "score" in columns else (*(c for c in columns if c != "id"),))
         self.used["ann_plan"] = self.engine.ann_plan
         gate = {"least": 0.98, "margin": 0.005} if text is not None else {"least": 0.80, "margin": 0.05}
+        key = KEY if KEY in env.df.columns else "id"
         if boosts:
-            hits = V.boost(hits.join(env.df.select("id", *{b[0] for b in boosts}), "id"), boosts).select("id", "score")
+            hits = hits.join(env.df.select(F.col(key).alias("id"), *{b[0] for b in boosts}), "id")
+            hits = V.boost(hits, boosts).select("id", "score")
         if mode == "precision":
             confidence = V.rrf_confidence(F.col("score"), weights=weights) if text is not None else F.col("score")
-            hits = V.gate(hits.withColumn("_raw", F.col("score")).withColumn("score", confidence), **gate).select("id", F.col("_raw").alias("score"))
-        joined = env.df.join(hits.select("id", F.col("score").alias("_score")), "id")  # late: the payload of the winners only
+            hits = V.gate(hits.withColumn("_raw", F.col("score")).withColumn("score", confidence), **gate).drop("score").withColumnRenamed("_raw", "score")
+        if set(columns) <= set(hits.columns):  # exact k-NN: the winners came with their columns
+            joined = hits.withColumnRenamed("score", "_score")
+            if key == KEY:
+                joined = joined.withColumn("id", F.col("id.id"))
+        else:  # late: the payload of the winners only
+            joined = env.df.join(hits.select(F.col("id").alias("_hit"), F.col("score").alias("_score")), F.col(key) == F.col("_hit"))
         after = Env(joined.select(*columns, "_score"), env.scope)
         if late:
             self.where(s.where, after)

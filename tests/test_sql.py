@@ -152,6 +152,22 @@ def test_statements(spark, tmp_path):
     assert code(lambda: stale.drop("c")) == "40001"
 
 
+def test_tenants_share_an_id(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    a, b = Engine.on(s, Policy("a")), Engine.on(s, Policy("b"))
+    a.sql("CREATE TABLE v (embedding VECTOR(2), body TEXT); INSERT INTO v (id, embedding, body) VALUES (1, '[1,0]', 'red'), (2, '[0,1]', 'blue') USING OPERATION_ID 'x'")
+    b.sql("INSERT INTO v (id, embedding, body) VALUES (1, '[0.5,0]', 'green'), (3, '[0.2,0]', 'red') USING OPERATION_ID 'x'")
+    near = "SELECT id, body FROM v ORDER BY embedding <=> '[1,0]' LIMIT 2"
+    want = [(1, "red", 1.0), (1, "green", 0.5)]
+    assert [tuple(r) for r in a.sql(near).collect()] == want
+    assert [tuple(r) for r in a.query({"op": "search", "table": "v", "vector": [1.0, 0.0], "k": 2, "columns": ["body"]}).collect()] == want
+    assert [r["id"] for r in a.query({"op": "search", "table": "v", "vector": [1.0, 0.0], "k": 3}).collect()] == [1, 1, 3]
+    assert [(r["id"], r["body"]) for r in a.sql("SELECT id, body FROM v ORDER BY hybrid_rrf(embedding, '[1,0]', body, 'red') LIMIT 2").collect()] == [(1, "red"), (3, "red")]
+    assert sorted(r["id"] for r in a.query({"op": "search", "table": "v", "text": "red", "k": 9}).collect()) == [1, 3]
+    a.sql("CREATE INDEX i ON v USING hnsw (embedding)")
+    assert [tuple(r) for r in a.sql(near).collect()] == want and a.ann_plan == "exact"
+
+
 def test_dict_writes(spark, tmp_path):
     e = Engine.on(Store(spark, str(tmp_path)), Policy("a"))
     e.query({"op": "create_table", "table": "t", "columns": [{"name": "lang", "type": "TEXT"}, {"name": "n", "type": "INTEGER"}]})
