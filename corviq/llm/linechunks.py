@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corviq.llm.common import fresh, materialize, rows_of
 
-LONG_LINE, LEAST_WORDS, LEAST_LINES, MOST_LINES, DIVISOR = 48, 24, 2, 16, 2
+LONG_LINE, LEAST_WORDS, LEAST_LINES, MOST_LINES, DIVISOR, MOST_BLANK, DIGEST = 48, 24, 2, 16, 2, 8, 16
 BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunks(text: str | None) -> list[tuple[int, int, int]]:
-    """(first line, lines, words) of each chunk of a text; chunks cover all its lines.
+def _cut(lines: list[str], sizes: list[int]) -> list[tuple[int, int]]:
+    """(first line, lines) of the content-defined chunks, which cover all lines.
 
     Lines are hashed, and a rolling hash over the last two line hashes ends a chunk of at least two lines where it is
     divisible by ``DIVISOR``; so a run of lines has the same inner boundaries wherever it stands. A line of
@@ -24,27 +27,71 @@ def chunks(text: str | None) -> list[tuple[int, int, int]]:
     """
     import xxhash
 
-    if not text:
-        return []
-    out, first, words, last = [], 0, 0, 0
-    lines = text.split("\n")
+    out, first, last = [], 0, 0
     for k, line in enumerate(lines):
-        n = len(line.split())
-        if n >= LONG_LINE:
+        if sizes[k] >= LONG_LINE:
             if k > first:
-                out.append((first, k - first, words))
-            out.append((k, 1, n))
-            first, words, last = k + 1, 0, 0
+                out.append((first, k - first))
+            out.append((k, 1))
+            first, last = k + 1, 0
             continue
-        words += n
         h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
         rolled = (last * BASE + h) & MASK
         last = h
         if k + 1 - first >= MOST_LINES or k + 1 - first >= LEAST_LINES and (rolled >> 17) % DIVISOR == 0:
-            out.append((first, k + 1 - first, words))
-            first, words = k + 1, 0
+            out.append((first, k + 1 - first))
+            first = k + 1
     if first < len(lines):
-        out.append((first, len(lines) - first, words))
+        out.append((first, len(lines) - first))
+    return out
+
+
+def _passages(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line, lines) of the least runs of ``LONG_LINE`` words or more from each line on and up to each line.
+
+    Where they begin and end depends on nothing outside of them, and they cover any run of that many words: a line that
+    no run from a line before it reaches has enough words before it within the run. Runs begin with a line that has
+    words; of blank lines in a row, runs end at the first ``MOST_BLANK``.
+    """
+    n, end, words, first, before, blank = len(sizes), 0, 0, 0, 0, 0
+    for k, size in enumerate(sizes):
+        while end < n and words < LONG_LINE:
+            words += sizes[end]
+            end += 1
+        if size and words >= LONG_LINE:
+            yield k, end - k
+        words -= size
+        before += size
+        while before - sizes[first] >= LONG_LINE:
+            before -= sizes[first]
+            first += 1
+        blank = 0 if size else blank + 1
+        if before >= LONG_LINE and blank <= MOST_BLANK:
+            yield first, k + 1 - first
+
+
+def chunks(text: str | None) -> list[tuple[int, int, int]]:
+    """(first line, lines, words) of what is compared of a text, in order: its content-defined chunks, and since those
+    seldom lie whole inside a short passage, all least runs of lines that are as long as a passage; they overlap."""
+    return _chunks_of(text.split("\n")) if text else []
+
+
+def _chunks_of(lines: list[str]) -> list[tuple[int, int, int]]:
+    sizes = [len(line.split()) for line in lines]
+    upto = [0, *accumulate(sizes)]
+    spots = {*_cut(lines, sizes), *_passages(sizes)}
+    if len(number := {line: k for k, line in enumerate(lines)}) < len(lines):
+        spots = _apart([number[line] for line in lines], spots)
+    return [(first, n, upto[first + n] - upto[first]) for first, n in sorted(spots)]
+
+
+def _apart(lines: list[int], spots: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    """A run that overlaps the first one equal to it in the text is joined with it: else the first would lose lines."""
+    seen: dict[tuple[int, ...], int] = {}
+    out = set()
+    for first, n in sorted(spots):
+        at = seen.setdefault(tuple(lines[first : first + n]), first)
+        out.add((at, first + n - at) if at < first < at + n else (first, n))
     return out
 
 
@@ -54,56 +101,76 @@ def counts(lines: int, words: int) -> bool:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         for doc, text in zip(*rows_of(batch, "id", "text"), strict=True):
-            lines = text.split("\n") if text else []
-            for first, n, words in chunks(text):
+            if not text:
+                continue
+            lines = text.split("\n")
+            digests = b"".join(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=DIGEST).digest() for line in lines)
+            for first, n, words in _chunks_of(lines):
                 if counts(n, words):
-                    body = "\n".join(lines[first : first + n])
-                    for column, value in zip(out, (doc, first, n, xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63), body), strict=True):
+                    body = digests[first * DIGEST : (first + n) * DIGEST]
+                    for column, value in zip(out, (doc, first, n, blake2b(body, digest_size=DIGEST).digest()), strict=True):
                         column.append(value)
-            if len(out[0]) >= 4096:
+            if len(out[0]) >= 16384:
                 yield _batch(out)
-                out = [[], [], [], [], []]
+                out = [[], [], [], []]
         yield _batch(out)
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "first", "lines", "h", "body"])
+    halves = np.frombuffer(b"".join(columns[3]), "<i8").reshape(-1, 2)
+    types = (pa.int64(), pa.int32(), pa.int32())
+    arrays = [pa.array(c, t) for c, t in zip(columns[:3], types, strict=True)] + [pa.array(halves[:, k].copy()) for k in (0, 1)]
+    return pa.record_batch(arrays, ["id", "first", "lines", "h", "g"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each document that go, as runs that don't overlap."""
+    for batch in batches:
+        runs = []
+        for drops in batch.column(batch.schema.get_field_index("_drops")).to_pylist():
+            own: list[dict] = []
+            for d in sorted(drops, key=lambda d: d["first"]):
+                at = own[-1]["first"] + own[-1]["lines"] if own else -1
+                if d["first"] > at:
+                    own.append(dict(d))
+                else:
+                    own[-1]["lines"] += max(0, d["first"] + d["lines"] - at)
+            runs.append(own)
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("lines", pa.int32())]))
+        yield pa.record_batch([batch.column(batch.schema.get_field_index("_drop_id")), pa.array(runs, kind)], ["_drop_id", "_drops"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text without its repeated chunks, and removed_lines (long).
 
-    Of each chunk of lines that occurs more than once in the whole table (within a document or across), the occurrence
-    with the smallest (id, line) stays; the others are removed. Chunks are grouped by hash and by their bytes, so nothing
-    is removed that isn't there byte for byte elsewhere. Nulls stay null; empty texts stay empty; a text of which
-    nothing is left becomes empty. Rows with a null id are neither compared nor changed. Rows that repeat an id are
-    taken as copies of one document and treated alike, so that the first occurrence is never lost. Other columns are
-    kept. An empty table gives an empty table.
-
-    Two shuffles carry text: chunk bodies to their group (each body once per map task), and documents to their removals.
-    A chunk that stands in a third of all documents is combined on the map side, and its occurrences meet only a join
-    that adaptive execution splits. Both join sides grow with the input, so they are never broadcast.
+    Of each chunk or passage of :func:`chunks` that occurs more than once in the whole table (within a document or
+    across), the occurrence with the smallest (id, line) stays; the others are removed. So all of a run of lines of
+    ``LONG_LINE`` words or more that stands elsewhere before goes (of lines that repeat within themselves, fewer words
+    than that may stay at the end), and each line that goes stands elsewhere. Lines are equal if their 128-bit BLAKE2b digests are, and
+    chunks if the digests of those are. Nulls stay null; empty texts stay empty; a text of which nothing is left becomes
+    empty. Rows with a null id are neither compared nor changed. Rows that repeat an id are taken as copies of one
+    document and treated alike, so that the first occurrence is never lost. Other columns are kept. An empty table gives
+    an empty table.
+
+    One shuffle carries text: documents to their removals. Chunks travel as digests; one that stands in a third of all
+    documents is combined on the map side, and its occurrences meet only a join that adaptive execution splits. Both
+    join sides grow with the input, so they are never broadcast.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(_chunks, "id long, first int, lines int, h long, body string")
+    found = source.mapInArrow(_chunks, "id long, first int, lines int, h long, g long")
     # (id, line) as two numbers: the least id first, then the least line of that id
-    groups = found.groupBy("h", "body").agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("at")).where("n > 1")
-    repeated = materialize(groups.select("h", F.col("at.id").alias("keep_id"), F.col("at.first").alias("keep_first"), F.octet_length("body").alias("size"), F.md5("body").alias("digest")))
-    spots = found.select("id", "first", "lines", "h", F.octet_length("body").alias("size"), F.md5("body").alias("digest"))
+    groups = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "first")).alias("at")).where("n > 1")
+    repeated = materialize(groups.select("h", "g", F.col("at.id").alias("keep_id"), F.col("at.first").alias("keep_first")))
     drop = (
-        spots.join(repeated.hint("merge"), ["h", "size", "digest"])
+        found.join(repeated.hint("merge"), ["h", "g"])
         .where("not (id = keep_id and first = keep_first)")
-        .select("id", "first", "lines")
         .groupBy(F.col("id").alias("_drop_id"))
         .agg(F.collect_set(F.struct("first", "lines")).alias("_drops"))
     )
-    drop = materialize(drop)
+    drop = materialize(drop.mapInArrow(_merged, "_drop_id long, _drops array<struct<first int, lines int>>"))
     return _without(docs, drop, id_col, text_col)
 
 

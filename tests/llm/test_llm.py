@@ -168,6 +168,66 @@ def test_line_chunks_shift_and_edges(spark):
     assert pair == {0: f"a\n{long}\nb", 1: "c c\nd"}
 
 
+def common_runs(rows, least):
+    """(document, line) of all lines in a run of ``least`` words or more that stands before in (document, line) order."""
+    at, gone = {}, set()
+    texts = {d: t.split("\n") for d, t in sorted(rows)}
+    for d, lines in texts.items():
+        for k, line in enumerate(lines):
+            for dd, kk in at.get(line, ()):
+                if k and kk and lines[k - 1] == texts[dd][kk - 1]:
+                    continue  # no start of a maximal run
+                n = 0
+                while k + n < len(lines) and kk + n < len(texts[dd]) and lines[k + n] == texts[dd][kk + n] and (dd < d or kk + n < k):
+                    n += 1
+                if sum(len(x.split()) for x in lines[k : k + n]) >= least:
+                    gone |= {(d, k + i) for i in range(n)}
+            at.setdefault(line, []).append((d, k))
+    return gone
+
+
+@pytest.mark.parametrize("n_lines,words", [(1, 50), (2, 27), (2, 40), (3, 18), (3, 30), (4, 15), (5, 12), (8, 15), (12, 13), (26, 2)])
+def test_line_chunks_find_whole_passages(spark, n_lines, words):
+    """Passages between lines of their own in twenty pairs of documents: all lines of the second copy go, and no others."""
+    rng = np.random.default_rng(n_lines * 100 + words)
+
+    def lines(n, size=None):
+        return [" ".join(f"w{x}" for x in rng.integers(0, 10**6, size or rng.integers(1, 40))) for _ in range(n)]
+
+    texts, want = [], []
+    for _ in range(20):
+        passage = lines(n_lines, words)
+        passage[1:1] = ["", ""] if n_lines > 1 else []
+        a, b, c, d = (lines(int(rng.integers(0, 6))) for _ in range(4))
+        texts += ["\n".join(a + passage + b), "\n".join(c + passage + d)]
+        want += [texts[-2], "\n".join(c + d)]
+    got = {r["doc_id"]: r["text"] for r in linechunks.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_line_chunks_against_common_runs(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in rng.integers(1, 40, 300)]
+    rows = []
+    for k in range(120):
+        own = []
+        for _ in range(rng.integers(1, 4)):
+            at = int(rng.integers(0, 290))
+            own += pool[at : at + int(rng.integers(1, 12))] + [f"own {k} {len(own)}"] * int(rng.integers(0, 3))
+        rows.append((k, "\n".join(own)))
+    rows.append((120, "\n".join(["one line of ten words that stands again and again"] * 23)))  # overlaps with itself
+    got = {r["doc_id"]: r for r in linechunks.dedup_lines(docs(spark, [t for _, t in rows])).collect()}
+    must = common_runs(rows, 50)
+    stay = {x for r in got.values() for x in r["text"].split("\n")}
+    assert len(must) > 300
+    for d, t in rows:
+        lines, left = t.split("\n"), got[d]["text"].split("\n") if got[d]["text"] else []
+        assert got[d]["removed_lines"] == len(lines) - len(left) and stay >= set(lines)  # no line is lost from the table
+        if d < 120:
+            assert not any((d, k) in must and x in left for k, x in enumerate(lines) if lines.count(x) == 1)
+    assert got[120]["removed_lines"] == 18  # the first five lines are the passage that stays
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
