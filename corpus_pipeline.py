@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, added_tokens=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

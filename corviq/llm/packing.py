@@ -15,13 +15,14 @@ from corviq.llm.common import materialize, rows_of
 
 EOS = 2
 _ENCODERS: dict[str, object] = {}
+_TOKENIZERS: dict[tuple[str, bool], object] = {}
+_ADDED: dict[str, list[str]] = {}
 
 
 def encoder(vocabulary: str):
     """The byte-level BPE of a public vocabulary file, loaded once a worker.
 
-    ``name.json`` is read through its rank file ``name.tiktoken`` where both exist: the same ids, several times faster.
-    Strings of special tokens are ordinary text.
+    ``name.json`` is read through its rank file ``name.tiktoken``: the same ids for ordinary text, several times faster.
     """
     if vocabulary not in _ENCODERS:
         import base64
@@ -35,13 +36,44 @@ def encoder(vocabulary: str):
     return _ENCODERS[vocabulary]
 
 
-def encode(text: str, vocabulary: str) -> np.ndarray:
-    """The ids of a whole text as unsigned 32-bit numbers."""
-    enc = encoder(vocabulary)
-    try:
-        return np.asarray(enc.encode_to_numpy(text, disallowed_special=()), np.uint32)
-    except ValueError:
-        return np.asarray(enc.encode_ordinary(text), np.uint32)
+def tokenizer(vocabulary: str, added_tokens: bool):
+    """The vocabulary file by the tokenizers library itself; without ``added_tokens`` their strings are ordinary text."""
+    if (vocabulary, added_tokens) not in _TOKENIZERS:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        made = _TOKENIZERS[vocabulary, added_tokens] = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        made.encode_special_tokens = not added_tokens
+    return _TOKENIZERS[vocabulary, added_tokens]
+
+
+def added(vocabulary: str) -> list[str]:
+    """The strings of the added tokens of a vocabulary file."""
+    if vocabulary not in _ADDED:
+        import json
+
+        import public_tokenizers
+
+        with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+            _ADDED[vocabulary] = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    return _ADDED[vocabulary]
+
+
+def encode(text: str, vocabulary: str, added_tokens: bool = False) -> np.ndarray:
+    """The ids of a whole text as unsigned 32-bit numbers.
+
+    The tokenizers library encodes texts with added tokens, if these count, and texts at which tiktoken fails: it panics
+    (no ``Exception``) or raises ValueError at about a million white-space characters in a row.
+    """
+    if not (added_tokens and any(t in text for t in added(vocabulary))):
+        try:
+            return np.asarray(encoder(vocabulary).encode_to_numpy(text, disallowed_special=()), np.uint32)
+        except UnicodeEncodeError:
+            text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        except BaseException as e:
+            if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
+                raise
+    return np.asarray(tokenizer(vocabulary, added_tokens).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def cuts(n: int, most: int) -> list[tuple[int, int]]:
@@ -52,11 +84,11 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, most) for at in range(first, n, most)]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int, vocabulary: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int, vocabulary: str, with_ids: bool, added_tokens: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
         for doc, text in zip(*rows_of(batch, "id", "text"), strict=True):
-            ids = np.append(encode(text or "", vocabulary), np.uint32(EOS)).astype("<u4")
+            ids = np.append(encode(text or "", vocabulary, added_tokens), np.uint32(EOS)).astype("<u4")
             for k, (start, length) in enumerate(cuts(len(ids), most)):
                 part = ids[start : start + length]
                 for column, value in zip(out, (doc, k, start, length, zlib.crc32(part.tobytes()), part.tolist() if with_ids else None), strict=True):
@@ -155,18 +187,19 @@ def _placed(batches: Iterator[pa.RecordBatch], slots: dict[int, tuple[np.ndarray
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False, added_tokens: bool = False
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (and ids), sequence_id, offset.
 
-    Null and empty texts are the one id 2. Equal rows give equal pieces, each with a place of its own. Null ids are kept.
+    ``added_tokens``: strings of the vocabulary's added tokens give their own id, as by a Tokenizer with its default
+    settings; without, they are ordinary text. Null and empty texts are the one id 2. Equal rows give equal pieces, each with a place of its own. Null ids are kept.
     Only the histogram of lengths (at most ``capacity`` rows) and the plan made of it are on the driver. Pieces of one
     length get their rank without meeting in one task: by salted groups of about the square root of their number,
     and the groups' running sums.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    pieces = materialize(source.mapInArrow(lambda it: _pieces(it, capacity, vocabulary, with_ids), schema))
+    pieces = materialize(source.mapInArrow(lambda it: _pieces(it, capacity, vocabulary, with_ids, added_tokens), schema))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = _slots(bins(counts, capacity))
     salts = [1] + [-(-counts.get(n, 1) // max(512, math.isqrt(counts.get(n, 1)))) for n in range(1, capacity + 1)]

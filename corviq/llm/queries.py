@@ -41,7 +41,7 @@ def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return packing.pack(table(spark, sf_dir, "documents"), added_tokens=True).withColumnRenamed("id", "doc_id")
 
 
 def op8_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

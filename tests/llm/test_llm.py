@@ -333,6 +333,26 @@ def test_packing(spark):
     check_sequences(packing.pack(df.union(df), with_ids=True).collect())
 
 
+def test_packing_queries_encode_as_the_tokenizer(spark, tmp_path):
+    """op7 and the pipeline's stage against a Tokenizer with its default settings, also where tiktoken fails."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext|> y" * 700, "<|endoftext| >", "x" + " " * 1_000_000 + "y", "<|endoftext|>\n" + "\n" * 1_000_000, None, "plain"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    for df in (queries.QUERIES["op7_bin_slack"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs(spark, texts), str(tmp_path))):
+        rows = df.collect()
+        for k, text in enumerate(texts):
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+            own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["piece"])
+            assert sum(r["length"] for r in own) == len(ids)
+            assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in own)
+        check_sequences(rows)
+
+
 def check_sequences(rows):
     by = {}
     for r in rows:
