@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from corviq.llm.common import materialize
 
 
-def blocked(postings: DataFrame, key: str, item: str, block: int) -> DataFrame:
+def blocked(postings: DataFrame, key: str, item: str, block: int, *bases: DataFrame) -> DataFrame:
     """Deal the members of each bucket ``key`` to blocks (i, j) with i <= j, so that each two members meet in a block.
 
     A bucket of up to ``block`` members is the one block (0, 0). A larger one is cut by a hash of ``item`` into
     ceil(n / block) parts, and a block holds two of them (one, if i = j); ``part`` says to which the row belongs.
-    No pair of rows is made here. The result is partitioned and sorted by (key, i, j).
+    No pair of rows is made here. The result is partitioned and sorted by (key, i, j). ``bases`` bound the size of
+    ``postings``, as for ``materialize``.
     """
     hot = materialize(
-        postings.groupBy(key).count().where(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("parts"))
+        postings.groupBy(key).count().where(F.col("count") > block).select(key, F.ceil(F.col("count") / block).cast("int").alias("parts")),
+        *bases,
     )
     dealt = (
         postings.join(hot, key, "left")

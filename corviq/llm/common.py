@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,28 +27,72 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     found = tempfile.mkdtemp(prefix="corviq-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage is cut, lost executors lose nothing."""
+#: A written table gets a file per this many bytes of what it is made of (but one per core at least).
+FILE_BYTES = 32 << 20
+_WRITTEN: dict[str, None] = {}  # folders of this process that weren't released, in order
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def materialize(df: DataFrame, *bases: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: lineage is cut, lost executors lose nothing.
+
+    ``bases``: written tables whose bytes bound what ``df`` can have. Where they are small, ``df`` is written in few
+    files instead of one per shuffle partition. What isn't released goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corviq-{uuid.uuid4().hex}"
+    if bases:
+        size = 0
+        for base in bases:
+            fs, where = _hadoop(spark, base._corviq_path)
+            size += fs.getContentSummary(where).getLength()
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
     df.write.parquet(path)
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    _WRITTEN[path] = None
     out = spark.read.schema(df.schema).parquet(path)
     out._corviq_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a :func:`materialize` result that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._corviq_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of :func:`materialize` results that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._corviq_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
+    fs.cancelDeleteOnExit(where)
+    _WRITTEN.pop(path, None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within, the yielded function writes a result; at the end all other tables written meanwhile are released."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        kept.add(out._corviq_path)
+        return out
+
+    yield keep
+    for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+        _delete(spark, path)
 
 
 def with_fields(schema: T.StructType, *added: tuple[str, str]) -> T.StructType:
@@ -64,13 +112,24 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of column ``name`` take up to ``most`` bytes each (one longer text by itself)."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, n = 0, batch.num_rows
+        while at < n:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup batches that are sorted by ``keys`` so that no run of equal keys is cut between two tables.
 
     Memory holds one batch and the run that is open at its end; callers bound the length of a run.
     """
-    import pyarrow.compute as pc
-
     held: list[pa.RecordBatch] = []
     for batch in batches:
         n = batch.num_rows

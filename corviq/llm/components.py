@@ -33,6 +33,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Nodes without a link to another node have no row; links with a null end are ignored. Each round is written to the
     shared folder, so a lost executor costs one round at most; rounds grow with the logarithm of the nodes. A hub with
     very many links meets only joins that adaptive execution can split and aggregates that combine on the map side.
+    The result reads the last round's table.
     """
     edges = (
         links.where("a is not null and b is not null and a != b")
@@ -45,17 +46,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = materialize(large, edges, edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        new = materialize(small)
+        new = materialize(small, large)
         now = _print(new)
-        release(edges)
-        release(large)
+        release(edges, large)
         edges = new
         if now == seen:
             break

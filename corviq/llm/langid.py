@@ -2,43 +2,63 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corviq.llm.common import fresh, materialize, rows_of, with_fields
+from corviq.llm.common import rows_of, slices, with_fields
 
 UNKNOWN = "und"
 PROFILE = 400
 TRAIN_DOCS = 4000
-MAX_LANGUAGES = 500
-_LETTERS: list[np.ndarray] = []
+MAX_LANGUAGES = 5000  # labels that profiles are fitted for; languages have some 7000 codes, far fewer have texts
+_CLASSES: list[np.ndarray] = []
 WIDTH = 21  # bits of a code point
+SLICE = 1 << 18  # characters that are counted at once
+SPACE = re.compile(r"\s")
 
 
-def _letters() -> np.ndarray:
-    """Of each code point, whether it is a letter or a mark that belongs to one."""
-    if not _LETTERS:
-        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)]))
-    return _LETTERS[0]
+def _classes() -> np.ndarray:
+    """Of each code point: 2 for a letter, 1 for a mark (which belongs to the letter before it), else 0."""
+    if not _CLASSES:
+        kinds = (unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+        _CLASSES.append(np.fromiter((2 if k == "L" else 1 if k == "M" else 0 for k in kinds), np.uint8, sys.maxunicode + 1))
+    return _CLASSES[0]
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the letters, pairs and triples of a text; words are padded with one blank (code 0).
 
-    A code packs up to three code points of 21 bits. Anything but letters parts words.
+    A code packs up to three code points of 21 bits. Anything but letters and their marks parts words; a text without
+    a letter has none. Very long texts are counted in slices that end between words.
     """
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(_letters()[points], points, 0).astype(np.int64)
+    text = text or ""
+    if len(text) <= SLICE:
+        return _counted(text)
+    parts, at = [], 0
+    while at < len(text):
+        gap = SPACE.search(text, at + SLICE)
+        end = gap.start() if gap else len(text)
+        parts.append(_counted(text[at:end]))
+        at = end
+    codes, index = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(index, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _classes()[points]
+    if not (kinds == 2).any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    points = np.where(kinds > 0, points, 0).astype(np.int64)
     points = np.concatenate(([0], points, [0]))
     points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]
-    if len(points) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b, c = points[:-2], points[1:-1], points[2:]
     inner = b != 0
     pairs = points[:-1] << WIDTH | points[1:] | 1 << (3 * WIDTH - 1)  # the highest bit tells pairs with a blank from letters
@@ -58,18 +78,16 @@ def held_out(id_col: str = "doc_id", parts: int = 5) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of n-gram counts by language; memory is bounded by the distinct n-grams of a slice of 200 documents."""
-    for batch in batches:
-        langs, texts = rows_of(batch, "lang", "text")
-        for at in range(0, len(langs), 200):
-            by: dict[str, list] = {}
-            for lang, text in zip(langs[at : at + 200], texts[at : at + 200], strict=True):
-                by.setdefault(lang, []).append(ngrams(text))
-            for lang, found in by.items():
-                codes, index = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    """Sums of n-gram counts by language; memory is bounded by the distinct n-grams of a slice of a megabyte."""
+    for batch in slices(batches, "text", 1 << 20):
+        by: dict[str, list] = {}
+        for lang, text in zip(*rows_of(batch, "lang", "text"), strict=True):
+            by.setdefault(lang, []).append(ngrams(text))
+        for lang, found in by.items():
+            codes, index = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            if len(codes):
                 sums = np.bincount(index, np.concatenate([n for _, n in found])).astype(np.int64)
-                if len(codes):
-                    yield pa.record_batch([pa.array([lang] * len(codes)), pa.array(codes), pa.array(sums)], ["lang", "gram", "n"])
+                yield pa.record_batch([pa.array([lang] * len(codes)), pa.array(codes), pa.array(sums)], ["lang", "gram", "n"])
 
 
 def train(
@@ -90,13 +108,12 @@ def train(
     if not per:
         return {}
     span = 1 << 30
-    share = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(min(span, -(-span * docs_per_lang // r["count"]))))])
-    chosen = pool.where(F.pmod(F.xxhash64("id"), F.lit(span)) < share[F.col("lang")])
-    from pyspark.sql import Window
-
+    rows = [(r["lang"], min(span, -(-span * docs_per_lang // r["count"]))) for r in per]
+    share = F.broadcast(docs.sparkSession.createDataFrame(rows, "share_lang string, share long"))  # at most MAX_LANGUAGES rows
+    chosen = pool.join(share, F.col("lang") == F.col("share_lang")).where(F.pmod(F.xxhash64("id"), F.lit(span)) < F.col("share"))
     sums = chosen.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = materialize(sums).withColumn("place", best).where(F.col("place") <= profile).collect()
+    rows = sums.withColumn("place", best).where(F.col("place") <= profile).collect()  # at most ``profile`` a language
     out: dict[str, list[int]] = {r["lang"]: [] for r in per}
     for r in sorted(rows, key=lambda r: r["place"]):
         out[r["lang"]].append(r["gram"])
@@ -126,26 +143,27 @@ class Profiles:
         return self.langs[best], 1.0 - float(away[best]) / (self.most * len(top))
 
 
-def _predict(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], most: int, hidden: str) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], most: int, text_col: str, keep: list[str], added: list[str]) -> Iterator[pa.RecordBatch]:
     model = Profiles(profiles, most)
-    for batch in batches:
-        at = batch.schema.get_field_index(hidden)
-        found = [model.predict(t) for t in batch.column(at).to_pylist()]
-        kept = [k for k in range(batch.num_columns) if k != at]
-        columns = [batch.column(k) for k in kept]
+    for batch in slices(batches, text_col):
+        names = batch.schema.names
+        found = [model.predict(cell.as_py()) for cell in batch.column(names.index(text_col))]  # one text at a time
         yield pa.record_batch(
-            [*columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-            [*(batch.schema.names[k] for k in kept), "lang_pred", "score"],
+            [*(batch.column(names.index(k)) for k in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+            [*keep, *added],
         )
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, most: int = PROFILE) -> DataFrame:
-    """The columns ``keep`` (all, if None) of ``docs`` with lang_pred and score (0 to 1, 1 for equal rank orders).
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, most: int = PROFILE, verdict: str = "lang_pred") -> DataFrame:
+    """The columns ``keep`` (all, if None) of ``docs`` with ``verdict`` and its score (0 to 1, 1 for equal rank orders).
+
+    The score's column is named score, or after any other ``verdict``.
 
-    Null texts and texts without a letter are ``und`` with score 0; so is everything if there are no profiles.
+    Null texts and texts without a letter are ``und`` with score 0; so is everything if there are no profiles. Columns
+    of ``docs`` with the added names are replaced. The text travels to the workers once, whether it is kept or not.
     """
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    hidden = fresh("_text", columns)
-    source = docs.select(*columns, F.col(text_col).alias(hidden))
-    schema = with_fields(docs.select(*columns).schema, ("lang_pred", "string"), ("score", "double"))
-    return source.mapInArrow(lambda it: _predict(it, profiles, most, hidden), schema)
+    added = [verdict, "score" if verdict == "lang_pred" else f"{verdict}_score"]
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    source = docs.select(*columns, *([] if text_col in columns else [text_col]))
+    schema = with_fields(docs.select(*columns).schema, (added[0], "string"), (added[1], "double"))
+    return source.mapInArrow(lambda it: _predict(it, profiles, most, text_col, columns, added), schema)

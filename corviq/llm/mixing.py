@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,9 +50,13 @@ def mix(
     weights: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     seed: str = "mix:",
+    prefix: str = "mix_",
+    size_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0 to ``most``) added.
 
+    The added names begin with ``prefix``. ``size_col`` names sizes that are known already; the text isn't read then.
+
     A source with target t and size z takes each document floor(t / z) times and those whose hash lies below the
     source's threshold once more. The threshold is found from sums by source and hash bucket; only the bucket in which
     the budget ends is refined, 12 bits at a time, and documents are then filtered, never sorted. Budgets are nested: a
@@ -62,33 +66,24 @@ def mix(
     their hash and are taken together. An empty table gives an empty result. Columns with the added names are replaced.
     Only sums by source reach the driver; more than ``MAX_SOURCES`` sources are refused.
     """
-    size, hashed = words(text_col), place(id_col, seed)
+    size, hashed = words(text_col) if size_col is None else F.col(size_col), place(id_col, seed)
     slim = materialize(docs.select(F.col(source_col).alias("source"), hashed.alias("h"), size.alias("size")))
     sums = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r["source"]: int(r["size"]) for r in sums}
     goal = targets(sizes, weights, most)
-    copies = {s: min(int(goal[s] // sizes[s]), int(most)) if sizes[s] else 0 for s in sizes}
-    budget = {s: goal[s] - copies[s] * sizes[s] if copies[s] < most else 0.0 for s in sizes}
+    whole = {s: min(int(goal[s] // sizes[s]), int(most)) if sizes[s] else 0 for s in sizes}
+    budget = {s: goal[s] - whole[s] * sizes[s] if whole[s] < most else 0.0 for s in sizes}
     limit = _thresholds(slim, budget)
-    schema = T.StructType(
-        [
-            T.StructField("mix_source", T.StringType()),
-            T.StructField("mix_source_size", T.LongType()),
-            T.StructField("mix_target", T.DoubleType()),
-            T.StructField("mix_base", T.LongType()),
-            T.StructField("mix_limit", T.LongType()),
-        ]
-    )
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, sizes[s], float(goal[s]), copies[s], limit[s]) for s in sizes], schema)
-    added = ["mix_size", "mix_hash", *schema.names]
-    marked = docs.drop(*added, "mix_copies").withColumn("mix_size", size).withColumn("mix_hash", hashed)
-    joined = marked.join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col("mix_source")))  # at most MAX_SOURCES rows
-    return joined.withColumn("mix_copies", F.col("mix_base") + (F.col("mix_hash") < F.col("mix_limit")).cast("long")).drop(
-        "mix_source", "mix_base", "mix_limit", "mix_hash"
-    )
+    names = {n: f"{prefix}{n}" for n in ("size", "hash", "source", "source_size", "target", "base", "limit", "copies")}
+    kinds = {"source": T.StringType(), "source_size": T.LongType(), "target": T.DoubleType(), "base": T.LongType(), "limit": T.LongType()}
+    schema = T.StructType([T.StructField(names[n], t) for n, t in kinds.items()])
+    known = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s]), whole[s], limit[s]) for s in sizes], schema)
+    marked = docs.select(*[c for c in docs.columns if c not in names.values()], size.alias(names["size"]), hashed.alias(names["hash"]))
+    joined = marked.join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col(names["source"])))  # at most MAX_SOURCES rows
+    taken = F.col(names["base"]) + (F.col(names["hash"]) < F.col(names["limit"])).cast("long")
+    return joined.withColumn(names["copies"], taken).drop(*(names[n] for n in ("source", "base", "limit", "hash")))
 
 
 def _thresholds(slim: DataFrame, budget: dict[str | None, float]) -> dict[str | None, int]:
@@ -110,8 +105,6 @@ def _thresholds(slim: DataFrame, budget: dict[str | None, float]) -> dict[str |
             F.sum("size").alias("size"), F.first("before").alias("before"), F.first("budget").alias("budget"), F.min("h").alias("lo"), F.max("h").alias("hi")
         )
         # The bucket in which the running sum reaches the budget; at most 2^12 buckets a source meet in this window.
-        from pyspark.sql import Window
-
         run = F.sum("size").over(Window.partitionBy("b_source").orderBy("bucket"))
         at = bucket.withColumn("upto", F.col("before") + run).where("upto >= budget and upto - size < budget")
         rows = at.select("b_source", "bucket", "size", "upto", "budget", "lo", "hi").collect()

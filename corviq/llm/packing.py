@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corviq.llm.common import materialize, rows_of
+from corviq.llm.common import materialize, slices
 
 EOS = 2
 _ENCODERS: dict[str, object] = {}
@@ -59,7 +59,7 @@ def added(vocabulary: str) -> list[str]:
     return _ADDED[vocabulary]
 
 
-def encode(text: str, vocabulary: str, added_tokens: bool = False) -> np.ndarray:
+def encode(text: str, vocabulary: str, added_tokens: bool = True) -> np.ndarray:
     """The ids of a whole text as unsigned 32-bit numbers.
 
     The tokenizers library encodes texts with added tokens, if these count, and texts at which tiktoken fails: it panics
@@ -85,10 +85,11 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], most: int, vocabulary: str, with_ids: bool, added_tokens: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text"):
         out: list[list] = [[], [], [], [], [], []]
-        for doc, text in zip(*rows_of(batch, "id", "text"), strict=True):
-            ids = np.append(encode(text or "", vocabulary, added_tokens), np.uint32(EOS)).astype("<u4")
+        names = batch.schema.names
+        for doc, cell in zip(batch.column(names.index("id")).to_pylist(), batch.column(names.index("text")), strict=True):
+            ids = np.append(encode(cell.as_py() or "", vocabulary, added_tokens), np.uint32(EOS)).astype("<u4")
             for k, (start, length) in enumerate(cuts(len(ids), most)):
                 part = ids[start : start + length]
                 for column, value in zip(out, (doc, k, start, length, zlib.crc32(part.tobytes()), part.tolist() if with_ids else None), strict=True):
@@ -102,6 +103,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int, vocabulary: str, with_
 def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> dict[int, int]:
     """The combination of available lengths, the longest among them, that leaves the least slack.
 
+    With ``slack`` 0, the base of the method, that is the fullest combination there is.
+
     Bitset subset sums: bit s of an integer says that the sum s can be reached; counts are split into powers of two,
     and the bitsets before each item lead back to the combination. Long lengths are tried first, and the search ends
     as soon as the bin can be full but for ``slack``: that keeps short lengths for later bins.
@@ -145,7 +148,9 @@ def _bins(counts: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[
 def bins(counts: dict[int, int], capacity: int, slacks: tuple[int, ...] = (0, 1, 2, 3, 5, 8, 12, 20)) -> list[tuple[dict[int, int], int]]:
     """[(combination, how many bins of it)]: the fullest combination is removed as often as the counts allow.
 
-    The plan is made for each of ``slacks`` and the one with the fewest bins is taken (a tie: the least slack). Each
+    ``slacks=(0,)`` is the method itself. A bin that may stay a few tokens short is found among the long lengths alone,
+    which keeps short ones for later bins; so the plan is made for each of ``slacks``, 0 first, and the one with the
+    fewest bins is taken (a tie: the least slack), never a worse one than the method's own. Each
     entry uses some length up to less than one more combination needs, so there are a few thousand entries for a
     capacity of 1024, whatever the number of pieces.
     """
@@ -187,12 +192,12 @@ def _placed(batches: Iterator[pa.RecordBatch], slots: dict[int, tuple[np.ndarray
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False, added_tokens: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", with_ids: bool = False, added_tokens: bool = True
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (and ids), sequence_id, offset.
 
-    ``added_tokens``: strings of the vocabulary's added tokens give their own id, as by a Tokenizer with its default
-    settings; without, they are ordinary text. Null and empty texts are the one id 2. Equal rows give equal pieces, each with a place of its own. Null ids are kept.
+    Ids are those of a Tokenizer with its default settings: strings of the vocabulary's added tokens give their own id
+    (without ``added_tokens`` they are ordinary text). Null and empty texts are the one id 2. Equal rows give equal pieces, each with a place of its own. Null ids are kept.
     Only the histogram of lengths (at most ``capacity`` rows) and the plan made of it are on the driver. Pieces of one
     length get their rank without meeting in one task: by salted groups of about the square root of their number,
     and the groups' running sums.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corviq.llm import capfilters, langid, linechunks, maintext, mixing, mpegaudio, packing, simhash, surrogates, urlrules
-from corviq.llm.common import table
+from corviq.llm.common import materialize, table
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), added_tokens=True).withColumnRenamed("id", "doc_id")
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op8_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def op8_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("n_words")))
+    mixed = mixing.mix(sized, size_col="n_words")
     return mixed.select(
         "doc_id",
         F.col("mix_size").alias("size"),

@@ -133,13 +133,54 @@ def test_main_text(spark):
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 
+def naive_spots(text, passage=48, least=1):
+    """(first, lines) of what is compared, straight from the rules and without the operator's own code."""
+    import xxhash
+
+    lines = text.split("\n")
+    words = [len(x.split()) for x in lines]
+    n, out, own, last = len(lines), set(), [], 0
+    for k, line in enumerate(lines):  # content-defined chunks
+        if words[k] >= passage:
+            if own:
+                out.add((own[0], len(own)))
+            out.add((k, 1))
+            own, last = [], 0
+            continue
+        h = xxhash.xxh64_intdigest(line.encode())
+        rolled = (last * 0x9E3779B97F4A7C15 + h) % 2**64
+        last = h
+        own.append(k)
+        if len(own) == 16 or len(own) >= 2 and not rolled >> 17 & 1:
+            out.add((own[0], len(own)))
+            own = []
+    if own:
+        out.add((own[0], len(own)))
+    for a in range(n):  # least runs from each line on
+        if words[a]:
+            b = next((b for b in range(a + 1, n + 1) if sum(words[a:b]) >= passage), None)
+            if b:
+                out.add((a, b - a))
+    for b in range(1, n + 1):  # least runs up to each line, of blank lines in a row the first eight
+        a = next((a for a in range(b - 1, -1, -1) if sum(words[a:b]) >= passage), None)
+        if a is not None and any(words[max(0, b - 9) : b]):
+            out.add((a, b - a))
+    first = {}
+    joined = set()
+    for a, size in sorted(out):
+        at = first.setdefault(tuple(lines[a : a + size]), a)
+        joined.add((at, a + size - at) if at < a < at + size else (a, size))
+    return [(a, size) for a, size in sorted(joined) if sum(words[a : a + size]) >= (least if size > 1 else passage)]
+
+
 def brute_lines(rows):
+    """Texts by id (ids are distinct here)."""
     seen, out = {}, {}
-    spots = [(d, f, n, "\n".join(t.split("\n")[f : f + n])) for d, t in rows if d is not None for f, n, w in linechunks.chunks(t) if linechunks.counts(n, w)]
-    for d, f, _, body in sorted(spots, key=lambda s: s[:2]):
-        seen.setdefault(body, (d, f))
+    spots = [(d, a, n, "\n".join(t.split("\n")[a : a + n])) for d, t in rows if t for a, n in naive_spots(t)]
+    for d, a, _, body in sorted(spots, key=lambda s: s[:2]):
+        seen.setdefault(body, (d, a))
     for d, t in rows:
-        gone = {k for dd, f, n, body in spots if dd == d and seen[body] != (d, f) for k in range(f, f + n)}
+        gone = {k for dd, a, n, body in spots if dd == d and seen[body] != (d, a) for k in range(a, a + n)} if t else ()
         out[d] = t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
     return out
 
@@ -161,7 +202,8 @@ def test_line_chunks_shift_and_edges(spark):
     assert got[0]["_drops"] == 2 and got[0]["id"] == "x"
     twice = df.union(df)
     assert linechunks.dedup_lines(twice).where("doc_id = 0 and removed_lines = 0").count() == 2
-    assert linechunks.dedup_lines(df.withColumn("doc_id", F.lit(None).cast("long"))).where("removed_lines > 0").count() == 0
+    nameless = [r["text"] for r in linechunks.dedup_lines(df.withColumn("doc_id", F.lit(None).cast("long"))).collect()]
+    assert sum((t or "").count(passage) for t in nameless) == 1  # the one with the least hash of its text stays whole
     assert linechunks.dedup_lines(df.limit(0)).count() == 0
     long = " ".join(f"w{k}" for k in range(60))
     pair = {r["doc_id"]: r["text"] for r in linechunks.dedup_lines(docs(spark, [f"a\n{long}\nb", f"c c\n{long}\nd"])).collect()}
@@ -186,6 +228,31 @@ def common_runs(rows, least):
     return gone
 
 
+def test_line_chunks_compare_bytes(spark):
+    """With digests of one byte most chunks collide: their bytes differ, so nothing of them goes, and no line is lost."""
+    rng = np.random.default_rng(6)
+    texts = ["\n".join(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 6)) for _ in range(9)) for _ in range(60)]
+    got = linechunks.dedup_lines(docs(spark, texts), digest=1).collect()
+    assert sorted(r["text"] for r in got) == sorted(texts)
+    same = {r["doc_id"]: r["text"] for r in linechunks.dedup_lines(docs(spark, [*texts[:3], texts[0]])).collect()}
+    assert [same[k] for k in range(4)] == [*texts[:3], ""]
+
+
+def test_line_chunks_share_ids_and_names(spark):
+    """Rows that share an id but not the text lose nothing that stands nowhere else; columns keep their clashing names."""
+    head = "\n".join(f"shared line {k} with words" for k in range(12))
+    a, b = head + "\nonly in a, some words", "first of b, other words\nsecond of b, more words\n" + head
+    df = docs(spark, [a, b]).withColumn("doc_id", F.lit(7).cast("long")).withColumn("removed_lines", F.lit("old")).withColumn("spots", F.lit(1)).withColumn("row", F.lit(2))
+    rows = linechunks.dedup_lines(df).collect()
+    lines = [x for r in rows for x in r["text"].split("\n")]
+    assert set(lines) == {*a.split("\n"), *b.split("\n")} and len(lines) < 27
+    assert rows[0]["spots"] == 1 and rows[0]["row"] == 2 and {type(r["removed_lines"]) for r in rows} == {int}
+    short = "alpha beta\ngamma delta"  # a chunk of two short lines is one too
+    assert sorted(r["text"] for r in linechunks.dedup_lines(docs(spark, [short, short])).collect()) == ["", short]
+    long = "\n".join(f"{k} {k * 7919}" for k in range(60000))
+    assert [r["removed_lines"] for r in linechunks.dedup_lines(docs(spark, [long, long + "\nend of it"])).orderBy("doc_id").collect()][0] == 0
+
+
 @pytest.mark.parametrize("n_lines,words", [(1, 50), (2, 27), (2, 40), (3, 18), (3, 30), (4, 15), (5, 12), (8, 15), (12, 13), (26, 2)])
 def test_line_chunks_find_whole_passages(spark, n_lines, words):
     """Passages between lines of their own in twenty pairs of documents: all lines of the second copy go, and no others."""
@@ -216,7 +283,9 @@ def test_line_chunks_against_common_runs(spark):
             own += pool[at : at + int(rng.integers(1, 12))] + [f"own {k} {len(own)}"] * int(rng.integers(0, 3))
         rows.append((k, "\n".join(own)))
     rows.append((120, "\n".join(["one line of ten words that stands again and again"] * 23)))  # overlaps with itself
-    got = {r["doc_id"]: r for r in linechunks.dedup_lines(docs(spark, [t for _, t in rows])).collect()}
+    df = docs(spark, [t for _, t in rows])
+    assert linechunks.dedup_lines(df).where("doc_id = 120").first()["removed_lines"] == 21  # its first chunk of two lines stays
+    got = {r["doc_id"]: r for r in linechunks.dedup_lines(df, least_words=24).collect()}
     must = common_runs(rows, 50)
     stay = {x for r in got.values() for x in r["text"].split("\n")}
     assert len(must) > 300
@@ -318,7 +387,6 @@ def test_packing(spark):
     df = docs(spark, texts)
     rows = packing.pack(df).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for k, text in enumerate(texts):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         own = sorted((r for r in rows if r["id"] == k), key=lambda r: r["piece"])
@@ -404,11 +472,50 @@ def test_language_edges(spark, real):
     assert langid.train(df.limit(0)) == {} and langid.identify(df, {}).where("lang_pred <> 'und'").count() == 0
 
 
-def test_out_of_place_distance():
-    model = langid.Profiles({"a": [1, 2, 3], "b": [3, 2, 1]}, 10)
-    codes, counts = langid.ngrams("Ab b")
-    assert sorted(zip(codes.tolist(), counts.tolist(), strict=True))[:2] == [(97, 1), (98, 2)]
-    assert model.rank[np.searchsorted(model.grams, 1)].tolist() == [0, 2]
+def naive_profile(text, most):
+    """The most frequent letters, pairs and triples of the words of a text, as strings; words are padded with a blank."""
+    import re
+    from collections import Counter
+
+    found = Counter()
+    for word in re.findall(r"(?:[^\W\d_]|[\u0300-\u036f])+", text.lower()):
+        padded = f" {word} "
+        found.update(word)
+        found.update(padded[k : k + 2] for k in range(len(padded) - 1))
+        found.update(padded[k : k + 3] for k in range(len(padded) - 2))
+
+    def code(gram):
+        n = 0
+        for c in gram:
+            n = n << 21 | (0 if c == " " else ord(c))
+        return n | 1 << 62 if len(gram) == 2 else n
+
+    return sorted(found, key=lambda g: (-found[g], code(g)))[:most], code
+
+
+@pytest.mark.parametrize("most", [5, 40, 400])
+def test_out_of_place_distance(most):
+    """Predictions against distances computed from the definition over strings."""
+    learnt = {"aa": "the cat and the dog sat on the mat", "bb": "der hund und die katze saßen auf der matte", "cc": "zzz"}
+    profiles = {k: naive_profile(v, most) for k, v in learnt.items()}
+    model = langid.Profiles({k: [code(g) for g in grams] for k, (grams, code) in profiles.items()}, most)
+    for text in ("The dog!", "die katze und der hund", "z", "qqq www", "é\u0301 le chat", "a1b 2c"):
+        grams, _ = naive_profile(text, most)
+        away = {k: sum(min(abs(n - own.index(g)), most) if g in own else most for n, g in enumerate(grams)) for k, (own, _) in profiles.items()}
+        best = min(away, key=lambda k: (away[k], k))  # a tie: the first by code point
+        lang, score = model.predict(text)
+        assert lang == best and score == pytest.approx(1 - away[best] / (most * len(grams)))
+
+
+def test_language_marks_ties_and_slices(spark, monkeypatch):
+    model = langid.Profiles({"b": [98], "a": [97]}, 10)
+    assert model.predict("\u0301 \u0301\u0302 12") == ("und", 0.0)  # marks are no letters
+    assert langid.Profiles({"a": [97], "b": [97]}, 10).predict("aa")[0] == "a"
+    text = "the quick brown fox " * 400
+    whole = [x.tolist() for x in langid.ngrams(text)]
+    monkeypatch.setattr(langid, "SLICE", 100)
+    assert [x.tolist() for x in langid.ngrams(text)] == whole
+    assert langid.identify(docs(spark, ["a"]).limit(0), {"a": [97]}).count() == 0
 
 
 # -- 9 ---------------------------------------------------------------------------------------------------------------
@@ -455,6 +562,51 @@ def test_fingerprint():
     assert simhash.fingerprint("One Two") == xxhash.xxh64_intdigest(b"one two", 42)
 
 
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    text = " ".join(f"w{k % 977}" for k in range(5000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "SHINGLES", 64)
+    assert simhash.fingerprint(text) == whole
+
+
+def test_count_filter_and_splits(spark):
+    """The index proposes pairs that share three bytes; those with fewer than five in all are rejected by the tally."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    near = base[:60] ^ np.uint64(1 << 5) ^ np.uint64(1 << 40) ^ np.uint64(1 << 63)
+    far = base[:60] ^ np.uint64(0x0101010100000000)  # four bits in four bytes
+    dense = np.uint64(0x1234567890000000) | rng.choice(1 << 28, 400, replace=False).astype(np.uint64)
+    one = np.uint64(0xABCDEF0000000000) ^ (np.uint64(1) << np.arange(40, dtype=np.uint64))
+    prints = np.unique(np.concatenate((base, near, far, dense, one)))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    lists = {}
+    for r in simhash.postings(df).collect():
+        lists.setdefault(r["key"], []).append(r["fp"])
+    proposed = {(min(a, b), max(a, b)) for own in lists.values() for k, a in enumerate(own) for b in own[:k]}
+    pairs = np.array(sorted(proposed), np.int64).view(np.uint64)
+    shared = np.array([simhash.tally(p[:1], p[1:])[0, 0] for p in pairs])
+    bits = np.array([int(p[0] ^ p[1]).bit_count() for p in pairs])
+    assert (shared < 5).any() and shared.min() >= 3  # the count filter decides something
+    assert ((shared >= 5) & (bits > 3)).any()  # and so does the verification
+    x = prints[:, None] ^ prints[None, :]
+    linked = [(int(prints.view(np.int64)[a]), int(prints.view(np.int64)[b])) for a, b in np.argwhere(np.bitwise_count(x) <= 3) if a < b]
+    assert {(min(p), max(p)) for p in linked} <= proposed
+    want = classes([int(v) for v in prints.view(np.int64)], linked)
+    for block in (1024, 32):  # with 32, lists of three bytes are split by two more, and those of five into blocks
+        written = simhash.materialize(df)
+        got = {r["fp"]: r["root"] for r in simhash._groups(written, 3, block).collect()}
+        assert got == want
+
+
+def test_simhash_rows_that_share_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    df = spark.createDataFrame([(5, a), (5, b), (7, b), (7, b), (None, "x y z w"), (None, "x y z w")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.simhash_groups(df).collect())
+    assert got == [(0, 0), (0, 0), (5, 5), (5, 5), (7, 5), (7, 5)]
+    kept = sorted((r["id"] or 0, r["copies"]) for r in simhash.representatives(df).collect())
+    assert kept == [(0, 2), (5, 1), (5, 1)]
+
+
 def test_simhash_groups(spark):
     rng = np.random.default_rng(2)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(60)]
@@ -470,6 +622,38 @@ def test_simhash_groups(spark):
 # -- pipeline --------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table, nulls in every column, repeated rows and ids, extra columns with the names that stages use."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed_lines int, mix_size string, lang_pred string, _copy int, row string"
+    body = "\n".join(f"line {k} of the text with some words in it" for k in range(20))
+    other = " ".join(f"other{k}" for k in range(90))
+    rows = [(1, body, "en", "s", 5, 1, "m", "l", 2, "r"), (2, other, "en", None, 5, 1, "m", "l", 2, "r"), (2, other, "en", None, 5, 1, "m", "l", 2, "r"), (2, "and this text shares an id, no more", None, "s", None, None, None, None, None, None)]
+    rows += [(None, None, None, None, None, None, None, None, None, None), (None, "no id but words", "en", "t", 4, 1, "m", "l", 2, "r"), (3, "", "en", "s", 0, 1, "m", "l", 2, "r"), (4, "12 34", "en", "s", 0, 1, "m", "l", 2, "r")]
+    df = spark.createDataFrame(rows, schema)
+    for at, name in ((df, "some"), (df.limit(0), "none")):
+        own = str(tmp_path / name)
+        at.write.parquet(f"{own}/documents.parquet")
+        for name_, stage in p.STAGES[:-1]:
+            at = spark.createDataFrame(stage(spark, at, own).collect(), at.schema)
+            assert at.columns == df.columns, name_
+            if name_ == "simhash_near_dedup" and name == "some":
+                assert sorted((r["doc_id"] or 0, r["text"][:5], r["removed_lines"]) for r in at.collect()) == [(0, "no id", 1), (1, "line ", 1), (2, "and t", None), (2, "other", 1)]
+        out = p.run(spark, own)
+        assert (out.count() > 0) == (name == "some")
+        check_sequences(out.collect())
+
+
+def test_pipeline_leaves_no_tables(spark):
+    import corpus_pipeline as p
+    from corviq.llm import common
+
+    before = set(common._WRITTEN)
+    out = p.run(spark, DATA)
+    assert set(common._WRITTEN) - before == {out._corviq_path}
+
+
 def test_pipeline(spark, real):
     import corpus_pipeline as p
 
