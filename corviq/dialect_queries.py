@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corviq.errors import EngineError
+from corviq.functions import scalar as S
 from corviq.operators import ann
+from corviq.operators import retrieval as V
+from corviq.plans import planner
 from corviq.queries import _POOLS, DIM, PROBE, PROBES, TEXT, _dot, query
 from corviq.sources import ingest
 
@@ -128,9 +132,132 @@ def _(e):
     return ingest.chunk_markdown(e.table("documents").select("id", "text"), "id")
 
 
-@query("i9_tiers", "SELECT item_id AS id, CASE WHEN regexp_matches(lower(text) || ' ', 'why |how come|explain|compare|overview|architecture|summar') THEN 'abstraction' WHEN regexp_matches(' ' || lower(text) || ' ', 'how |where |which |find|should') THEN 'intent' ELSE 'direct' END AS tier FROM {benchmark}")
+_CUES, _OTHER = "|".join(c for c in planner.CUES if c.isascii()), "|".join(c for c in planner.CUES if not c.isascii())
+
+
+@query(
+    "i9_tiers",
+    f"""WITH q AS (SELECT item_id AS id, text, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(regexp_replace(regexp_replace(w, '^[?!,;:''"`()\\[\\]{{}}<>]+', ''), '[?!,;:''"`()\\[\\]{{}}<>.]+$', ''), '(.)(n''t|''re|''ve|''ll|''s|''d|''m)$', '\\1')), lambda w: w <> '') AS w FROM {{benchmark}}),
+    c AS (SELECT id, CASE WHEN len(w) = 0 OR length(text) > 2000 OR len(w) > 256 THEN 'intent' WHEN len(list_filter(w, lambda x: regexp_matches(x, '\\.({'|'.join(planner.EXTENSIONS)})$'))) > 0 THEN 'direct'
+    WHEN len(list_filter(w, lambda x: regexp_full_match(x, '{_CUES}'))) > 0 OR regexp_matches(text, '{_OTHER}') THEN 'abstraction' WHEN list_contains(w, 'onrein') THEN 'direct' ELSE 'intent' END AS class FROM q)
+    SELECT id, class, CASE WHEN class = 'direct' THEN 'dialogue' ELSE 'high_precision' END AS tier FROM c""",
+)
+def _(e):
+    kind = planner.class_column(F.col("text"), symbols=["Onrein"])
+    return e.table("benchmark").select("id", kind.alias("class"), planner.tier_column(kind).alias("tier"))
+
+
+def codes(name: str, cases: dict[str, tuple[str, str]]):
+    """A row per statement of the dialect with the code that it ends with."""
+    values = ", ".join(f"('{k}', '{want}')" for k, (_, want) in cases.items())
+
+    @query(name, f"SELECT * FROM (VALUES {values}) AS t(\"case\", code)")
+    def _(e):
+        out = []
+        for k, (text, _) in cases.items():
+            try:
+                e.sql(text)
+                out.append((k, "ok"))
+            except EngineError as x:
+                out.append((k, x.code))
+        return e.spark.createDataFrame(out, "`case` string, code string")
+
+
+codes(
+    "a2_types",
+    {
+        "sum of text": ("SELECT SUM(n_name) FROM nation", "42804"), "avg of text": ("SELECT AVG(n_name) FROM nation", "42804"), "min of text": ("SELECT MIN(n_name) AS m FROM nation", "ok"),
+        "sum of dates": ("SELECT SUM(ts) FROM events", "42804"), "max of dates": ("SELECT MAX(ts) AS m FROM events", "ok"), "max of vectors": ("SELECT MAX(embedding) FROM embeddings", "42804"),
+        "count of vectors": ("SELECT COUNT(embedding) AS n FROM embeddings", "ok"), "sum of booleans": ("SELECT SUM(n_name = 'x') FROM nation", "42804"), "avg of integers": ("SELECT AVG(n_regionkey) AS a FROM nation", "ok"),
+        "distinct sum": ("SELECT SUM(DISTINCT n_regionkey) FROM nation", "42601"), "star sum": ("SELECT SUM(*) FROM nation", "42601"), "two arguments": ("SELECT SUM(id, id) FROM nation", "42883"),
+    },
+)
+codes(
+    "q12_strict_types",
+    {
+        "number and text": ("SELECT n_regionkey FROM nation UNION SELECT r_name FROM region", "42804"), "int and bigint": ("SELECT n_regionkey FROM nation UNION SELECT id FROM region", "42804"),
+        "number of columns": ("SELECT id, n_name FROM nation UNION SELECT id FROM region", "42601"), "text and text": ("SELECT n_name FROM nation INTERSECT SELECT r_name FROM region", "ok"),
+        "date and text": ("SELECT ts FROM events EXCEPT SELECT n_name FROM nation", "42804"),
+    },
+)
+codes(
+    "j9_refused",
+    {
+        "double keys": ("SELECT a.id FROM customer a JOIN customer b ON a.c_acctbal = b.c_acctbal", "42804"), "int and text": ("SELECT a.id FROM nation a JOIN region b ON a.n_name = b.r_regionkey", "42804"),
+        "vectors": ("SELECT a.id FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding", "42804"), "timestamps": ("SELECT a.id FROM events a JOIN events b ON a.ts = b.ts", "ok"), "int and id": ("SELECT a.id FROM nation a JOIN region b ON a.n_regionkey = b.id", "ok"),
+    },
+)
+codes(
+    "f25_refused",
+    {"now": ("SELECT now() FROM nation", "42883"), "random": ("SELECT random() FROM nation", "42883"), "current_date": ("SELECT current_date() FROM nation", "42883"), "a known one": ("SELECT abs(id) AS a FROM nation", "ok")},
+)
+
+
+@query("p17_visible", "SELECT id FROM {nation} WHERE n_regionkey = 1")
+def _(e):
+    return e.sql("SELECT id FROM nation WHERE visible() AND n_regionkey = 1")
+
+
+@query("f24_jsonb", """SELECT id, '{"a":[1,' || coalesce(json_extract(props, '$.page')::VARCHAR, 'null') || '],"z":' || id || '}' AS doc FROM {events}""")
+def _(e):
+    """Canonical text: keys sorted, no blanks."""
+    page = F.coalesce(S.json_text(F.col("props"), "$.page"), F.lit("null"))
+    doc = F.concat(F.lit('{ "z" : '), "id", F.lit(' , "a": [ 1, '), page, F.lit(" ] }"))
+    return e.table("events").select("id", S.jsonb(doc).alias("doc"))
+
+
+@query(
+    "g1_modes",
+    "SELECT clause, session, planner, coalesce(clause, session, planner, 'recall') AS mode, CASE WHEN clause IS NOT NULL THEN 'clause' WHEN session IS NOT NULL THEN 'session' WHEN planner IS NOT NULL THEN 'planner' ELSE 'default' END AS source"
+    " FROM (VALUES (NULL), ('recall'), ('precision')) a(clause), (VALUES (NULL), ('recall'), ('precision')) b(session), (VALUES (NULL), ('recall'), ('precision')) c(planner)",
+)
+def _(e):
+    modes, rows = (None, "recall", "precision"), []
+    for clause in modes:
+        for e.mode in modes:
+            rows += [(clause, e.mode, planned, *e.resolve_mode(clause, planned)) for planned in modes]
+    e.mode = None
+    return e.spark.createDataFrame(rows, "clause string, session string, planner string, mode string, source string")
+
+
+_ANSWERS = {
+    "plain": ('{"search_terms": ["a", "b"], "path_hint": "src/", "kind_hint": null, "mode": "precision"}', "a b|src/|-|precision"), "with talk": ('Sure! {"search_terms": [], "path_hint": null, "kind_hint": "fn"} Bye.', "|-|fn|-"),
+    "odd mode": ('{"search_terms": ["x"], "path_hint": null, "kind_hint": null, "mode": 3}', "x|-|-|-"), "no object": ("none", "22000"), "no hints": ('{"search_terms": ["x"]}', "22000"), "terms no list": ('{"search_terms": "x", "path_hint": null, "kind_hint": null}', "22000"),
+    "long term": ('{"search_terms": ["' + "t" * 129 + '"], "path_hint": null, "kind_hint": null}', "22000"), "too many": ('{"search_terms": [' + ", ".join(['"t"'] * 33) + '], "path_hint": null, "kind_hint": null}', "22000"),
+    "control": ('{"search_terms": ["a\\u0000"], "path_hint": null, "kind_hint": null}', "22000"), "hint no text": ('{"search_terms": ["a"], "path_hint": 1, "kind_hint": null}', "22000"),
+}
+
+
+@query("i7_expansion", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{want}')" for k, (_, want) in _ANSWERS.items()) + ') AS t("case", found)')
+def _(e):
+    """What a model may answer, and what is refused."""
+    rows = []
+    for k, (answer, _) in _ANSWERS.items():
+        try:
+            x = planner.parse_expansion(answer)
+            rows.append((k, "|".join([" ".join(x.search_terms), *(h or "-" for h in (x.path_hint, x.kind_hint, x.mode_hint))])))
+        except EngineError as err:
+            rows.append((k, err.code))
+    return e.spark.createDataFrame(rows, "`case` string, found string")
+
+
+@query("r1_contract", "SELECT * FROM (VALUES ('foreign id', '22000'), ('id twice', '22000'), ('not finite', '22000'), ('pool too large', '54000'), ('cut too large', '54000'), ('subset', 'ok')) AS t(\"case\", code)")
 def _(e):
-    return e.table("benchmark").select("id", ingest.tier_column(F.col("text")).alias("tier"))
+    """A reranker may reorder and leave out; everything else is refused as a whole."""
+    hits = e.table("nation").select("id", F.col("id").cast("double").alias("score"))
+    many = e.table("lineitem").select("id", F.lit(1.0).alias("score"))
+    cases = {
+        "foreign id": (hits, lambda h: h.withColumn("id", F.col("id") + 1), 5), "id twice": (hits, lambda h: h.union(h), 5), "not finite": (hits, lambda h: h.withColumn("score", F.lit(float("nan"))), 5),
+        "pool too large": (many.union(many.withColumn("id", -F.col("id") - 1)), None, 5), "cut too large": (hits, None, V.MAX_K + 1), "subset": (hits, lambda h: h.where("id < 5"), 3),
+    }
+    rows = []
+    for k, (pool, rank, limit) in cases.items():
+        try:
+            V.rerank(pool, rank, limit).count()
+            rows.append((k, "ok"))
+        except EngineError as err:
+            rows.append((k, err.code))
+    return e.spark.createDataFrame(rows, "`case` string, code string")
 
 
 assert len(PROBE) == DIM

@@ -113,7 +113,10 @@ def date_part(field: str, src: Column) -> Column:
     if field in _SECONDS:
         value = F.expr("0") + F.date_part(F.lit("second"), ts).cast("decimal(12,6)") * _SECONDS[field]
     elif field == "epoch":
-        value = F.unix_micros(ts.cast("timestamp")) / 1_000_000
+        # without the session's time zone, which a cast to timestamp would bring in
+        day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("decimal(12,0)") * 86400
+        clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("second"), ts).cast("decimal(12,6)")
+        value = day + clock
     elif field == "dow":
         value = F.dayofweek(ts) - 1
     elif field == "isodow":
@@ -164,6 +167,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+UNROLLED = 32  # terms of a sum that are written out
+
+
+def dot_with(v: Column, query: list[float]) -> Column:
+    """The inner product with a query that is known when the plan is made: sums written out, which stay in generated
+    code, where lambdas over arrays are interpreted. A vector that is shorter or longer than the query gives null."""
+    total = None
+    for at in range(0, len(query), UNROLLED):
+        part = None
+        for k, y in enumerate(query[at : at + UNROLLED], at):
+            term = F.get(v, F.lit(k)).cast("double") * F.lit(float(y))
+            part = term if part is None else part + term
+        total = part if total is None else total + part
+    return F.when(F.size(v) == len(query), total)
+
+
 def vec_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -194,5 +213,48 @@ def json_text(doc: Column, path: str) -> Column:
 
 
 def jsonb(doc: Column) -> Column:
-    """Canonical text: sorted keys, no blanks."""
+    """Canonical text: sorted keys, no blanks; text that isn't JSON raises."""
     return F.to_json(F.parse_json(doc))
+
+
+def check_json(text: str, depth: int = 16) -> str:
+    """The text, if it is strict JSON of at most ``depth`` levels without a key that repeats in an object."""
+    import json
+
+    def pairs(items: list[tuple[str, object]]) -> dict:
+        if len({k for k, _ in items}) < len(items):
+            raise ValueError("a key repeats")
+        return dict(items)
+
+    def constant(name: str):
+        raise ValueError(f"{name} isn't JSON")
+
+    def deep(value, left: int) -> None:
+        if isinstance(value, (dict, list)):
+            if left == 0:
+                raise ValueError("nested too deeply")
+            for v in value.values() if isinstance(value, dict) else value:
+                deep(v, left - 1)
+
+    deep(json.loads(text, object_pairs_hook=pairs, parse_constant=constant), depth)
+    return text
+
+
+class _Number(str):
+    """A number's own text."""
+
+
+def canonical_json(text: str) -> str:
+    """:func:`check_json`, then with sorted keys and without blanks; numbers keep their text."""
+    import json
+
+    def write(value) -> str:
+        if isinstance(value, _Number):
+            return value
+        if isinstance(value, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{write(v)}" for k, v in sorted(value.items())) + "}"
+        if isinstance(value, list):
+            return "[" + ",".join(map(write, value)) + "]"
+        return json.dumps(value, ensure_ascii=False)
+
+    return write(json.loads(check_json(text), parse_int=_Number, parse_float=_Number))

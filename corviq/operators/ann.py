@@ -45,7 +45,8 @@ def fit(df: DataFrame, lists: int | None = None, vector: str = "embedding", seed
         raise EngineError("22000", "no vectors to index")
     share = min(1.0, SAMPLE / n)
     few = known if share == 1.0 else known.where(F.pmod(F.xxhash64(vector), F.lit(1 << 30)) < int(share * (1 << 30)))
-    x = np.array([r[0] for r in few.select(F.col(vector)).limit(2 * SAMPLE).collect()], float)
+    sample = few.select(F.col(vector)).limit(2 * SAMPLE).toArrow().column(0).combine_chunks()
+    x = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1).astype(float)
     lists = lists or max(1, min(4096, int(math.sqrt(n))))
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), min(lists, len(x)), replace=False)].copy()
@@ -58,17 +59,18 @@ def fit(df: DataFrame, lists: int | None = None, vector: str = "embedding", seed
     return Coarse(centers)
 
 
-def assign(df: DataFrame, coarse: Coarse, vector: str = "embedding") -> DataFrame:
-    """``df``'s id and vector with the number of their list; write it partitioned by ``list`` to prune scans."""
+def assign(df: DataFrame, coarse: Coarse, vector: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
+    """``df``'s id, vector and columns ``keep`` with the number of their list; write it partitioned by ``list`` to prune scans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-                yield pa.record_batch([*batch.columns, pa.array(coarse.nearest(x)[:, 0].astype(np.int32))], ["id", "embedding", "list"])
+                yield pa.record_batch([*batch.columns, pa.array(coarse.nearest(x)[:, 0].astype(np.int32))], [*batch.schema.names, "list"])
 
-    source = df.where(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(vector).alias("embedding"))
-    return source.mapInArrow(run, "id long, embedding array<float>, list int")
+    more = [c for c in keep if c in df.columns]
+    source = df.where(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(vector).alias("embedding"), *more)
+    return source.mapInArrow(run, ", ".join(["id long, embedding array<float>", *(f"`{c}` {dict(df.dtypes)[c]}" for c in more), "list int"]))
 
 
 def search(index: DataFrame, coarse: Coarse, queries: Mapping[int, Sequence[float]], k: int, probes: int = 8) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,40 +29,69 @@ def ordering(keys: Sequence[tuple[Column | str, str]], tie: Sequence[str] = ("id
     return out + [F.col(t).asc_nulls_last() for t in tie]
 
 
-def page(df: DataFrame, limit: int, offset: int = 0, order: Sequence[tuple[Column | str, str]] = (), tie: Sequence[str] = ("id",)) -> DataFrame:
-    """ORDER BY, OFFSET, LIMIT as one top-k operator; without keys in physical order."""
-    if not 1 <= limit <= MAX_ROWS or not 0 <= offset <= MAX_OFFSET:
+def page(df: DataFrame, limit: int | None = None, offset: int = 0, order: Sequence[tuple[Column | str, str]] = (), tie: Sequence[str] = ("id",)) -> DataFrame:
+    """ORDER BY, OFFSET, LIMIT as one top-k operator; without a limit all rows after the offset.
+
+    Without keys and offset any ``limit`` rows will do: reading stops as soon as enough are there, nothing is sorted. With
+    an offset the rows are numbered by ``tie``, so that pages fit together.
+    """
+    if limit is not None and not 1 <= limit <= MAX_ROWS or not 0 <= offset <= MAX_OFFSET:
         raise EngineError("22000", "LIMIT is 1 to 10000, OFFSET 0 to 10000")
-    df = df.orderBy(*ordering(order, tie))
-    return (df.offset(offset) if offset else df).limit(limit)
+    if order or offset:
+        df = df.orderBy(*ordering(order, tie))
+    df = df.offset(offset) if offset else df
+    return df if limit is None else df.limit(limit)
+
+
+def in_scan_order(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows of a join by the ids of its relations, first to last, rows that outer joins pad after the others."""
+    return df.orderBy(*[F.col(i).asc_nulls_last() for i in ids])
 
 
 _COMPARE = {"eq": "__eq__", "ne": "__ne__", "lt": "__lt__", "lte": "__le__", "le": "__le__", "gt": "__gt__", "gte": "__ge__", "ge": "__ge__"}
 
 
-def predicate(spec: Mapping | Sequence, columns: Sequence[str]) -> Column:
+def kinds(df: DataFrame) -> dict[str, str]:
+    """Columns whose declared type compares by another form than its text: json, jsonb, uuid."""
+    return {f.name: f.metadata["type"] for f in df.schema.fields if f.metadata and f.metadata.get("type") in ("json", "jsonb", "uuid")}
+
+
+def canonical(kind: str | None, c: Column) -> Column:
+    """JSON by its value (keys sorted, no blanks), uuids in lower case, everything else as it is."""
+    return scalar.jsonb(c) if kind in ("json", "jsonb") else F.lower(c) if kind == "uuid" else c
+
+
+def predicate(spec: Mapping | Sequence, columns: Sequence[str], kinds: Mapping[str, str] | None = None) -> Column:
     """A dict filter: leaves ``{column: {op: value}}``, groups ``not`` and ``or``, everything else joined by AND.
 
-    Three-valued as in SQL. Unknown columns are 42703, unknown operators 42601.
+    Three-valued as in SQL. Unknown columns are 42703, unknown operators 42601. ``kinds`` names the columns that
+    compare by a canonical form.
     """
+    kinds = kinds or {}
     if isinstance(spec, (list, tuple)):
-        return reduce(lambda a, b: a & b, [predicate(s, columns) for s in spec], F.lit(True))
+        return reduce(lambda a, b: a & b, [predicate(s, columns, kinds) for s in spec], F.lit(True))
     out = []
     for name, body in spec.items():
         if name == "or":
-            out.append(reduce(lambda a, b: a | b, [predicate(s, columns) for s in body]))
+            out.append(reduce(lambda a, b: a | b, [predicate(s, columns, kinds) for s in body]))
         elif name == "and":
-            out.append(predicate(list(body), columns))
+            out.append(predicate(list(body), columns, kinds))
         elif name == "not":
-            out.append(~predicate(body, columns))
+            out.append(~predicate(body, columns, kinds))
         elif name not in columns:
             raise EngineError("42703", f"no column {name}")
         else:
-            out += [_leaf(F.col(name), op, value) for op, value in (body if isinstance(body, Mapping) else {"eq": body}).items()]
+            out += [_leaf(F.col(name), op, value, kinds.get(name)) for op, value in (body if isinstance(body, Mapping) else {"eq": body}).items()]
     return reduce(lambda a, b: a & b, out, F.lit(True))
 
 
-def _leaf(c: Column, op: str, value) -> Column:
+def _leaf(c: Column, op: str, value, kind: str | None = None) -> Column:
+    if kind and op in ("eq", "ne", "in"):
+        c = canonical(kind, c)
+        if op != "in":
+            return getattr(c, _COMPARE[op])(canonical(kind, F.lit(value)))
+    elif kind in ("json", "jsonb") and op not in ("is_null", "not_null"):
+        raise EngineError("42804", f"json has no {op}")
     if op in _COMPARE:
         return getattr(c, _COMPARE[op])(F.lit(value))
     if op == "prefix":
@@ -77,7 +108,7 @@ def _leaf(c: Column, op: str, value) -> Column:
     if op == "in":
         if len(value) > MAX_IN:
             raise EngineError("54000", f"more than {MAX_IN} values")
-        return c.isin(*value)
+        return c.isin(*[canonical(kind, F.lit(v)) for v in value])
     raise EngineError("42601", f"no operator {op}")
 
 
@@ -94,14 +125,24 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("22003: out of range"))).otherwise(c)
 
 
-def avg_numeric(c: Column, precision: int, scale: int) -> Column:
-    """AVG of NUMERIC(p, s): scale max(s, min(16, 38 - (p - s))), half away from zero."""
+def avg_numeric(c: Column, precision: int, scale: int, over=lambda c: c) -> Column:
+    """AVG of NUMERIC(p, s): scale max(s, min(16, 38 - (p - s))), half away from zero. ``over`` puts it over a window.
+
+    Spark divides decimals to six digits where precision runs short, so the one division a group is done in Python.
+    """
     digits = max(scale, min(16, 38 - (precision - scale)))
-    return F.round(F.sum(c.cast(f"decimal(38,{scale})")) / F.count(c), digits)
+    step = decimal.Decimal(1).scaleb(-digits)
+
+    @F.pandas_udf(f"decimal(38,{digits})")
+    def divide(total: pd.Series, n: pd.Series) -> pd.Series:
+        with decimal.localcontext(prec=80):
+            return pd.Series([None if t is None else (t / int(k)).quantize(step, rounding=decimal.ROUND_HALF_UP) for t, k in zip(total, n, strict=True)], dtype=object)
+
+    return divide(over(F.sum(c.cast(f"decimal(38,{scale})"))), over(F.count(c)))
 
 
 def grouped(df: DataFrame, keys: Sequence[str], items: Mapping[str, Column], having: Column | None = None) -> DataFrame:
-    """GROUP BY up to eight keys, keys ascending with nulls last unless the caller orders otherwise."""
+    """GROUP BY up to eight keys; :func:`page` orders by keys where that is asked for."""
     if len(keys) > MAX_KEYS or not 1 <= len(items) <= 32:
         raise EngineError("54000", "at most 8 keys and 32 items")
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in items.items()])
@@ -119,15 +160,16 @@ def over(partition: Sequence[str], order: Sequence[tuple[str, str]] = (), tie: b
 
 # -- joins and sets --------------------------------------------------------------------------------------------------
 
+#: Join keys by their class; integers include ids, and only keys of one class are compared.
 _CLASS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "string": "text", "boolean": "bool", "date": "date", "timestamp_ntz": "timestamp", "timestamp": "timestamp", "binary": "bytes"}
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner") -> DataFrame:
-    """Equality joins; key types must be of one class, and floats, decimals, arrays can't be keys (42804)."""
-    kinds = dict(left.dtypes), dict(right.dtypes)
+    """Equality joins; key types must be of one class, and floats, decimals, JSON, arrays can't be keys (42804)."""
+    types, declared = (dict(left.dtypes), dict(right.dtypes)), (kinds(left), kinds(right))
     for a, b in on:
-        x, y = _CLASS.get(kinds[0][a]), _CLASS.get(kinds[1][b])
-        if x is None or x != y:
+        x, y = (declared[k].get(c) or _CLASS.get(types[k][c]) for k, c in enumerate((a, b)))
+        if x is None or x != y or x in ("json", "jsonb"):
             raise EngineError("42804", f"{a} and {b} can't be compared as join keys")
     return left.join(right, reduce(lambda p, q: p & q, [left[a] == right[b] for a, b in on]), how)
 

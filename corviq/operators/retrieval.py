@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +16,13 @@ from corviq.errors import EngineError
 from corviq.functions import scalar
 
 MAX_K = 10_000
+CODE, F16_MAX = 127, 65504.0
 BROADCAST_QUERIES = 4_096  # of a batch
 
 
 def scored(df: DataFrame, query: Sequence[float], vector: str = "embedding", keep: Sequence[str] = ("id",)) -> DataFrame:
     """Inner products of all rows, finite ones only."""
-    score = scalar.dot(F.col(vector), scalar.vec(list(query)))
+    score = scalar.dot_with(F.col(vector), list(query))
     return df.select(*keep, score.alias("score")).where(~F.isnan("score") & (F.abs("score") < float("inf")))
 
 
@@ -70,10 +72,81 @@ def batch_knn(df: DataFrame, queries: Mapping[int, Sequence[float]], k: int, vec
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def quantize(v: Column) -> Column:
-    """Symmetric int8 codes of a vector: round(x / max|x| * 127)."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    return F.transform(v, lambda x: F.round(x.cast("double") / top * 127).cast("int"))
+def fit_scales(df: DataFrame, vector: str = "embedding") -> list[float]:
+    """The scale of each dimension for eight-bit codes: the largest absolute value over 127, as a float.
+
+    One aggregate with a row per dimension; non-finite components are refused (22000), and so are scales that a float
+    can't hold. A dimension that is zero throughout has scale 0.
+    """
+    spots = df.select(F.posexplode(vector).alias("at", "x")).withColumn("x", F.abs(F.col("x").cast("double")))
+    rows = spots.groupBy("at").agg(F.max("x").alias("top")).orderBy("at").collect()
+    out = []
+    for r in rows:
+        top = r["top"]
+        if top is None or top != top or top == float("inf"):
+            raise EngineError("22000", f"dimension {r['at']} has components that aren't finite")
+        scale = float(np.float32(top / CODE))
+        if top > 0 and scale == 0.0 or scale * CODE > float(np.finfo(np.float32).max):
+            raise EngineError("22000", f"dimension {r['at']} is out of range")
+        out.append(scale)
+    return out
+
+
+def quantize(v: Column, scales: Sequence[float]) -> Column:
+    """Codes from -127 to 127 by the scale of each dimension, half away from zero."""
+    listed = F.array(*[F.lit(s) for s in scales])
+    code = lambda x, s: F.when(s == 0, 0.0).otherwise(F.least(F.lit(float(CODE)), F.greatest(F.lit(-float(CODE)), F.round(x.cast("double") / F.nullif(s, F.lit(0.0))))))
+    return F.zip_with(v, listed, lambda x, s: code(x, s).cast("tinyint"))
+
+
+def decode_dot(code: Column, scales: Sequence[float], query: Sequence[float]) -> Column:
+    """The score of stored codes for a query that stays as it is: the sum of code times scale times query."""
+    return scalar.dot(code, scalar.vec([s * q for s, q in zip(scales, query, strict=True)]))
+
+
+def fits_f16(v: Column) -> Column:
+    """Whether all components have a finite half-precision form."""
+    return F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) <= F16_MAX))
+
+
+def to_f16(df: DataFrame, vector: str = "embedding", name: str = "f16") -> DataFrame:
+    """``df`` with the vector's half-precision bits (two bytes a component, little-endian): nearest, ties to even."""
+
+    @F.pandas_udf("binary")
+    def bits(s: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return s.map(lambda v: None if v is None else np.asarray(v, "<f4").astype("<f2").tobytes())
+
+    return df.withColumn(name, bits(F.col(vector)))
+
+
+def from_f16(df: DataFrame, name: str = "f16", vector: str = "embedding") -> DataFrame:
+    @F.pandas_udf("array<float>")
+    def floats(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype(np.float32))
+
+    return df.withColumn(vector, floats(F.col(name)))
+
+
+class BatchWindow:
+    """Collects queries until there are ``most`` of them, and answers them in one pass over the vectors."""
+
+    def __init__(self, df: DataFrame, k: int, most: int = BROADCAST_QUERIES, vector: str = "embedding"):
+        if not 1 <= most <= BROADCAST_QUERIES:
+            raise EngineError("54000", f"a window has 1 to {BROADCAST_QUERIES} queries")
+        self.df, self.k, self.most, self.vector = df, k, most, vector
+        self.waiting: dict[int, Sequence[float]] = {}
+
+    def add(self, qid: int, query: Sequence[float]) -> DataFrame | None:
+        """The answers of the window that this query fills, as of :func:`batch_knn`; else None."""
+        if qid in self.waiting:
+            raise EngineError("21000", f"query {qid} is waiting already")
+        self.waiting[qid] = query
+        return self.flush() if len(self.waiting) == self.most else None
+
+    def flush(self) -> DataFrame | None:
+        waiting, self.waiting = self.waiting, {}
+        return batch_knn(self.df, waiting, self.k, self.vector) if waiting else None
 
 
 # -- text ------------------------------------------------------------------------------------------------------------
@@ -95,15 +168,15 @@ def tokens(text: Column) -> Column:
     return F.concat(words, ones, twos)
 
 
-_WORD, _RUN = re.compile(r"[a-z0-9_]+"), re.compile(f"[{CJK}]+")
+WORD, RUN = re.compile(r"[a-z0-9_]+"), re.compile(f"[{CJK}]+")
 
 
 def token_list(text: str) -> list[str]:
     """The tokens of one text by the same rules, words first."""
     low = text.lower()
-    out = _WORD.findall(low)
+    out = WORD.findall(low)
     if not low.isascii():
-        runs = _RUN.findall(low)
+        runs = RUN.findall(low)
         out += [c for run in runs for c in run if c not in CJK_STOP]
         out += [run[k : k + 2] for run in runs for k in range(len(run) - 1)]
     return out
@@ -115,14 +188,14 @@ def query_terms(text: str) -> list[str]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
-    words = [(n, rf"\b{t}\b") for n, t in enumerate(terms) if _WORD.fullmatch(t)]
+    words = [(n, rf"\b{t}\b") for n, t in enumerate(terms) if WORD.fullmatch(t)]
     for batch in batches:
         low = pc.utf8_lower(batch.column(1))
-        size = pc.count_substring_regex(low, _WORD.pattern).to_numpy(zero_copy_only=False).astype(np.int32)
+        size = pc.count_substring_regex(low, WORD.pattern).to_numpy(zero_copy_only=False).astype(np.int32)
         counts = np.zeros((len(terms), len(low)), np.int32)
         for n, pattern in words:  # word boundaries of the pattern are those of the tokens
             counts[n] = pc.count_substring_regex(low, pattern).to_numpy(zero_copy_only=False)
-        for k in np.flatnonzero(pc.match_substring_regex(low, _RUN.pattern).to_numpy(zero_copy_only=False)).tolist():
+        for k in np.flatnonzero(pc.match_substring_regex(low, RUN.pattern).to_numpy(zero_copy_only=False)).tolist():
             found = token_list(low[k].as_py())
             size[k] = len(found)
             counts[:, k] = [found.count(t) for t in terms]
@@ -153,6 +226,18 @@ def bm25(docs: DataFrame, query: str, text: str = "text", k1: float = 1.2, b: fl
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     tf = term_counts(docs, terms, text)
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"tf{n}") > 0, 1)).alias(f"df{n}") for n in range(len(terms))])
+    return _scores(tf, stats, terms, k1, b)
+
+
+def scored_terms(wide: DataFrame, postings: DataFrame, sizes: DataFrame, terms: list[str], k1: float, b: float) -> DataFrame:
+    """The same scores out of postings (term, ...): ``wide`` as of :func:`term_counts`, ``sizes`` one row (n, avgdl)."""
+    if not terms:
+        return wide.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    df = postings.agg(*[F.count(F.when(F.col("term") == t, 1)).alias(f"df{n}") for n, t in enumerate(terms)])
+    return _scores(wide, sizes.join(F.broadcast(df)), terms, k1, b)
+
+
+def _scores(tf: DataFrame, stats: DataFrame, terms: list[str], k1: float, b: float) -> DataFrame:
     score = F.lit(0.0)
     for n in range(len(terms)):
         df, f = F.col(f"df{n}"), F.col(f"tf{n}")
@@ -161,38 +246,23 @@ def bm25(docs: DataFrame, query: str, text: str = "text", k1: float = 1.2, b: fl
     return tf.join(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, id, score, rank) for a table of queries (qid, q): postings joined with query terms, top ``k`` each."""
-    posts = docs.select("id", tokens(F.col(text)).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = posts.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    lens = docs.select("id", F.size(tokens(F.col(text))).alias("dl"))
-    stats = lens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("q")))).alias("term"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(terms, "term").groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 # -- fusion, boosts, gate, rerank ------------------------------------------------------------------------------------
 
 
 def pool(hits: DataFrame, size: int) -> DataFrame:
     """The best ``size`` hits with the tie group at the edge completed, and the group-end rank: all ties take its last place.
 
-    Partitions keep their own best (ties included) before the window sees the pool, which costs one pass over ``hits``.
-    Pools above Spark's limit for that take the score at the edge from a top-k first, which costs two.
+    Scores are counted first; of at most ``size`` distinct ones the ranks are summed up and broadcast. So however many
+    hits share a score, they never meet in one task.
     """
-    w = Window.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    if size <= 1000:
-        first = hits.withColumn("_r", F.rank().over(Window.orderBy(F.desc("score")))).where(F.col("_r") <= size).drop("_r")
-        return first.withColumn("rank", F.count("*").over(w))
-    edge = hits.orderBy(F.desc("score")).limit(size).agg(F.min("score").alias("_edge"))
-    best = hits.join(F.broadcast(edge)).where(F.col("score") >= F.col("_edge")).drop("_edge")
-    return best.withColumn("rank", F.count("*").over(w))
+    ranks = group_ends(hits, "score", size).where(F.col("rank") - F.col("_n") < size).select(F.col("_v").alias("_s"), "rank")
+    return hits.join(F.broadcast(ranks), F.col("score") == F.col("_s")).drop("_s")
+
+
+def group_ends(hits: DataFrame, column: str, most: int) -> DataFrame:
+    """(_v, _n, rank): the ``most`` largest distinct values, how often each occurs, and how many values are not smaller."""
+    top = hits.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")).orderBy(F.desc("_v")).limit(most)
+    return top.withColumn("rank", F.sum("_n").over(Window.orderBy(F.desc("_v"))))
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, limit: int, k: int = 60, weights: tuple[float, float] = (1.0, 1.0), size: int = 200) -> DataFrame:
@@ -231,17 +301,54 @@ def rrf_confidence(score: Column, k: int = 60, weights: tuple[float, float] = (1
 
 
 def rerank(hits: DataFrame, rank=None, limit: int = 10) -> DataFrame:
-    """Runs a reranker (hits to hits with new scores; None: as they are) and cuts; the reranked must be among the hits.
+    """Runs a reranker (hits to hits with new scores; None: as they are) and cuts.
 
-    ``hits`` is a pool of at most ``MAX_K`` rows (id, score, ...). A model that scores pairs plugs in as ``rank``.
+    ``hits`` is a pool of at most ``MAX_K`` rows (id, score, ...); more are refused (54000), and so is an id that stands
+    twice or a score that isn't finite (22000). A model that scores pairs plugs in as ``rank``. What it gives must be
+    finite scores of ids among the hits, each once: one foreign id refuses all, since leaving it out would tell that it
+    is there.
     """
     if not 1 <= limit <= MAX_K:
         raise EngineError("54000", f"limit is 1 to {MAX_K}")
-    best = hits.orderBy(F.desc("score"), F.asc("id")).limit(MAX_K)
-    out = best if rank is None else rank(best).join(best.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    pool = hits.limit(MAX_K + 1)
+    _refuse(pool, "the pool", MAX_K)
+    out = hits
+    if rank is not None:
+        out = rank(hits)
+        _refuse(out.limit(MAX_K + 1), "the reranker", MAX_K)
+        if out.join(hits.select("id"), "id", "left_anti").limit(1).count():
+            raise EngineError("22000", "the reranker gave an id that isn't among the hits")
     return out.orderBy(F.desc("score"), F.asc("id")).limit(limit)
 
 
+def _refuse(pool: DataFrame, who: str, most: int) -> None:
+    odd = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    seen = pool.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count(F.when(odd, 1)).alias("odd")).first()
+    if seen["n"] > most:
+        raise EngineError("54000", f"{who} has more than {most} hits")
+    if seen["ids"] < seen["n"] or seen["odd"]:
+        raise EngineError("22000", f"{who} has an id twice or a score that isn't finite")
+
+
+def cross_encoder(score, batch: int = 256, text: str = "text"):
+    """A reranker out of a model that scores pairs: ``score(query, texts)`` gives a number for each text of a batch.
+
+    It runs on the executors, up to 256 pairs at a time; pass ``cross_encoder(model)(query)`` to :func:`rerank`.
+    """
+    if not 1 <= batch <= 256:
+        raise EngineError("54000", "a batch has 1 to 256 pairs")
+
+    def of(query: str):
+        @F.pandas_udf("double")
+        def scores(s: pd.Series) -> pd.Series:
+            texts = [t or "" for t in s]
+            return pd.Series([float(x) for at in range(0, len(texts), batch) for x in score(query, texts[at : at + batch])], index=s.index)
+
+        return lambda hits: hits.withColumn("score", scores(F.col(text)))
+
+    return of
+
+
 def boost_ids(hits: DataFrame, ids: DataFrame, amount: float, most: float = 1.0) -> DataFrame:
     """Adds ``amount`` to the hits whose id is in ``ids`` (id); never removes one."""
     if not 0 <= amount <= most:
@@ -251,11 +358,16 @@ def boost_ids(hits: DataFrame, ids: DataFrame, amount: float, most: float = 1.0)
 
 
 def rerank_lexical(hits: DataFrame, query: str, text: str = "text", k: int = 60, fused: float = 3.0, lexical: float = 1.0) -> DataFrame:
-    """``hits`` (id, score, text) by fused / (k + rank) + lexical / (k + rank of shared terms), group-end ranks."""
-    shared = F.size(F.array_intersect(F.array_distinct(tokens(F.col(text))), F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")))
+    """``hits`` (id, score, text) by fused / (k + rank) + lexical / (k + rank of shared terms), group-end ranks.
 
-    def ends(c: str):
-        return F.count("*").over(Window.orderBy(F.desc(c)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ``hits`` is a pool with at most ``MAX_K`` distinct scores.
+    """
+    shared = F.size(F.array_intersect(F.array_distinct(tokens(F.col(text))), F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")))
 
-    ranked = hits.withColumn("_o", shared).withColumn("_f", ends("score")).withColumn("_l", ends("_o"))
-    return ranked.withColumn("score", fused / (k + F.col("_f")) + lexical / (k + F.col("_l"))).drop("_o", "_f", "_l").orderBy(F.desc("score"), F.asc("id"))
+    marked = hits.withColumn("_o", shared)
+    by_score, by_words = (group_ends(marked, c, MAX_K) for c in ("score", "_o"))
+    ranked = marked.join(F.broadcast(by_score.select(F.col("_v").alias("_fv"), F.col("rank").alias("_f"))), F.col("score") == F.col("_fv")).join(
+        F.broadcast(by_words.select(F.col("_v").alias("_lv"), F.col("rank").alias("_l"))), F.col("_o") == F.col("_lv")
+    )
+    score = fused / (k + F.col("_f")) + lexical / (k + F.col("_l"))
+    return ranked.withColumn("score", score).drop("_o", "_f", "_l", "_fv", "_lv").orderBy(F.desc("score"), F.asc("id"))

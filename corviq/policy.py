@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TENANT, VISIBILITY = "_tenant_id", "_visibility"
 
@@ -17,9 +18,13 @@ class Policy:
     tenant: str
     allowed: tuple[str, ...] = ("public", "private")
 
-    def visible(self) -> Column:
-        """Allowed visibility, and either public or the tenant's own; the ``in`` list reaches the Parquet scan."""
-        return F.col(VISIBILITY).isin(*self.allowed) & ((F.col(VISIBILITY) == "public") | (F.col(TENANT) == self.tenant))
+    def visible(self, within: str = "") -> Column:
+        """Allowed visibility, and either public or the tenant's own; the ``in`` list reaches the Parquet scan.
+
+        ``within``: the struct column that holds both fields.
+        """
+        visibility, tenant = (F.col(f"{within}.{c}" if within else c) for c in (VISIBILITY, TENANT))
+        return visibility.isin(*self.allowed) & ((visibility == "public") | (tenant == self.tenant))
 
     def owned(self) -> Column:
         return F.col(TENANT) == self.tenant
@@ -27,9 +32,10 @@ class Policy:
     def read(self, df: DataFrame) -> DataFrame:
         return df.where(self.visible())
 
-    def recheck(self, df: DataFrame) -> DataFrame:
-        """The safety net after ranking: the same rule again, which can only remove rows."""
-        return df.where(self.visible()) if {TENANT, VISIBILITY} <= set(df.columns) else df
+    def recheck(self, hits: DataFrame, key: str) -> DataFrame:
+        """The safety net after ranking: the same rule again, on the keys of the hits, which can only remove some."""
+        fields = hits.schema[key].dataType
+        return hits.where(self.visible(key)) if isinstance(fields, T.StructType) and VISIBILITY in fields.names else hits
 
 
 ANONYMOUS = Policy("", ("public",))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corviq.functions import scalar as S
 from corviq.operators import relational as R
 from corviq.operators import retrieval as V
-from corviq.plans.engine import Engine
+from corviq.plans.engine import Engine, python_function
+from corviq.plans.planner import Expansion
 from corviq.policy import ANONYMOUS, Policy
 from corviq.sources import ingest
 
@@ -53,7 +54,7 @@ def _dot(values: list[float]) -> str:
 
 @query("s1_wide_scan", "SELECT id, o_custkey, o_totalprice FROM {orders} WHERE o_totalprice > 150000 ORDER BY id LIMIT 500")
 def _(e):
-    return R.page(e.table("orders").where("o_totalprice > 150000"), 500).select("id", "o_custkey", "o_totalprice")
+    return R.page(e.table("orders").where("o_totalprice > 150000"), 500, order=[("id", "asc")]).select("id", "o_custkey", "o_totalprice")
 
 
 @query("s2_offset", "SELECT id, o_orderdate FROM {orders} ORDER BY o_orderdate, id LIMIT 100 OFFSET 250")
@@ -117,21 +118,40 @@ _WHERE = {
     "p5_not_in": ("customer", {"not": {"c_nationkey": {"in": [1, 2, 3]}}}, "c_nationkey NOT IN (1, 2, 3)"),
     "p6_between": ("part", {"p_size": {"between": [10, 20]}}, "p_size BETWEEN 10 AND 20"),
     "p6_between_empty": ("part", {"p_size": {"between": [20, 10]}}, "p_size BETWEEN 20 AND 10"),
-    "p7_is_null": ("events", {"props": {"not_null": True}, "value": {"is_null": False}}, "props IS NOT NULL AND value IS NOT NULL"),
     "p8_not": ("part", {"not": {"or": [{"p_size": {"lt": 30}}, {"p_brand": {"prefix": "Brand#1"}}]}}, "NOT (p_size < 30 OR p_brand LIKE 'Brand#1%')"),
     "p9_tree": ("orders", {"or": [{"o_orderstatus": "O", "o_totalprice": {"lt": 50000}}, {"o_orderpriority": {"prefix": "1"}}]}, "(o_orderstatus = 'O' AND o_totalprice < 50000) OR o_orderpriority LIKE '1%'"),
     "p10_or_same": ("orders", {"or": [{"o_orderstatus": "O"}, {"o_orderstatus": "P"}]}, "o_orderstatus = 'O' OR o_orderstatus = 'P'"),
     "p11_prefix": ("part", {"p_type": {"prefix": "PROMO"}}, "p_type LIKE 'PROMO%'"),
     "p12_like": ("part", {"p_name": {"like": "%a_e%"}}, "p_name LIKE '%a_e%'"),
-    "p18_id": ("orders", {"id": {"gte": 100}, "o_orderkey": {"lt": 200}}, "id >= 100 AND o_orderkey < 200"),
 }
 for _name, (_t, _spec, _sql) in _WHERE.items():
     query(_name, f"SELECT id FROM {{{_t}}} WHERE {_sql}")(lambda e, t=_t, s=_spec: (lambda df: df.where(R.predicate(s, df.columns)).select("id"))(e.table(t)))
 
 
-@query("p13_arrays", "SELECT id, embedding[1:2]::DOUBLE[] = [0.0, 0.0] AS same FROM {embeddings}")
+@query("p7_is_null", "SELECT id, g IS NULL AS none FROM (SELECT id, nullif(p_size % 3, 0) AS g, nullif(p_brand, 'Brand#11') AS b FROM {part}) WHERE g IS NULL OR b IS NULL AND g IS NOT NULL")
 def _(e):
-    return e.table("embeddings").select("id", (F.slice("embedding", 1, 2).cast("array<double>") == F.array(F.lit(0.0), F.lit(0.0))).alias("same"))
+    t = e.table("part").withColumn("g", F.nullif(F.col("p_size") % 3, F.lit(0))).withColumn("b", F.nullif("p_brand", F.lit("Brand#11")))
+    spec = {"or": [{"g": {"is_null": True}}, {"b": {"is_null": True}, "g": {"not_null": True}}]}
+    return t.where(R.predicate(spec, t.columns)).select("id", F.col("g").isNull().alias("none"))
+
+
+_SIGNS = "list_transform(embedding[1:3], lambda x: CASE WHEN x > 0 THEN 1 WHEN x < -0.5 THEN NULL ELSE -1 END::INTEGER)"
+
+
+@query("p13_arrays", f"SELECT id, s IS NOT DISTINCT FROM [1, -1, 1] AS same, list_contains([[1, 1, 1], [-1, NULL, 1], [-1, -1, -1]], s) AS among FROM (SELECT id, {_SIGNS} AS s FROM {{embeddings}})")
+def _(e):
+    """Arrays are equal element by element, nulls included."""
+    signs = F.transform(F.slice("embedding", 1, 3), lambda x: F.when(x > 0, 1).when(x < -0.5, None).otherwise(-1))
+    array = lambda *v: F.array(*[F.lit(x).cast("int") for x in v])
+    return e.table("embeddings").select("id", (signs == array(1, -1, 1)).alias("same"), signs.isin(array(1, 1, 1), array(-1, None, 1), array(-1, -1, -1)).alias("among"))
+
+
+@query("p18_id", "SELECT o_orderkey + 9007199254740992 AS id FROM {orders} WHERE o_orderkey + 9007199254740992 IN (9007199254740993, 9007199254740995, 9007199254741000) OR o_orderkey + 9007199254740992 > 9007199254740992 + (SELECT max(o_orderkey) FROM {orders}) - 3")
+def _(e):
+    """Ids are compared as whole numbers, where doubles would take neighbours for one."""
+    big = e.table("orders").withColumn("id", F.col("o_orderkey") + 9007199254740992).select("id")
+    top = big.agg(F.max("id")).first()[0]
+    return big.where(R.predicate({"or": [{"id": {"in": [9007199254740993, 9007199254740995, 9007199254741000]}}, {"id": {"gt": top - 3}}]}, big.columns))
 
 
 @query("p15_boolean", "SELECT id FROM (SELECT *, p_size > 40 AS big FROM {part}) WHERE big")
@@ -250,6 +270,23 @@ def _(e):
     return R.grouped(e.table("part"), ["p_brand"], {"s": F.sum(price.cast("decimal(38,2)")).cast("decimal(38,2)"), "n": F.count("*")})
 
 
+@query("a5_average", "SELECT p_brand, round(sum(p_retailprice::DECIMAL(10,2))::DOUBLE / count(*), 10) AS a FROM {part} GROUP BY p_brand")
+def _(e):
+    price = F.col("p_retailprice").cast("decimal(10,2)")
+    return R.grouped(e.table("part"), ["p_brand"], {"a": F.round(R.avg_numeric(price, 10, 2).cast("double"), 10)})
+
+
+@query("a7_many_groups", "SELECT o_custkey, o_orderdate, count(*) AS n FROM {orders} GROUP BY ALL")
+def _(e):
+    """Without a limit all groups come, however many."""
+    return e.query({"op": "aggregate", "table": "orders", "group_by": ["o_custkey", "o_orderdate"], "items": {"n": {"count": "*"}}})
+
+
+@query("s2_offset_only", "SELECT id FROM {orders} ORDER BY id OFFSET 100")
+def _(e):
+    return e.sql("SELECT id FROM orders ORDER BY id OFFSET 100")
+
+
 @query("a6_count_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS n FROM {orders} GROUP BY o_orderpriority")
 def _(e):
     return R.grouped(e.table("orders"), ["o_orderpriority"], {"n": F.count_distinct("o_custkey")})
@@ -370,9 +407,21 @@ def _(e):
     return R.in_subquery(e.table("customer"), "c_custkey", e.table("orders").where("o_totalprice > 200000").select("o_custkey")).select("id", "c_name")
 
 
-@query("j12_anti", "SELECT id, c_name FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})")
+@query("j12_anti", "SELECT id, c_name FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000)")
+def _(e):
+    return R.in_subquery(e.table("customer"), "c_custkey", e.table("orders").where("o_totalprice > 250000").select("o_custkey"), negate=True).select("id", "c_name")
+
+
+@query("j9_key_classes", "SELECT n.id, r.r_name FROM {nation} n JOIN {region} r ON n.n_regionkey = r.id")
 def _(e):
-    return R.in_subquery(e.table("customer"), "c_custkey", e.table("orders").select("o_custkey"), negate=True).select("id", "c_name")
+    """Integers of any width and ids are one class of keys."""
+    return R.join(e.table("nation"), e.table("region").withColumnRenamed("id", "rid"), [("n_regionkey", "rid")]).select("id", "r_name")
+
+
+@query("j10_output_order", "SELECT c.id AS cid, s.id AS sid FROM {customer} c FULL JOIN {supplier} s ON c.c_nationkey = s.s_nationkey ORDER BY c.id NULLS LAST, s.id NULLS LAST LIMIT 500")
+def _(e):
+    """The first rows of a join are those of its scan order, padded rows last."""
+    return e.sql("SELECT c.id AS cid, s.id AS sid FROM customer c FULL OUTER JOIN supplier s ON c.c_nationkey = s.s_nationkey LIMIT 500")
 
 
 # -- subqueries, sets ------------------------------------------------------------------------------------------------
@@ -407,8 +456,8 @@ def _(e):
 
 
 for _name, (_kind, _word) in {"q7_union_all": ("union_all", "UNION ALL"), "q8_union": ("union", "UNION"), "q9_intersect": ("intersect", "INTERSECT"), "q10_except": ("except", "EXCEPT")}.items():
-    query(_name, f"SELECT c_nationkey AS k FROM {{customer}} WHERE c_acctbal > 8000 {_word} SELECT s_nationkey FROM {{supplier}}")(
-        lambda e, kind=_kind: R.set_op(kind, e.table("customer").where("c_acctbal > 8000").select(F.col("c_nationkey").alias("k")), e.table("supplier").select("s_nationkey"))
+    query(_name, f"SELECT c_nationkey AS k FROM {{customer}} WHERE c_acctbal > 3000 {_word} SELECT nullif(s_nationkey, 7) FROM {{supplier}} WHERE s_acctbal > 3000")(
+        lambda e, kind=_kind: R.set_op(kind, e.table("customer").where("c_acctbal > 3000").select(F.col("c_nationkey").alias("k")), e.table("supplier").where("s_acctbal > 3000").select(F.nullif("s_nationkey", F.lit(7))))
     )
 
 
@@ -450,9 +499,23 @@ def _(e):
     return V.batch_knn(e.table("embeddings"), PROBES, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("v10_sq8", "SELECT id, list_transform(embedding::DOUBLE[], lambda x: round(x / m * 127)::INTEGER) AS code FROM (SELECT id, embedding, list_max(list_transform(embedding::DOUBLE[], lambda y: abs(y))) AS m FROM {embeddings})")
+_SCALES = (
+    "spot AS (SELECT id, unnest(range(1, 65)) AS d, unnest(embedding::DOUBLE[]) AS x FROM {embeddings}), sc AS (SELECT d, (max(abs(x)) / 127)::FLOAT::DOUBLE AS s FROM spot GROUP BY d), "
+    "code AS (SELECT id, d, s, CASE WHEN s = 0 THEN 0 ELSE greatest(-127, least(127, round(x / s))) END::TINYINT AS c FROM spot JOIN sc USING (d))"
+)
+
+
+@query("v10_sq8", f"WITH {_SCALES} SELECT id, list(c ORDER BY d) AS code FROM code GROUP BY id")
+def _(e):
+    v = e.table("embeddings")
+    return v.select("id", V.quantize(F.col("embedding"), V.fit_scales(v)).alias("code"))
+
+
+@query("v10_decode_dot", f"WITH {_SCALES}, q AS (SELECT unnest(range(1, 65)) AS d, unnest({_list(PROBE)}) AS y) SELECT id, round(sum(c * s * y), 6) AS score FROM code JOIN q USING (d) GROUP BY id")
 def _(e):
-    return e.table("embeddings").select("id", V.quantize(F.col("embedding")).alias("code"))
+    v = e.table("embeddings")
+    scales = V.fit_scales(v)
+    return v.select("id", F.round(V.decode_dot(V.quantize(F.col("embedding"), scales), scales, PROBE), 6).alias("score"))
 
 
 _TERMS = V.query_terms(TEXT)
@@ -466,12 +529,12 @@ _BM25 = (
 
 @query("t2_bm25", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0")
 def _(e):
-    return V.bm25(e.table("documents"), TEXT).select("id", F.round("score", 6).alias("score"))
+    return e.bm25("documents", "text", TEXT).select("id", F.round("score", 6).alias("score"))
 
 
 @query("t3_bm25_within", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm WHERE score > 0".replace("{documents}", "(SELECT * FROM {documents} WHERE lang = 'de')"))
 def _(e):
-    return V.bm25(e.table("documents").where("lang = 'de'"), TEXT).select("id", F.round("score", 6).alias("score"))
+    return e.bm25("documents", "text", TEXT, e.table("documents").where("lang = 'de'")).select("id", F.round("score", 6).alias("score"))
 
 
 @query("t1_tokens", "SELECT id, len(regexp_extract_all(lower(text), '[a-z0-9_]+'))::INTEGER AS n, regexp_extract_all(lower(text), '[a-z0-9_]+')[1] AS first FROM {documents}")
@@ -489,7 +552,7 @@ _POOLS = (
 
 
 def _fused(e):
-    return V.rrf(V.scored(e.table("embeddings"), PROBE), V.bm25(e.table("documents"), TEXT), 20)
+    return V.rrf(V.scored(e.table("embeddings"), PROBE), e.bm25("documents", "text", TEXT), 20)
 
 
 @query("h1_rrf", f"WITH {_POOLS} SELECT id, round(score, 9) AS score FROM fused")
@@ -497,6 +560,51 @@ def _(e):
     return _fused(e).select("id", F.round("score", 9).alias("score"))
 
 
+@query(
+    "t4_tie_pool",
+    "SELECT id, r::BIGINT AS rank FROM (SELECT id, rank() OVER (ORDER BY p_size DESC) AS k, count(*) OVER (ORDER BY p_size DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM {part}) WHERE k <= 10",
+)
+def _(e):
+    """A pool of ten takes all hits that tie with the tenth, and all of a tie have its last rank."""
+    return V.pool(e.table("part").select("id", F.col("p_size").cast("double").alias("score")), 10).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("r2_identity", f"WITH {_POOLS} SELECT id, round(score, 9) AS score FROM fused ORDER BY score DESC, id LIMIT 7")
+def _(e):
+    return V.rerank(_fused(e), None, 7).select("id", F.round("score", 9).alias("score"))
+
+
+@query("r4_cross_encoder", f"WITH {_POOLS} SELECT f.id, length(text)::DOUBLE / 7 AS score FROM fused f JOIN {{documents}} d ON f.id = d.id ORDER BY score DESC, f.id LIMIT 5")
+def _(e):
+    """A model plugs in as a function of pairs, here one that prefers long texts."""
+    hits = _fused(e).join(e.table("documents").select("id", "text"), "id")
+    return V.rerank(hits, V.cross_encoder(lambda q, texts: [len(t) / 7 for t in texts], 4)(TEXT), 5).select("id", "score")
+
+
+@query("b1_boost_ids", f"WITH {_POOLS} SELECT id, round(score + CASE WHEN id IN (SELECT doc_id FROM {{labels}} WHERE quality = 1) THEN 0.5 ELSE 0 END, 9) AS score FROM fused")
+def _(e):
+    ids = e.table("labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return V.boost_ids(_fused(e), ids, 0.5).select("id", F.round("score", 9).alias("score"))
+
+
+@query("b3_hints", f"WITH {_POOLS} SELECT f.id, round(score + CASE WHEN contains(source, 'c1') THEN 0.01 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.01 ELSE 0 END, 9) AS score FROM fused f JOIN {{documents}} d ON f.id = d.id")
+def _(e):
+    """A planner's hints: the path holds a text, the kind is equal."""
+    hits = _fused(e).join(e.table("documents").select("id", F.col("source").alias("path"), F.col("lang").alias("kind")), "id")
+    return V.boost(hits, Expansion(("x",), "c1", "en").boosts(hits.columns)).select("id", F.round("score", 9).alias("score"))
+
+
+@query("v7_batch_window", f"WITH q(qid, v) AS (VALUES " + ", ".join(f"({q}, {_list(v)})" for q, v in PROBES.items()) + ") SELECT qid::BIGINT AS qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(embedding::DOUBLE[], v) DESC, id) AS rank FROM {embeddings}, q) WHERE rank <= 3")
+def _(e):
+    """Queries that wait are answered together, here in windows of five."""
+    window = V.BatchWindow(e.table("embeddings"), 3, 5)
+    out = None
+    for q, v in PROBES.items():
+        for done in [window.add(q, v), window.flush() if q == max(PROBES) else None]:
+            out = done if out is None else out if done is None else out.union(done)
+    return out.select("qid", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("b1_boost", f"WITH {_POOLS} SELECT f.id, round(score + CASE WHEN lang = 'fr' THEN 0.01 ELSE 0 END + CASE WHEN starts_with(source, 'src1') THEN 0.005 ELSE 0 END, 9) AS score FROM fused f JOIN {{documents}} d ON f.id = d.id")
 def _(e):
     hits = _fused(e).join(e.table("documents").select("id", "lang", "source"), "id")
@@ -536,19 +644,66 @@ def _(e):
     return ingest.chunk_lines(e.table("documents").select("id", "text")).select("id", "chunk", "start_line", "end_line", F.md5("body").alias("digest"))
 
 
-@query("i4_hash_embedding")
+_FNV = "list_reduce(list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::INTEGER, 2))::UHUGEINT), lambda a, b: xor(a, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
+
+
+@query(
+    "i4_hash_embedding",
+    f"""WITH t AS (SELECT id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM {{benchmark}}), h AS (SELECT t, {_FNV} AS h FROM (SELECT DISTINCT t FROM t)),
+    v AS (SELECT id, (h % 64)::INTEGER AS b, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -1.0 ELSE 1.0 END::DOUBLE) AS x FROM t JOIN h USING (t) GROUP BY ALL), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id)
+    SELECT id, list(round(coalesce(x / nullif(n, 0), 0), 5) ORDER BY d) AS embedding FROM (SELECT n.id, d, v.x, n.n FROM n, range(64) AS r(d) LEFT JOIN v ON v.id = n.id AND v.b = d) GROUP BY id""",
+)
+def _(e):
+    made = ingest.embed(e.table("benchmark").select("id", F.col("text").alias("body")))
+    return made.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
+
+
+@query("i5_embedder", "SELECT id, [length(text)::DOUBLE, length(regexp_replace(lower(text), '[^aeiou]', '', 'g'))::DOUBLE] AS embedding FROM {benchmark}")
+def _(e):
+    """An embedder of one's own, in batches of five."""
+    own = lambda texts: [(len(t), sum(c in "aeiou" for c in t.lower())) for t in texts]
+    made = ingest.embed(e.table("benchmark").select("id", F.col("text").alias("body")), 2, embedder=own, batch=5)
+    return made.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
+@query("i3_chunk_file", """SELECT id, 0 AS chunk, CASE WHEN id % 2 = 0 THEN '# ' || n_name || chr(10) || 'md' ELSE n_name || chr(10) || '# no heading' END AS body FROM {nation}
+    UNION ALL SELECT id, 1, '## Two' || chr(10) || 'more' FROM {nation} WHERE id % 2 = 0""")
 def _(e):
-    return ingest.embed(e.table("benchmark").select("id", F.col("text").alias("body"))).select("id", "embedding")
+    """Markdown by headings, everything else by lines, told by the path."""
+    n = e.table("nation")
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("# "), "n_name", F.lit("\nmd\n\n## Two\nmore\n"))).otherwise(F.concat("n_name", F.lit("\n# no heading")))
+    files = n.select("id", F.concat("n_name", F.when(F.col("id") % 2 == 0, ".MD").otherwise(".txt")).alias("path"), text.alias("text"))
+    return ingest.chunk_file(files).select("id", "chunk", "body")
+
+
+@query("i6_symbols", "SELECT id, 'fn' AS kind, 'do_' || lower(n_name) AS name FROM (SELECT id, replace(n_name, ' ', '_') AS n_name FROM {nation}) UNION ALL SELECT id, 'struct', 'S' || id FROM {nation}")
+def _(e):
+    source = F.concat(F.lit("// fn not_this()\npub async fn do_"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit("() {}\npub(crate) struct S"), "id", F.lit(";\n"))
+    return ingest.symbols(e.table("nation").select("id", source.alias("text")), "id")
+
+
+_STOPPED = ", ".join(f"'{w}'" for w in ingest.STOP_WORDS)
 
 
 @query(
     "i6_term_index",
-    "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]+')) AS term FROM {documents}) WHERE length(term) > 2 AND term NOT IN ('the','a','an','and','or','of','to','in','is','for','on','with') GROUP BY term ORDER BY n DESC, term LIMIT 300",
+    f"SELECT term, count(*) AS n FROM (SELECT substr(lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))), 1, 64) AS term FROM {{documents}}) WHERE length(term) >= 3 AND term NOT IN ({_STOPPED}) GROUP BY term ORDER BY n DESC, term LIMIT 300",
 )
 def _(e):
     return ingest.term_index(e.table("documents"))
 
 
+@query(
+    "i6_file_tree",
+    r"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS p FROM {pages}), f AS (SELECT p, regexp_extract(p, '([^/\\]*)$', 1) AS f FROM p),
+    e AS (SELECT 'extension' AS kind, CASE WHEN regexp_matches(f, '^.+\.[^.]+$') THEN lower(regexp_extract(f, '\.([^.]+)$', 1)) ELSE '(none)' END AS name FROM f
+    UNION ALL SELECT 'top_dir', CASE WHEN regexp_matches(p, '^[^/\\]+[/\\]') THEN regexp_extract(p, '^([^/\\]+)', 1) ELSE '(root)' END FROM f)
+    SELECT kind, name, count(*) AS n FROM e GROUP BY ALL""",
+)
+def _(e):
+    return ingest.file_tree(e.table("pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
+
+
 # -- functions of users, policy ---------------------------------------------------------------------------------------
 
 
@@ -559,6 +714,26 @@ def _(e):
     return e.table("embeddings").where(y > 2).select("id", F.round(y, 6).alias("y"))
 
 
+@query("u3_python_function", "SELECT id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + CASE WHEN label > 2 THEN label ELSE NULL END, 5) AS y FROM {embeddings}")
+def _(e):
+    """A function of a vector and a number in Python, over visible rows only; a null in gives a null."""
+    e.create_function("norm_plus", python_function(lambda v, s: float((v * v).sum() ** 0.5) + s))
+    big = F.when(F.col("label") > 2, F.col("label"))
+    return e.table("embeddings").select("id", F.round(e.functions["norm_plus"](F.col("embedding"), big), 5).alias("y"))
+
+
+@query("u2_in_aggregate", "SELECT label, round(sum(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * label + 1), 4) AS total FROM {embeddings} GROUP BY label HAVING sum(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * label + 1) > 10")
+def _(e):
+    return e.sql("CREATE FUNCTION f(v, s) AS vec_norm(v) * s + 1; SELECT label, round(SUM(f(embedding, label)), 4) AS total FROM embeddings GROUP BY label HAVING SUM(f(embedding, label)) > 10")
+
+
+@query("l2_recheck", "SELECT id FROM {nation} WHERE id < 5")
+def _(e):
+    """The safety net after ranking takes out what shouldn't have come so far, and nothing else."""
+    key = F.struct("id", F.when(F.col("id") < 5, "tenant-a").otherwise("tenant-b").alias("_tenant_id"), F.when(F.col("id") % 2 == 0, "private").when(F.col("id") < 5, "public").otherwise("private").alias("_visibility"))
+    return e.policy.recheck(e.table("nation").select(key.alias("id")), "id").select("id.id")
+
+
 @query("l1_visible", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM {orders}")
 def _(e):
     return e.table("orders").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))

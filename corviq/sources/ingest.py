@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -106,18 +106,99 @@ def embed_text(text: str, dim: int) -> list[float]:
     return (v / n if n else v).astype(np.float32).tolist()
 
 
-def embed(df: DataFrame, dim: int = 64, text: str = "body", name: str = "embedding") -> DataFrame:
+#: A pluggable embedder: a list of at most ``MAX_EMBED`` texts to a vector each, all of one length, finite.
+Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
+MAX_EMBED = 8_192
+
+
+def hashing(dim: int) -> Embedder:
+    """:func:`embed_text` of many texts: each distinct token of a batch is hashed once, and their bytes column by column."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        tokens = [t.lower().split() for t in texts]
+        names = sorted({t for own in tokens for t in own})
+        if not names:
+            return np.zeros((len(texts), dim), np.float32)
+        raw = [n.encode() for n in names]
+        sizes = np.array([len(r) for r in raw])
+        order = np.argsort(-sizes, kind="stable")
+        h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+        for k in range(int(sizes.max())):  # one step of FNV-1a for all tokens that have a k-th byte
+            some = order[: int(np.searchsorted(-sizes[order], -k, side="left"))]
+            h[some] = (h[some] ^ np.fromiter((raw[i][k] for i in some), np.uint64, len(some))) * np.uint64(0x100000001B3)
+        bucket, sign = (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0)
+        place = {n: k for k, n in enumerate(names)}
+        row = np.repeat(np.arange(len(texts)), [len(own) for own in tokens])
+        at = np.array([place[t] for own in tokens for t in own], np.int64)
+        out = np.zeros((len(texts), dim))
+        np.add.at(out, (row, bucket[at]), sign[at])
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+
+    return run
+
+
+def embed(df: DataFrame, dim: int = 64, text: str = "body", name: str = "embedding", embedder: Embedder | None = None, batch: int = MAX_EMBED) -> DataFrame:
+    """``df`` with a vector of each text (null: empty), by the hashing embedder or another, ``batch`` texts at a time.
+
+    A vector of another length than ``dim``, or one that isn't finite, fails the query (22000).
+    """
+    if not 1 <= batch <= MAX_EMBED:
+        raise EngineError("54000", f"a batch has 1 to {MAX_EMBED} texts")
+    run = embedder or hashing(dim)
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: embed_text(t or "", dim))
+        texts, out = [t or "" for t in s], []
+        for at in range(0, len(texts), batch):
+            made = [np.asarray(v, np.float32) for v in run(texts[at : at + batch])]
+            if len(made) != len(texts[at : at + batch]) or any(v.shape != (dim,) or not np.isfinite(v).all() for v in made):
+                raise EngineError("22000", f"the embedder gives {dim} finite numbers for each text")
+            out += made
+        return pd.Series(out, index=s.index)
 
     return df.withColumn(name, udf(F.col(text)))
 
 
-def term_index(df: DataFrame, text: str = "text", most: int = 300, stop: Sequence[str] = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "for", "on", "with")) -> DataFrame:
-    """The most frequent terms of a corpus (length over 2, no stop words): term, n."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z_][a-z0-9_]+)"), F.lit(1)))
-    return df.select(words.alias("term")).where((F.length("term") > 2) & ~F.col("term").isin(*stop)).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
+# -- dictionary ------------------------------------------------------------------------------------------------------
+
+# Words that are no terms.
+STOP_WORDS = (
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our",
+    "out", "day", "get", "has", "him", "his", "how", "man", "new", "now", "old", "see", "two",
+    "way", "who", "did", "its", "let", "put", "say", "she", "too", "use", "this", "that", "with",
+    "from", "have", "will", "your", "they", "them", "then", "than", "when", "what", "where",
+    "which", "while", "into", "over", "also", "such", "each", "some", "more", "most", "only",
+    "other", "these", "those", "been", "being", "were", "does", "doing", "here", "there", "about",
+    "would", "could", "should", "must", "may", "might", "shall",
+)
+TOP_TERMS, LEAST_TERM, MAX_TERM = 300, 3, 64
+
+
+def term_index(df: DataFrame, text: str = "text", path: str | None = None, most: int = TOP_TERMS) -> DataFrame:
+    """(term, n): the most frequent terms of a corpus, ties by term.
+
+    Terms are runs of ASCII letters in lower case, three or more of them, without the stop words. With a ``path`` column
+    only documentation counts: Markdown files as a whole, of Rust files the lines of documentation comments.
+    """
+    body = F.col(text)
+    if path is not None:
+        name = F.lower(F.col(path))
+        comments = F.array_join(F.regexp_extract_all(body, F.lit(r"(?m)^\s*//[/!](.*)$"), F.lit(1)), "\n")
+        body = F.when(name.rlike(r"\.(md|markdown)$"), body).when(name.endswith(".rs"), comments)
+    words = F.explode(F.regexp_extract_all(body, F.lit("([A-Za-z]+)"), F.lit(1)))
+    terms = df.select(words.alias("term")).select(F.substring(F.lower("term"), 1, MAX_TERM).alias("term")).where((F.length("term") >= LEAST_TERM) & ~F.col("term").isin(*STOP_WORDS))
+    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most)
+
+
+def file_tree(df: DataFrame, path: str = "path") -> DataFrame:
+    """(kind, name, n): files by extension (``(none)`` without) and by top folder (``(root)`` without); a path counts once."""
+    paths = df.where(F.col(path).isNotNull()).select(F.col(path).alias("p")).distinct()
+    file = F.regexp_extract("p", r"([^/\\]*)$", 1)
+    ending = F.lower(F.regexp_extract(file, r"^.+\.([^.]+)$", 1))
+    top = F.regexp_extract("p", r"^([^/\\]+)[/\\]", 1)
+    both = F.explode(F.array(F.struct(F.lit("extension").alias("kind"), F.when(ending == "", "(none)").otherwise(ending).alias("name")), F.struct(F.lit("top_dir").alias("kind"), F.when(top == "", "(root)").otherwise(top).alias("name"))))
+    return paths.select(both.alias("s")).groupBy("s.kind", "s.name").agg(F.count("*").alias("n"))
 
 
 SYMBOL = r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|impl|mod|const|type)\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -130,15 +211,37 @@ def symbols(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     return df.select(id_col, F.explode(F.arrays_zip(kinds.alias("kind"), names.alias("name"))).alias("s")).select(id_col, "s.kind", "s.name")
 
 
+ESCAPES = {"\\": "\\", "t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def _copy_field(raw: str) -> str | None:
+    if raw == "\\N":
+        return None
+
+    def plain(m: re.Match) -> str:
+        if m[1] not in ESCAPES:
+            raise EngineError("22000", "unknown escape in COPY text")
+        return ESCAPES[m[1]]
+
+    return re.sub(r"\\(.?)", plain, raw, flags=re.DOTALL)
+
+
 def parse_copy(text: str, form: str = "text") -> list[list[str | None]]:
-    r"""Rows of COPY input. text: tabs, ``\N`` is null, backslash escapes. csv: an empty field is null, ``""`` is empty."""
+    r"""Rows of COPY input. text: tabs, ``\N`` is null, backslash escapes. csv: an empty field is null, ``""`` is empty.
+
+    Lines end with a line feed, with or without a carriage return before it; no other character ends one. A carriage
+    return elsewhere, or another escape, is refused (22000).
+    """
     if form == "text":
-        escapes = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", "v": "\v"}
         rows = []
-        for line in text.splitlines():
+        lines = text.split("\n")
+        for line in lines[:-1] if lines[-1] == "" else lines:
+            line = line.removesuffix("\r")
             if line == "\\.":
                 break
-            rows.append([None if f == "\\N" else re.sub(r"\\(.)", lambda m: escapes.get(m[1], m[1]), f) for f in line.split("\t")])
+            if "\r" in line:
+                raise EngineError("22000", "a carriage return inside a line")
+            rows.append([_copy_field(f) for f in line.split("\t")])
         return rows
     if form != "csv":
         raise EngineError("42601", f"no format {form}")
@@ -158,23 +261,43 @@ def copy_from(spark: SparkSession, text: str, schema: T.StructType, form: str =
     return raw.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
+def read_copy(spark: SparkSession, path: str, schema: T.StructType, form: str = "text") -> DataFrame:
+    """COPY files of any size, read and parsed on the executors, in the given types; ``Store.load`` takes the result.
+
+    A row with another number of fields fails (22P04), and so does a value that doesn't convert (22P02).
+    """
+    if form == "csv":
+        raw = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema])).csv(path, multiLine=True, quote='"', escape='"', emptyValue="\x00", nullValue="", mode="FAILFAST", lineSep="\n")
+        return raw.select(*[F.when(F.col(f"`{f.name}`") != "\x00", F.col(f"`{f.name}`")).when(F.col(f"`{f.name}`") == "\x00", "").cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema])
+    if form != "text":
+        raise EngineError("42601", f"no format {form}")
+    width = len(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[_copy_field(f) for f in line.removesuffix("\r").split("\t")] for line in batch.column(0).to_pylist() if line.removesuffix("\r") != "\\."]
+            if any(len(r) != width for r in rows):
+                raise EngineError("22P04", "a row has too many or too few fields")
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.string()) for k in range(width)], [f"c{k}" for k in range(width)])
+
+    raw = spark.read.text(path, lineSep="\n").mapInArrow(run, ", ".join(f"c{k} string" for k in range(width)))
+    return raw.select(*[F.col(f"c{k}").cast(f.dataType).alias(f.name, metadata=f.metadata) for k, f in enumerate(schema)])
+
+
 def copy_line(columns: Sequence[Column], form: str = "text") -> Column:
     """One COPY output line per row."""
     if form == "csv":
         cells = [F.when(c.isNull(), "").when(c.cast("string").rlike('[",\n\r]') | (c.cast("string") == ""), F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c.cast("string")) for c in columns]
         return F.concat_ws(",", *cells)
-    cells = [F.coalesce(F.replace(F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\\N")) for c in columns]
+    cells = []
+    for c in columns:
+        text = c.cast("string")
+        for name, char in ESCAPES.items():  # the backslash first
+            text = F.replace(text, F.lit(char), F.lit(f"\\{name}"))
+        cells.append(F.coalesce(text, F.lit("\\N")))
     return F.concat_ws("\t", *cells)
 
 
-def tier_column(question: Column) -> Column:
-    """The tier of each question as a column: direct, intent or abstraction."""
-    low = F.concat(F.lit(" "), F.lower(question), F.lit(" "))
-    return (
-        F.when(low.rlike("why |how come|explain|compare|overview|architecture|summar"), "abstraction").when(low.rlike("how |where |which |find|should"), "intent").otherwise("direct")
-    )
-
-
 MAX_FILES = 64
 
 

@@ -21,13 +21,20 @@ FEW = 10_000
 SYSTEM = T.StructType([T.StructField(TENANT, T.StringType()), T.StructField(VISIBILITY, T.StringType()), T.StructField("id", T.LongType())])
 
 
+def _ledger_name(key: str) -> str:
+    digest = hashlib.sha256(key.encode()).hexdigest()
+    return f"{digest[:3]}/{digest}"
+
+
 class Store:
     """A folder of tables on storage that driver and executors share (any file system Spark can write).
 
     A table is a list of parts, each a folder of Parquet that never changes. An insert adds a part; changes and deletes
     rewrite only the parts that hold rows they touch. Numbered catalog files say which parts are current: a commit writes
     the catalog under a temporary name and renames it to the next number, which fails if another writer was first
-    (40001). Readers keep the parts that they planned on. :meth:`compact` joins small parts.
+    (40001). Readers keep the parts that they planned on. :meth:`compact` joins small parts. The ledger of operations is
+    a folder with a small file each, which counts if the commit that it names was made; so a commit costs the same
+    however many operations there were before.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -36,10 +43,23 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self.number = max([int(m[1]) for f in self._fs.listStatus(self._path(self.root)) if (m := re.fullmatch(r"catalog-(\d+)\.json", f.getPath().getName()))], default=0)
-        self.catalog = json.loads(spark.read.text(f"{self.root}/catalog-{self.number}.json", wholetext=True).first()[0]) if self.number else {"tables": {}, "ledger": {}}
+        self.catalog = self._text(f"catalog-{self.number}.json") if self.number else {"tables": {}}
         self.staged: dict | None = None
+        self.claims: dict[str, str] = {}  # of operations that aren't committed yet
         self.failed = False
 
+    def _text(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _write_text(self, path, content: dict) -> None:
+        out = self._fs.create(path, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+
     # -- transactions
 
     def begin(self) -> None:
@@ -57,42 +77,61 @@ class Store:
         self.staged = None
 
     def rollback(self) -> None:
-        self.staged, self.failed = None, False
+        self.staged, self.claims, self.failed = None, {}, False
 
     def _state(self) -> dict:
         if self.failed:
             raise EngineError("25P02", "the transaction has failed")
         return self.catalog if self.staged is None else self.staged
 
+    def _copy(self) -> dict:
+        """The state to change: what readers and other statements see stays as it is until the commit."""
+        return json.loads(json.dumps(self._state()))
+
+    def _put(self, state: dict) -> None:
+        if self.staged is None:
+            self._save(state)
+        else:
+            self.staged = state
+
     def _save(self, state: dict) -> None:
-        temporary, target = self._path(f"{self.root}/_{uuid.uuid4().hex}"), self._path(f"{self.root}/catalog-{self.number + 1}.json")
-        out = self._fs.create(temporary, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
+        commit = uuid.uuid4().hex
+        for key, digest in self.claims.items():
+            self._write_text(self._path(f"{self.root}/_ledger/{_ledger_name(key)}/{commit}"), {"key": key, "digest": digest, "number": self.number + 1})
+        temporary, target = self._path(f"{self.root}/_{commit}"), self._path(f"{self.root}/catalog-{self.number + 1}.json")
+        self._write_text(temporary, {**state, "commit": commit})
         if self._fs.exists(target) or not self._fs.rename(temporary, target):
             self._fs.delete(temporary, False)
+            self.claims = {}
             raise EngineError("40001", "another writer committed first")
         self.number += 1
-        self.catalog = state
-
-    def _publish(self, name: str, df: DataFrame | None, ledger: tuple[str, str] | None = None, keep: Sequence[str] = ()) -> None:
+        self.catalog, self.claims = {**state, "commit": commit}, {}
+
+    def _known(self, key: str) -> str | None:
+        """The digest of an operation that was committed, or is about to be in this transaction."""
+        if key in self.claims:
+            return self.claims[key]
+        folder = self._path(f"{self.root}/_ledger/{_ledger_name(key)}")
+        for f in self._fs.listStatus(folder) if self._fs.exists(folder) else ():
+            entry = self._text(f"_ledger/{_ledger_name(key)}/{f.getPath().getName()}")
+            if entry["key"] == key and entry["number"] <= self.number and self._text(f"catalog-{entry['number']}.json").get("commit") == f.getPath().getName():
+                return entry["digest"]
+        return None
+
+    def _publish(self, name: str, df: DataFrame | None, ledger: tuple[str, str] | None = None, keep: Sequence[str] = (), entry: dict | None = None) -> None:
         """The table becomes the parts ``keep`` and a new one with the rows of ``df`` (None: no rows)."""
-        state = self._state()
-        entry = dict(state["tables"][name])
+        new = self._copy()
+        entry = json.loads(json.dumps(entry or new["tables"][name]))
         entry["parts"] = list(keep)
         if df is not None:
             part = uuid.uuid4().hex
             df.write.parquet(f"{self.root}/{name}/{part}")
             entry["parts"].append(part)
         entry["generation"] = entry.get("generation", 0) + 1
-        new = json.loads(json.dumps(state))
         new["tables"][name] = entry
         if ledger:
-            new["ledger"][ledger[0]] = ledger[1]
-        if self.staged is None:
-            self._save(new)
-        else:
-            self.staged = new
+            self.claims[ledger[0]] = ledger[1]
+        self._put(new)
 
     def _split(self, name: str, hit: Column | DataFrame, on: Sequence[str] = ()) -> tuple[list[str], list[str]]:
         """(parts with rows that ``hit`` holds for, or that match a DataFrame by ``on``; the other parts)."""
@@ -104,67 +143,75 @@ class Store:
         found = {r[0] for r in rows.select("_part").distinct().collect()}
         return [p for p in parts if p in found], [p for p in parts if p not in found]
 
-    def compact(self, name: str, files: int = 1) -> None:
-        """All parts as one, in ``files`` files."""
+    def compact(self, name: str, files: int | None = None) -> None:
+        """All parts as one, in ``files`` files (by default one per 256 MB), without a shuffle."""
+        if files is None:
+            size = sum(self._fs.getContentSummary(self._path(f"{self.root}/{name}/{p}")).getLength() for p in self._entry(name)["parts"])
+            files = max(1, -(-size // (256 << 20)))
         self._publish(name, self.raw(name).coalesce(files))
 
     # -- definition
 
     def create(self, name: str, schema: T.StructType, key: Sequence[str] = ("id",), unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), check: Sequence[str] = (), foreign: Sequence[tuple[str, str, str, str]] = (), defaults: dict | None = None) -> None:
         """``foreign``: (column, parent table, parent column, on delete: restrict, cascade, set_null, set_default)."""
-        state = self._state()
-        if name in state["tables"]:
+        if name in self._state()["tables"]:
             raise EngineError("42P07", f"{name} exists")
         whole = T.StructType([*SYSTEM.fields, *schema.fields])
-        state["tables"][name] = {"schema": whole.json(), "key": list(key), "unique": [list(u) for u in unique], "not_null": list(not_null), "check": list(check), "foreign": [list(f) for f in foreign], "defaults": defaults or {}}
-        self._publish(name, self.spark.createDataFrame([], whole))
+        entry = {"schema": whole.json(), "key": list(key), "unique": [list(u) for u in unique], "not_null": list(not_null), "check": list(check), "foreign": [list(f) for f in foreign], "defaults": defaults or {}}
+        self._publish(name, None, entry=entry)
 
     def drop(self, name: str) -> None:
-        state = self._state()
         self._entry(name)
-        del state["tables"][name]
-        if self.staged is None:
-            self._save(state)
+        new = self._copy()
+        del new["tables"][name]
+        self._put(new)
+
+    def _changed(self, name: str) -> dict:
+        """A table's entry to change."""
+        return json.loads(json.dumps(self._entry(name)))
 
     def add_column(self, name: str, column: T.StructField, default=None) -> None:
-        raw, entry = self.raw(name), self._entry(name)
+        raw, entry = self.raw(name), self._changed(name)
         if column.name in raw.columns:
             raise EngineError("42701", f"{column.name} exists")
         entry.setdefault("defaults", {})[column.name] = default
         entry["schema"] = T.StructType([*T.StructType.fromJson(json.loads(entry["schema"])).fields, column]).json()
         if default is None and column.name not in entry.get("dropped", ()):
-            self._publish(name, None, keep=entry["parts"])  # files without the column read as null
+            self._publish(name, None, keep=entry["parts"], entry=entry)  # files without the column read as null
         else:
-            self._publish(name, raw.withColumn(column.name, F.lit(default).cast(column.dataType)))
+            self._publish(name, raw.withColumn(column.name, F.lit(default).cast(column.dataType)), entry=entry)
 
     def retype(self, name: str, column: str, kind: T.DataType) -> None:
         """ALTER COLUMN ... TYPE: every value must convert."""
-        raw, entry = self.raw(name), self._entry(name)
+        raw, entry = self.raw(name), self._changed(name)
         if column not in raw.columns:
             raise EngineError("42703", f"no column {column}")
         entry["schema"] = T.StructType([T.StructField(f.name, kind) if f.name == column else f for f in raw.schema.fields]).json()
-        self._publish(name, raw.withColumn(column, F.col(column).cast(kind)))
+        self._publish(name, raw.withColumn(column, F.col(column).cast(kind)), entry=entry)
+
+    def nullable(self, name: str, column: str) -> None:
+        """ALTER COLUMN ... DROP NOT NULL."""
+        entry = self._changed(name)
+        if column in entry["key"]:
+            raise EngineError("42P16", f"{column} is in the primary key")
+        entry["not_null"] = [c for c in entry["not_null"] if c != column]
+        self._publish(name, None, keep=entry["parts"], entry=entry)
 
     def add_rule(self, name: str, kind: str, rule) -> None:
         """primary, unique, check, not_null or foreign; rows that break it refuse the change."""
-        old, entry = json.loads(json.dumps(self._entry(name))), self._entry(name)
+        entry = self._changed(name)
         if kind == "primary":
             entry["key"] = list(rule)
             entry["not_null"] = sorted({*entry["not_null"], *rule} - {"id"})
         else:
             entry[kind].append(list(rule) if isinstance(rule, tuple) else rule)
-        try:
-            self._check(name, self.raw(name))
-            self._check_unique(name, self.raw(name))
-        except EngineError:
-            self._state()["tables"][name] = old
-            raise
-        if self.staged is None:
-            self._save(self.catalog)
+        self._check(name, self.raw(name), entry)
+        self._check_unique(name, self.raw(name), entry=entry)
+        self._publish(name, None, keep=entry["parts"], entry=entry)
 
     def drop_rule(self, name: str, rule: str) -> None:
         """By the conventional name: table_pkey, table_column_key, table_check (the n-th: table_checkN), table_column_fkey."""
-        entry = self._entry(name)
+        entry = self._changed(name)
         if rule == f"{name}_pkey":
             entry["key"] = ["id"]
         elif hit := [u for u in entry["unique"] if rule == f"{name}_{'_'.join(u)}_key"]:
@@ -175,16 +222,15 @@ class Store:
             entry["check"].remove(hit[0])
         else:
             raise EngineError("42704", f"no constraint {rule}")
-        if self.staged is None:
-            self._save(self.catalog)
+        self._publish(name, None, keep=entry["parts"], entry=entry)
 
     def drop_column(self, name: str, column: str) -> None:
-        raw, entry = self.raw(name), self._entry(name)
+        raw, entry = self.raw(name), self._changed(name)
         if column not in raw.columns:
             raise EngineError("42703", f"no column {column}")
         entry["schema"] = T.StructType([f for f in raw.schema.fields if f.name != column]).json()
         entry.setdefault("dropped", []).append(column)  # files keep it; a new column of the name rewrites them
-        self._publish(name, None, keep=entry["parts"])
+        self._publish(name, None, keep=entry["parts"], entry=entry)
 
     def _entry(self, name: str) -> dict:
         try:
@@ -218,7 +264,7 @@ class Store:
         if len(operation) > 256:
             raise EngineError("54000", "operation id is longer than 256")
         key, digest = f"{policy.tenant}/{table}/{operation}", hashlib.sha256(content.encode()).hexdigest()
-        known = self._state()["ledger"].get(key)
+        known = self._known(key)
         if known is not None:
             raise EngineError("23505" if known == digest else "22023", "operation id was used before")
         return key, digest
@@ -248,19 +294,38 @@ class Store:
         data = [tuple({**defaults, **r, **fixed}.get(f.name) for f in schema.fields) for r in rows]
         return self.spark.createDataFrame(data, schema)
 
-    def insert(self, name: str, policy: Policy, rows: Sequence[dict], operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",), sets: dict[str, tuple] | None = None) -> DataFrame:
+    def load(self, name: str, policy: Policy, df: DataFrame, operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",)) -> int:
+        """Appends a DataFrame of any size (columns by name; missing ones take their defaults) and returns how many rows.
+
+        Nothing of it passes the driver: values convert and constraints are checked on the executors. What makes two
+        loads the same operation is a digest over all of its rows.
+        """
+        schema, defaults = T.StructType.fromJson(json.loads(self._entry(name)["schema"])), self._entry(name).get("defaults", {})
+        if unknown := set(df.columns) - set(schema.names):
+            raise EngineError("42703", f"no column {sorted(unknown)[0]}")
+        fixed = {TENANT: policy.tenant, VISIBILITY: visibility}
+        columns = [F.lit(fixed[f.name]) if f.name in fixed else F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name)) for f in schema.fields]
+        whole = df.select(*[c.cast(f.dataType).alias(f.name, metadata=f.metadata) for c, f in zip(columns, schema.fields, strict=True)])
+        digest = whole.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(*) as decimal(38,0)))").alias("sum"), F.expr("bit_xor(xxhash64(*))").alias("xor")).first()
+        self.insert(name, policy, whole, operation, visibility, on_conflict, key, frame=f"{digest['n']},{digest['sum']},{digest['xor']}")
+        return digest["n"]
+
+    def insert(self, name: str, policy: Policy, rows: Sequence[dict] | DataFrame, operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",), sets: dict[str, tuple] | None = None, frame: str = "") -> DataFrame:
         """Rows of one statement, all or none. ``on_conflict``: error, nothing, or update (by ``key`` among owned rows).
 
+        ``rows`` may be a DataFrame of whole rows, as :meth:`load` makes them; it is read several times.
+
         Returns the written rows. A key twice in one statement is refused. ``sets`` limits an update to some columns:
         ("excluded", column of the new row) or ("lit", value).
         """
 
         def act() -> DataFrame:
-            claim = self._claim(policy, name, operation, json.dumps([sorted(r.items()) for r in rows], default=str) + visibility + on_conflict)
-            new, old = self._rows(name, policy, rows, visibility), self.raw(name)
+            content = frame if isinstance(rows, DataFrame) else json.dumps([sorted(r.items()) for r in rows], default=str)
+            claim = self._claim(policy, name, operation, json.dumps([content, visibility, on_conflict, list(key), sorted((sets or {}).items(), key=str)], default=str))
+            new, old = rows if isinstance(rows, DataFrame) else self._rows(name, policy, rows, visibility), self.raw(name)
             if new.groupBy(*key).count().where("count > 1").limit(1).count():
                 raise EngineError("21000", "a key stands twice in the statement")
-            few = F.broadcast if len(rows) <= FEW else (lambda df: df)
+            few = F.broadcast if not isinstance(rows, DataFrame) and len(rows) <= FEW else (lambda df: df)
             mine = old.where(policy.owned())
             clash = mine.join(few(new.select(*key)), list(key), "left_semi")
             keep, rest = self._entry(name)["parts"], None
@@ -374,9 +439,9 @@ class Store:
 
     # -- constraints
 
-    def _check(self, name: str, df: DataFrame) -> None:
+    def _check(self, name: str, df: DataFrame, entry: dict | None = None) -> None:
         """The rules that a row obeys or breaks by itself or by its parents."""
-        entry = self._entry(name)
+        entry = entry or self._entry(name)
         for column in entry["not_null"]:
             if df.where(F.col(column).isNull()).limit(1).count():
                 raise EngineError("23502", f"{column} is null")
@@ -392,9 +457,9 @@ class Store:
             if orphans.limit(1).count():
                 raise EngineError("23503", f"{column} has no parent")
 
-    def _check_unique(self, name: str, df: DataFrame, few=None, others: DataFrame | None = None) -> None:
+    def _check_unique(self, name: str, df: DataFrame, few=None, others: DataFrame | None = None, entry: dict | None = None) -> None:
         """Keys among ``df``, and between it and ``others``: new rows are looked up there, the table isn't grouped."""
-        entry = self._entry(name)
+        entry = entry or self._entry(name)
         for columns in (entry["key"], *entry["unique"]):
             known = df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(TENANT, *columns)
             twice = known.groupBy(TENANT, *columns).count().where("count > 1").limit(1).count()

@@ -77,6 +77,15 @@ class Compiler:
             return T.NullType()
         return env.df.select(c).schema[0].dataType
 
+    def declared(self, node: tuple, env: Env) -> str | None:
+        """json, jsonb or uuid, if the node is a column of that type."""
+        if node[0] != "col" or env.df is None or node[1] is None and node[2] in env.aliases:
+            return None
+        try:
+            return R.kinds(env.df.select(self.expr(node, env))).get(env.column(node[1], node[2]))
+        except EngineError:
+            return None
+
     def expr(self, node: tuple, env: Env) -> Column:
         for known, column in env.known:
             if known == node:
@@ -118,8 +127,9 @@ class Compiler:
         return c.isNotNull() if node[2] else c.isNull()
 
     def _in(self, node, env):
-        values = [self.expr(v, env) for v in node[2]]
-        out = self.expr(node[1], env).isin(*values)
+        kind = self.declared(node[1], env)
+        values = [R.canonical(kind, self.expr(v, env)) for v in node[2]]
+        out = R.canonical(kind, self.expr(node[1], env)).isin(*values)
         return ~out if node[3] else out
 
     def _between(self, node, env):
@@ -134,6 +144,10 @@ class Compiler:
         _, sign, a, b = node
         x, y = self.expr(a, env), self.expr(b, env)
         if sign in ("=", "<>", "<", "<=", ">", ">="):
+            kind = self.declared(a, env) or self.declared(b, env)
+            if kind in ("json", "jsonb") and sign not in ("=", "<>"):
+                raise EngineError("42804", f"json has no {sign}")
+            x, y = R.canonical(kind, x), R.canonical(kind, y)
             return {"=": x.__eq__, "<>": x.__ne__, "<": x.__lt__, "<=": x.__le__, ">": x.__gt__, ">=": x.__ge__}[sign](y)
         if sign == "<=>":
             raise EngineError("42601", "<=> belongs into ORDER BY")
@@ -233,8 +247,7 @@ class Compiler:
         if isinstance(kind, T.DecimalType):
             if name == "sum":
                 return over(F.sum(c.cast(f"decimal(38,{kind.scale})"))).cast(f"decimal(38,{kind.scale})")
-            digits = max(kind.scale, min(16, 38 - (kind.precision - kind.scale)))
-            return F.round(over(F.sum(c.cast(f"decimal(38,{kind.scale})"))) / over(F.count(c)), digits)
+            return R.avg_numeric(c, kind.precision, kind.scale, over)
         if isinstance(kind, _NUMBERS):
             return over(F.sum(c.cast("decimal(38,0)"))).cast("bigint") if name == "sum" else over(F.avg(c))
         return R.finite(over((F.sum if name == "sum" else F.avg)(c.cast("double"))))
@@ -261,9 +274,10 @@ class Compiler:
             if len(left.columns) != len(right.columns):
                 raise EngineError("42601", "branches differ in their number of columns")
             out = R.set_op(b.kind, left, right)
-        if b.limit is not None:
+        if b.limit is not None or b.offset:
             out = out.orderBy(*R.ordering([], out.columns))
-            out = (out.offset(b.offset) if b.offset else out).limit(b.limit)
+            out = out.offset(b.offset) if b.offset else out
+            out = out if b.limit is None else out.limit(b.limit)
         return out
 
     def relation(self, name: str) -> DataFrame:
@@ -385,6 +399,8 @@ class Compiler:
         if s.order or s.offset:
             env.aliases = dict(zip(names, [self.expr(e, env) for e, _ in items], strict=True))
             return self.paged(env.df, s, env, tie or [c for c in env.df.columns if not isinstance(env.df.schema[c].dataType, T.ArrayType)], columns)
+        if len(s.relations) > 1 and s.limit is not None and tie:  # the first rows of a join, in scan order
+            env.df = R.in_scan_order(env.df, tie)
         out = env.df.select(*columns)
         return out if s.limit is None else out.limit(s.limit)  # unordered: reading stops as soon as enough rows are there
 
@@ -410,8 +426,8 @@ class Compiler:
         added = [(self.fresh("o"), k, way) for k, way in keys]
         out = df.withColumns({n: k for n, k, _ in added}) if added else df
         out = out.orderBy(*R.ordering([(n, way) for n, _, way in added], tie))
-        if s.limit is not None or s.offset:
-            out = (out.offset(s.offset) if s.offset else out).limit(s.limit or R.MAX_ROWS)
+        out = out.offset(s.offset) if s.offset else out
+        out = out if s.limit is None else out.limit(s.limit)
         return out.select(*columns) if columns is not None else out.drop(*[n for n, _, _ in added])
 
     def ranked(self, c: Column, env: Env) -> Column:
@@ -463,6 +479,7 @@ class Compiler:
         if s.plan is not None:
             expansion = self.engine.expand(s.plan)
             planned = expansion.mode_hint
+            self.used |= {"path_hint": expansion.path_hint or "none", "kind_hint": expansion.kind_hint or "none"}
             query, text = self.engine.embed(expansion.dense_text(), env.df, vec), expansion.sparse_text(s.plan)
             boosts = expansion.boosts(columns)
         else:
@@ -486,7 +503,7 @@ class Compiler:
         self.used |= {"mode": mode, "mode_source": source, "order": "RLS,DISTANCE,SCALAR" if late else "RLS,SCALAR,DISTANCE"}
         if not late:
             self.where(s.where, env)
-        hits = self.engine.hits(env.df, vec, query, k, body if text is not None else None, text, weights, s.relations[0].name, () if boosts or "score" in columns else (*(c for c in columns if c != "id"),))
+        hits = self.engine.hits(env.df, vec, query, k, body if text is not None else None, text, weights, s.relations[0].name, () if boosts or "score" in columns else (*(c for c in columns if c != "id"),), filtered=s.where is not None and not late)
         self.used["ann_plan"] = self.engine.ann_plan
         gate = {"least": 0.98, "margin": 0.005} if text is not None else {"least": 0.80, "margin": 0.05}
         key = KEY if KEY in env.df.columns else "id"
@@ -562,28 +579,46 @@ def predicate(text: str, df: DataFrame, engine) -> Column:
 
 
 def run(engine, sql: str, params: tuple = (), data: str | None = None):
-    """One statement or several; the result of the last: a DataFrame, rows of FETCH, a count of changed rows, or None."""
-    out = None
-    statements = split(sql)
-    if not statements:
-        raise EngineError("42601", "no statement")
-    for text in statements:
-        node = Parser(text, params).statement()
-        if isinstance(node, Query):
-            out = Compiler(engine).query(node)
-        else:
-            from corviq.sql import statements as st
+    """One statement or several; the result of the last: a DataFrame, rows of FETCH, a count of changed rows, or None.
 
-            out = st.execute(engine, node, data)
+    Several statements are one transaction, unless they or the session handle transactions themselves.
+    """
+    from corviq.sql import statements as st
+
+    texts = split(sql)
+    if not texts:
+        raise EngineError("42601", "no statement")
+    nodes = [Parser(text, params).statement() for text in texts]
+    kinds = {n.kind for n in nodes if isinstance(n, Statement)}
+    whole = len(nodes) > 1 and engine.store is not None and engine.store.staged is None and kinds & st.CHANGES and not kinds & {"begin", "commit", "rollback"}
+    if whole:
+        engine.store.begin()
+    try:
+        out = None
+        for node in nodes:
+            out = Compiler(engine).query(node) if isinstance(node, Query) else st.execute(engine, node, data)
+    except BaseException:
+        if whole:
+            engine.store.rollback()
+        raise
+    if whole:
+        engine.store.commit()
     return out
 
 
 def explain(engine, q: Query) -> DataFrame:
+    from corviq.sql import statements as st
+
     c = Compiler(engine)
-    df = c.query(q)
+    if isinstance(q, Statement):  # the rows that an update or delete would touch
+        condition, env = st._condition(engine, q.parts["table"], q.parts["where"])
+        df = env.df.where(condition & engine.policy.owned() & engine.policy.visible())
+    else:
+        df = c.query(q)
     plan = df._jdf.queryExecution().executedPlan().toString()
     access = "pushed filters" if "PushedFilters: [" in plan and "PushedFilters: []" not in plan else "full scan"
-    lines = [f"{k}: {v}" for k, v in ({"engine": "spark"} | {"ann_plan": "none"} | c.used | {"scalar_plan": access}).items()]
+    path = "probed lists" if c.used.get("ann_plan") == "probe" else "scan"
+    lines = [f"{k}: {v}" for k, v in ({"engine": "spark"} | {"ann_plan": "none"} | c.used | {"scalar_plan": access, "access_path": path}).items()]
     return engine.spark.createDataFrame([(x,) for x in [*lines, *plan.split("\n")]], "`QUERY PLAN` string")
 
 

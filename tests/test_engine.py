@@ -5,7 +5,8 @@ from corviq.errors import EngineError
 from corviq.functions import scalar as S
 from corviq.operators import relational as R
 from corviq.operators import retrieval as V
-from corviq.plans.engine import Engine, estimate_tier
+from corviq.plans import planner
+from corviq.plans.engine import Engine
 from corviq.policy import Policy
 from corviq.sources import ingest
 from corviq.sources.store import Store
@@ -56,6 +57,105 @@ def test_sum_overflows_only_at_the_end(spark):
     assert df.agg(R.sum_exact(F.col("x"))).first()[0] == 2**63 - 1
 
 
+def test_average_of_exact_numbers(spark):
+    import decimal
+
+    df = spark.createDataFrame([(decimal.Decimal("0.02"),), (decimal.Decimal("0.00"),), (decimal.Decimal("0.00"),), (None,)], "x decimal(10,2)")
+    assert df.agg(R.avg_numeric(F.col("x"), 10, 2)).first()[0] == decimal.Decimal("0.0066666666666667")
+    assert df.where("x is null").agg(R.avg_numeric(F.col("x"), 10, 2)).first()[0] is None
+    big = spark.createDataFrame([(decimal.Decimal(10) ** 30,), (decimal.Decimal(1),)], "x decimal(38,0)")
+    assert big.agg(R.avg_numeric(F.col("x"), 38, 0)).first()[0] == decimal.Decimal("500000000000000000000000000001")  # half away from zero
+
+
+def test_epoch_does_not_depend_on_the_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert one(spark, S.date_part("epoch", F.expr("timestamp_ntz '1970-01-02 00:00:00.5'"))) == 86400.5
+        assert one(spark, S.date_part("epoch", F.expr("timestamp_ntz '1969-12-31 23:59:59.25'"))) == -0.75
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_json_values():
+    assert S.canonical_json('{ "b":1.0, "a" :[1e2, "x", null, true], "é":"ü" }') == '{"a":[1e2,"x",null,true],"b":1.0,"é":"ü"}'
+    for bad in ('{"a":1,"a":2}', "[" * 17 + "]" * 17, "NaN", "{a:1}", ""):
+        with pytest.raises(ValueError):
+            S.check_json(bad)
+    assert S.check_json("[" * 16 + "]" * 16)
+
+
+def test_halves_and_codes(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, [1.0, -2.0, 0.0]), (2, [0.5, 1.0, 0.0]), (3, [65504.0, 1e-8, 70000.0])], "id long, embedding array<float>")
+    back = {r["id"]: r["embedding"] for r in V.from_f16(V.to_f16(df).drop("embedding")).collect()}
+    assert back[1] == [1.0, -2.0, 0.0] and back[3][0] == 65504.0 and back[3][2] == float("inf")
+    assert [r[0] for r in df.orderBy("id").select(V.fits_f16(F.col("embedding"))).collect()] == [True, True, False]
+    two = df.where("id < 3")
+    scales = V.fit_scales(two)
+    assert scales == [float(np.float32(1 / 127)), float(np.float32(2 / 127)), 0.0]
+    codes = {r["id"]: r["c"] for r in two.select("id", V.quantize(F.col("embedding"), scales).alias("c")).collect()}
+    assert codes == {1: [127, -127, 0], 2: [64, 64, 0]}  # a zero vector's dimension is no division by zero
+    assert code(lambda: V.fit_scales(spark.createDataFrame([([float("nan")],)], "embedding array<float>"))) == "22000"
+
+
+def test_tiers():
+    assert planner.classify("Open src/core.rs.") == ("direct", "path") and planner.classify("see .gitignore", paths=[".gitignore"]) == ("direct", "path")
+    assert planner.classify("What's `parse_it`?", symbols=["parse_it"]) == ("abstraction", "cue") and planner.classify("`Parse_It`", symbols=["parse_it"]) == ("direct", "symbol")
+    assert planner.classify("この設計は") == ("abstraction", "cue") and planner.classify("designer shoes") == ("intent", "none")
+    assert planner.classify(" ") == planner.classify("x" * 2001) == planner.classify("a " * 257) == ("intent", "degenerate")
+    assert planner.TIERS == {"direct": "dialogue", "intent": "high_precision", "abstraction": "high_precision"}
+
+
+def test_copy_lines_end_with_line_feeds_only():
+    assert ingest.parse_copy("1\ta\x0cb\u2028c\x85d\r\n2\t\\\\N\n") == [["1", "a\x0cb\u2028c\x85d"], ["2", "\\N"]]
+    for bad in ("1\ta\\x\n", "1\ta\rb\n", "1\ta\\"):
+        assert code(lambda b=bad: ingest.parse_copy(b)) == "22000"
+
+
+def test_copy_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\tb\n\\ \r x\x0c\u2028"), (2, None), (3, ""), (4, 'q"u,o"')], "id long, t string")
+    for form in ("text", "csv"):
+        own = df if form == "text" else df.where("id > 1")
+        own.select(ingest.copy_line([F.col("id"), F.col("t")], form)).write.text(f"{tmp_path}/{form}", lineSep="\n")
+        got = {r["id"]: r["t"] for r in ingest.read_copy(spark, f"{tmp_path}/{form}", df.schema, form).collect()}
+        assert got == {r["id"]: r["t"] for r in own.collect()}
+
+
+def test_hashing_embedder_in_batches():
+    import numpy as np
+
+    texts = ["Alpha beta alpha", "", "ÄÖ é", "a bb ccc dddd", "beta"]
+    assert np.array_equal(ingest.hashing(16)(texts), np.array([ingest.embed_text(t, 16) for t in texts], np.float32))
+    assert ingest.hashing(4)(["", " "]).tolist() == [[0.0] * 4] * 2
+
+
+def test_written_out_products(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for dim in (1, 31, 64, 100):
+        x, q = rng.standard_normal(dim).astype(np.float32), rng.standard_normal(dim).tolist()
+        df = spark.createDataFrame([([float(v) for v in x],), ([1.0] * (dim + 1),), (None,)], "v array<float>")
+        got = [r[0] for r in df.select(S.dot_with(F.col("v"), q)).collect()]
+        assert got[0] == pytest.approx(float(x.astype(float) @ np.array(q))) and got[1:] == [None, None]
+
+
+def test_postings_give_the_same_scores(spark, tmp_path):
+    from corviq.operators import sparse
+
+    rows = [(k, "ab"[k % 2], "public" if k % 3 else "private", t) for k, t in enumerate(["red green red", "検索 red の 検索", "", None, "Green_1 red-blue", "blue", "… — ", "RED red"])]
+    raw = spark.createDataFrame(rows, "id long, _tenant_id string, _visibility string, text string")
+    sparse.build(raw, "text", str(tmp_path / "t"))
+    index, p = sparse.TextIndex(spark, (str(tmp_path / "t"),)), Policy("a")
+    for q in ("red", "red 検索 blue", "absent", ""):
+        for some in (None, "id > 1"):
+            seen = p.read(raw) if some is None else p.read(raw).where(some)
+            want = sorted((r["id"], round(r["score"], 12)) for r in V.bm25(seen, q).collect())
+            got = sorted((r["id"], round(r["score"], 12)) for r in index.bm25(p, q, None if some is None else seen).collect())
+            assert got == want, (q, some)
+
+
 def test_join_types_and_sets(spark):
     a, b = spark.createDataFrame([(1, 1.0)], "k int, f double"), spark.createDataFrame([(1, "1")], "k long, s string")
     assert R.join(a.withColumnRenamed("k", "l"), b, [("l", "k")]).count() == 1
@@ -117,7 +217,7 @@ def test_copy_and_chunks(spark):
     assert ingest.embed_text("", 4) == [0, 0, 0, 0]
     src = spark.createDataFrame([(1, "pub fn go() {}\nstruct S;")], "id long, text string")
     assert [(r["kind"], r["name"]) for r in ingest.symbols(src, "id").collect()] == [("fn", "go"), ("struct", "S")]
-    assert estimate_tier("why is it so") == "abstraction"
+    assert planner.tier("Why is it so?") == ("abstraction", "high_precision")
 
 
 def test_cursor(spark):

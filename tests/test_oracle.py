@@ -1,6 +1,6 @@
 import pytest
 
-from corviq import dialect_queries, queries  # noqa: F401
+from corviq import dialect_queries, queries, store_queries  # noqa: F401
 from tests.conftest import DATA, same
 
 

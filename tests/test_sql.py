@@ -91,7 +91,7 @@ def test_explain_cursor_mode(e):
 
 
 def test_planned_search(spark):
-    answers = ['{"search_terms": ["onrein"], "mode_hint": "recall"}']
+    answers = ['Here: {"search_terms": ["onrein"], "path_hint": null, "kind_hint": null, "mode": "recall"} done']
     e = Engine.over(spark, DATA)
     e.client = lambda prompt: answers[0]
     e.create_view("docs", lambda s: s.table("embeddings").select("id", "embedding").join(s.table("documents").selectExpr("id", "text as body", "source as path"), "id"))
@@ -232,11 +232,28 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         streaming.follow(streaming.files(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "checkpoint"), 8, lambda n, df: seen.append(df.count())).awaitTermination(120)
     assert seen == [1, 2]
+    streaming.compact(spark, str(tmp_path / "out"), str(tmp_path / "small"))
+    assert streaming.current(spark, str(tmp_path / "small")).count() == 2
+
+
+def test_event_rates(spark):
+    from tests.conftest import DATA
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    rates = streaming.event_rates(events).collect()
+    assert sum(r["n"] for r in rates) == events.count() and len({(r["start"], r["event_type"]) for r in rates}) == len(rates)
 
 
 def test_rerank_and_boosts(spark):
     hits = spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "id long, score double")
     assert [r["id"] for r in V.rerank(hits, None, 2).collect()] == [1, 2]
     assert [r["id"] for r in V.rerank(hits, lambda h: h.withColumn("score", -h["score"]), 2).collect()] == [3, 2]
+    assert code(lambda: V.rerank(hits, lambda h: h.withColumn("id", h["id"] + 1))) == "22000"  # a foreign id
+    assert code(lambda: V.rerank(hits, lambda h: h.union(h))) == "22000"
+    assert code(lambda: V.rerank(hits.union(hits))) == "22000"
+    many = spark.range(V.MAX_K + 1).selectExpr("id", "cast(id as double) as score")
+    assert code(lambda: V.rerank(many)) == "54000"
+    texts = spark.createDataFrame([(1, 0.0, "a"), (2, 0.0, "abc"), (3, 0.0, None)], "id long, score double, text string")
+    assert [r["id"] for r in V.rerank(texts, V.cross_encoder(lambda q, ts: [len(t) + len(q) for t in ts], 2)("q")).collect()] == [2, 1, 3]
     ids = spark.createDataFrame([(3,), (9,)], "id long")
     assert [(r["id"], r["score"]) for r in V.boost_ids(hits, ids, 1.0).collect()] == [(1, 3.0), (2, 2.0), (3, 2.0)]
