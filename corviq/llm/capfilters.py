@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corviq.llm.blocks import blocked
-from corviq.llm.common import key_runs, materialize
+from corviq.llm.common import bound_batches, key_runs, materialize, release
 from corviq.llm.components import connected_components, spanning
 
 LEAST = 3  # filters that any vector is in, of one table
@@ -184,6 +184,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     repeat an id are vectors of their own, but share links and component. Labels and other columns aren't looked at.
     Choose parameters by the number of vectors: filters grow with it, so that their occupancy stays the same.
     """
+    bound_batches(vectors)
     v = F.col("v")
     exact = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # floats are widened where they are compared
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(exact).alias("v"))
@@ -200,6 +201,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     postings = materialize(postings)
     dealt = blocked(postings, "key", "rep", block).select("key", "i", "j", "part", "rep", "m", "v", "filters")
     found = materialize(dealt.mapInArrow(lambda it: _links(it, least), "rep long, links long, root long"))
+    release(postings)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = (
@@ -212,11 +214,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    joined = base.withColumn("_k", F.when(usable, v)).join(named, F.col("_k") == F.col("_v"), "left")
-    component = F.coalesce("component_id", "id")
-    return joined.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
-    )
+    found = base.where(usable).join(named, F.col("v") == F.col("_v")).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    alone = base.where(~usable).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    return found.unionByName(alone)  # vectors that link with nothing share no key and need no join

@@ -108,6 +108,15 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def bound_batches(df: DataFrame, most: int = 4 << 20) -> None:
+    """From here on the session hands batches of about ``most`` bytes to Python workers, unless it was set to less than
+    the default of 64 MB; a worker holds several copies of a batch, and so does the executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key, str(64 << 20)).rstrip("b")) >= 64 << 20:
+        conf.set(key, str(most))
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corviq.llm.common import rows_of, slices, with_fields
+from corviq.llm.common import bound_batches, rows_of, slices, with_fields
 
 UNKNOWN = "und"
 PROFILE = 400
@@ -99,6 +99,7 @@ def train(
     ``docs_per_lang`` labelled documents are taken, by a hash of the id (all, where there are no more): the documented
     bound of the sample. Counts are summed on the executors; only profiles reach the driver.
     """
+    bound_batches(docs)
     pool = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         ~held_out("id") & F.col("lang").isNotNull()
     )
@@ -162,6 +163,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     Null texts and texts without a letter are ``und`` with score 0; so is everything if there are no profiles. Columns
     of ``docs`` with the added names are replaced. The text travels to the workers once, whether it is kept or not.
     """
+    bound_batches(docs)
     added = [verdict, "score" if verdict == "lang_pred" else f"{verdict}_score"]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
     source = docs.select(*columns, *([] if text_col in columns else [text_col]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corviq.llm.common import fresh, materialize, release, slices, with_fields
+from corviq.llm.common import bound_batches, fresh, materialize, release, slices, with_fields
 
 PASSAGE, LEAST_WORDS = 48, 1  # words, defaults of the parameters
 LEAST_LINES, MOST_LINES, DIVISOR, MOST_BLANK, DIGEST = 2, 16, 2, 8, 16
@@ -215,6 +215,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the removal. Chunks travel as digests; one that stands in a third of all documents is combined on the map side, and
     its occurrences meet only a join that adaptive execution splits. No side is broadcast.
     """
+    bound_batches(docs)
     row = F.xxhash64(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).alias("text"))
     found = source.mapInArrow(lambda it: _chunks(it, least_words, passage, digest), "id long, row long, first int, lines int, h long, g long")

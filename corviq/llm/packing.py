@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corviq.llm.common import materialize, slices
+from corviq.llm.common import bound_batches, materialize, slices
 
 EOS = 2
 _ENCODERS: dict[str, object] = {}
@@ -202,6 +202,7 @@ def pack(
     length get their rank without meeting in one task: by salted groups of about the square root of their number,
     and the groups' running sums.
     """
+    bound_batches(docs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     pieces = materialize(source.mapInArrow(lambda it: _pieces(it, capacity, vocabulary, with_ids, added_tokens), schema))

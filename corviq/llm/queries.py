@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from corviq.llm.common import materialize, table
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return surrogates.pseudonymize(docs.select("doc_id", "text"))
+    """The key is ``spark.corviq.surrogates.key`` in hexadecimal digits; where it isn't set, a new one for each run."""
+    found = spark.conf.get("spark.corviq.surrogates.key", None)
+    key = bytes.fromhex(found) if found else secrets.token_bytes(32)
+    return surrogates.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +34,7 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpegaudio.to_media(table(spark, sf_dir, "documents"))
-    return mpegaudio.probe(media, offsets=False).select(
-        F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
-    )
+    return mpegaudio.probe(media).withColumnRenamed("id", "doc_id")
 
 
 def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,7 @@ def _op2_sql() -> str:
         f"    UNION ALL SELECT '{r.name}', '{r.verdict}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}'" for r in urlrules.HOST_RULES
     ).replace("    UNION ALL ", "    ", 1)
     words = "|".join(r.name for r in urlrules.WORD_RULES)
+    blocks, allows = ("|".join(r.regex.removeprefix("(?i)") for r in urlrules.PATTERN_RULES if r.verdict == v) for v in ("block", "allow"))
     return f"""
 WITH rules(name, says, rhost, rpath) AS (
 {fits}
@@ -100,7 +102,8 @@ WITH rules(name, says, rhost, rpath) AS (
     GROUP BY rn
 )
 SELECT page_id, host, path, rule,
-       coalesce(says, CASE WHEN regexp_matches(host || path, '^([^/]*[.-])?({words})([.:/-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(says, CASE WHEN regexp_matches(host || path, '{allows}', 'is') THEN 'allow'
+                           WHEN regexp_matches(host || path, '^([^/]*[.-])?({words})([.:/-]|$)') OR regexp_matches(host || path, '{blocks}', 'is') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (rn)"""
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corviq.llm.blocks import blocked
-from corviq.llm.common import key_runs, materialize, release, slices
+from corviq.llm.common import bound_batches, key_runs, materialize, release, slices
 from corviq.llm.components import connected_components, spanning
 
 BYTES_MATCH = 5  # that any two fingerprints within three bits share
@@ -67,6 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, text_hash, fp): XXH64 of the text, which tells rows of one id apart, and the signed view of the fingerprint."""
+    bound_batches(docs)
     text = F.col(text_col)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
         lambda it: _fingerprints(it, words), "id long, text_hash long, fp long"
@@ -87,6 +88,7 @@ def postings(prints: DataFrame, block: int = BLOCK, *bases: DataFrame) -> DataFr
     Positions are numbered from the lowest byte. Fives that begin with a triple cover all pairs of that triple's list,
     so a split loses none. Names of fives come after those of triples.
     """
+    prints = prints.select("fp").repartition("fp")  # few bytes each, but twenty rows: not as few tasks as they have files
     listed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _key(t, n).alias("key")) for n, t in enumerate(TRIPLES)])).alias("p")).select("fp", "p.n", "p.key")
     hot = materialize(listed.groupBy("key").count().where(F.col("count") > block).select(F.col("key").alias("hot")), *bases)
     marked = listed.join(hot, F.col("key") == F.col("hot"), "left")

@@ -49,35 +49,123 @@ def test_components(spark):
 # -- 1 ---------------------------------------------------------------------------------------------------------------
 
 
+KEY = bytes(range(32))
+
+
+def gender_of(name):
+    """By the lists, or by the ending of a made name."""
+    name = name.capitalize()
+    if name in surrogates.WHOSE:
+        return surrogates.WHOSE[name][1]
+    return next((g for (_, g), ends in surrogates.GIVEN_ENDINGS.items() if name.endswith(ends)), None)
+
+
 def test_surrogates(spark):
     text = "Frau Anna Müller, anna@corp.example.org, +1 (212) 555-0199, 10.1.2.3, 4111 1111 1111 1111; Anna Müller. Иван Петров token = \"abc123def456\""
-    df = docs(spark, [text, "ANNA@corp.example.org wrote", None, "", "nothing here, 12 or 3.5"])
-    rows = {r["doc_id"]: r for r in surrogates.pseudonymize(df).collect()}
+    df = docs(spark, [text, "ANNA@corp.example.org wrote", None, "", "nothing here, 12 or 3.5"]).withColumn("n_entities", F.lit("old"))
+    rows = {r["doc_id"]: r for r in surrogates.pseudonymize(df, KEY).collect()}
     out = rows[0]["text"]
     for secret in ("Anna", "Müller", "anna@", "555-0199", "10.1.2.3", "4111 1111", "Иван", "Петров", "abc123"):
         assert secret not in out
-    spans = surrogates.find(out)
-    assert [k for _, _, k, _ in spans] == [k for _, _, k, _ in surrogates.find(text)]  # still found as the same types
     name = out.split(",")[0].removeprefix("Frau ")
-    assert out.count(name) == 2 and surrogates.WHOSE[name.split()[0]] == ("latin", "f")  # coreference and gender
+    assert out.count(name) == 2 and gender_of(name.split()[0]) == "f"  # coreference and gender
     assert [len(p) for p in out.split(", ")[2].split(" ")] == [2, 5, 8]
+    spans = surrogates.find(out)
     card = next(v for _, _, k, v in spans if k == "card")
-    assert surrogates.luhn(card)
+    assert surrogates.luhn(card) and next(v for _, _, k, v in spans if k == "lan").startswith("10.")
     assert rows[1]["text"].split("@")[0].isupper() and rows[1]["text"].split()[0].lower() in out
     assert rows[2]["text"] is None and rows[3]["text"] == "" and rows[4]["text"] == "nothing here, 12 or 3.5"
-    assert rows[0]["id"] == "x"
-    assert surrogates.pseudonymize(df.limit(0)).count() == 0
+    assert rows[0]["id"] == "x" and rows[0]["n_entities"] == len(spans) and rows[4]["n_entities"] == 0
+    assert surrogates.pseudonymize(df.limit(0), KEY).count() == 0
+    with pytest.raises(ValueError):
+        surrogates.pseudonymize(df, b"short")
+    other = surrogates.pseudonymize(df, bytes(32)).where("doc_id = 0").first()["text"]
+    assert other != out  # surrogates hang on the key
+
+
+def replaced(text):
+    """The words of a text by their surrogates, without collisions."""
+    out, at = [], 0
+    for a, b, kind, value in surrogates.find(text):
+        out += [text[at:a], surrogates._fit(kind, text[a:b], surrogates.surrogate(KEY, kind, value, 0))]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def test_persons():
+    text = "Anna Schmidt came. Later Anna said that Schmidt was late, and Anna SCHMIDT agreed. The Schmidts didn't."
+    out = replaced(text)
+    given, last = out.split()[:2]
+    assert out == text.replace("Schmidts", "#").replace("Anna", given).replace("Schmidt", last).replace("SCHMIDT", last.upper()).replace("#", "Schmidts")
+    found = lambda t: [t[a:b] for a, b, _, _ in surrogates.find(t)]
+    assert found("Siobhan Gallagher and Wei Zhang and Priya Patel wrote it") == ["Siobhan", "Gallagher", "Wei", "Zhang", "Priya", "Patel"]
+    assert found("a report by Nkechi Okafor, Tunde Bello") == ["Nkechi", "Okafor", "Tunde", "Bello"]
+    assert found("The Big Apple is large. In New York, Old Town Hall stands.") == []
+    assert found("Dear Dr. O'Brien, hello") == ["O'Brien"]
+    assert found("Write to siobhan.kelly@corp.example.org. Siobhan Kelly knows.") == ["siobhan.kelly@corp.example.org", "Siobhan", "Kelly"]
+    assert found("Sehr geehrter Herr Jürgen Weiß-Braun") == ["Jürgen", "Weiß-Braun"]
+    assert [k for _, _, k, _ in surrogates.find("Frau Dr. Xaviera Moss")] == ["given-latin-f", "name-latin-n"]
+    assert found("Maria") == [] and found("Иван Петров и Ольга Петрова") == ["Иван", "Петров", "Ольга", "Петрова"]
+
+
+def test_types_and_formats():
+    iban = "DE89 3704 0044 0532 0130 00"
+    out = replaced(f"pay {iban} now")[4:-4]
+    assert surrogates.mod97(iban.replace(" ", "")) == surrogates.mod97(out.replace(" ", "")) == 1 and out[:2] == "DE" and [len(x) for x in out.split()] == [4, 4, 4, 4, 4, 2]
+    for phone, code in (("+49 30 1234567", "+49 "), ("+1 (212) 555-0199", "+1 ("), ("+351 21 123 4567", "+351 ")):
+        assert replaced(phone).startswith(code) and replaced(phone) != phone
+    for ip, head in (("192.168.1.1", "192.168."), ("10.9.8.7", "10."), ("172.20.0.9", "172.")):
+        assert replaced(ip).startswith(head) and surrogates.find(replaced(ip))[0][2] == "lan"
+    assert surrogates.find(replaced("8.8.4.4"))[0][2] == "ip"
+    six = replaced("at 2001:db8:0:1::beef, 12:30:45")
+    assert six.startswith("at 2001:db8:0:") and six.endswith(", 12:30:45") and "beef" not in six
+    for date in ("born on 24.12.1987", "DOB: 1987-12-24", "born 12/24/1987"):
+        made = replaced(date)
+        assert made != date and surrogates.find(made)[0][2] == "birth" and len(made) == len(date)
+    assert len({surrogates._shifted(KEY, f"{d:02d}.{m:02d}.{y}") for y in (1980, 1981) for m in range(1, 13) for d in range(1, 29)}) == 2 * 12 * 28
+    assert len({surrogates.surrogate(KEY, "lan", f"192.168.{a}.{b}", 0) for a in range(40) for b in range(256)}) == 40 * 256
+    for street in ("12 Old Mill Road", "Hauptstraße 7b", "5 rue de la Paix", "Calle de Alcalá, 42"):
+        made = replaced(f"at {street}.")
+        assert surrogates.find(made)[0][2] == "street" and made != f"at {street}." and replaced(f"AT {street.upper()}") is not None
+    assert surrogates.find("4111 1111 1111 1112") == [] and replaced("token = \"deadbeef99\"")[9:].strip('"').islower()
 
 
 def test_surrogates_stay_distinct(spark):
     """A space of a hundred forms, with ninety entities: collisions must be resolved, also against real entities."""
     df = docs(spark, [f"Herr {n}" for n in "Ab Cd Ef Gh".split()] + [f"{a}{b}.x@ab.example.com" for a in "abcdefghij" for b in "klmnopqrs"] + [f"{c}@ab.example.com" for c in "abcdefghijklmnopqrst"])
-    rows = surrogates.pseudonymize(df).collect()
+    rows = surrogates.pseudonymize(df, KEY).collect()
     made = [r["text"] for r in rows if "@" in r["text"]]
     real = {r["text"] for r in df.collect()}
     assert len(set(made)) == 110 and not set(made) & real
 
 
+def test_surrogates_against_brute_force(spark):
+    """All types in one table, ids null or repeated: a mapping that is one to one by type and hits no real entity."""
+    given = [*surrogates.GIVEN["latin", "f"], *surrogates.GIVEN["latin", "m"]]
+    texts = [f"{g} {'Baker' if k % 2 else 'Cook' + 'abcdefghij'[k % 10]} met us; {g} left" for k, g in enumerate(given)]
+    texts += [f"{c}@ab.example.com" for c in "abcdefghijklmnopqrst"] + [f"call +1 (212) 555-{n:04d} or 100.{n}.7.8" for n in range(50)]
+    rows = [(None if k % 3 == 0 else k % 5, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, *rows[:30]], "doc_id long, text string")
+    got = surrogates.pseudonymize(df, KEY).collect()
+    real = {}
+    for _, t in rows:
+        for _, _, kind, value in surrogates.find(t):
+            real.setdefault(kind.split("-")[0], set()).add((kind, value))
+    made = {}
+    for r in got:
+        for _, _, kind, value in surrogates.find(r["text"]):
+            made.setdefault(kind.split("-")[0], set()).add(value)
+    assert sum(r["n_entities"] for r in got) == sum(len(surrogates.find(t)) for _, t in [*rows, *rows[:30]])
+    for family, entities in real.items():
+        if family in ("email", "ip", "phone"):
+            assert len(made[family]) == len(entities), family
+            assert not made[family] & {v for _, v in entities}, family
+    names = [tuple(r["text"].split()[:2]) for r in got if " met us" in r["text"]]
+    assert len({g for g, _ in names}) == len(given) and not {g for g, _ in names} & set(given)
+    assert all(r["text"].endswith(f"{r['text'].split()[0]} left") for r in got if " met us" in r["text"])
+    assert len({s for _, s in names}) == len({t.split()[1] for t in texts if " met us" in t})
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -99,6 +187,43 @@ def test_url_rules(spark):
     assert urlrules.filter_urls(df.limit(0)).count() == 0
 
 
+def test_patterns():
+    def fits(pattern, target):
+        return bool(__import__("re").compile(urlrules.pattern_rule(pattern).regex, 16).match(target))
+
+    assert fits("||ads.example^", "x.ads.example/a") and not fits("||ads.example^", "bads.example/a") and not fits("||ads.example^", "ads.examples/")
+    assert fits("/banner/*/img^", "h.org/Banner/1/2/img?") and fits("|h.org/a|", "h.org/a") and not fits("|h.org/a|", "h.org/ab") and not fits("|org/a", "h.org/a")
+    assert fits("/ad[0-9]+/", "h.org/x/AD77") and fits("a%b", "x/a%b") and urlrules.pattern_rule("! note") is None and urlrules.pattern_rule("  ") is None
+    tokens = lambda p: urlrules.pattern_rule(p).tokens
+    assert tokens("||ads.example^x*") == ("ads", "example") and tokens("banner") == () and tokens("/a/b") == ("a",) and tokens("/a/b|") == ("a", "b") and tokens("/x[0-9]/") == ()
+    assert urlrules.pattern_rule("@@||a.b^").verdict == "allow"
+
+
+def test_long_rule_lists_are_joined(spark, monkeypatch):
+    """The join by token gives what running every rule on every url gives, and so does the list in the tasks."""
+    import random
+
+    r = random.Random(3)
+    words = ["ads", "news", "shop", "cdn", "img", "track", "win", "blog", "x1", "longer-word"]
+    lines = [f"{r.choice(['', '@@'])}{r.choice(['||', '|', '', ''])}{r.choice(words)}{r.choice(['.', '/', '^', '*', '-'])}{r.choice(words)}{r.choice(['', '^', '|', '*'])}" for _ in range(400)] + ["/x[0-9]\\.(com|org)/", "! comment", "", None]
+    urls = [f"https://{'.'.join(r.sample(words, r.randint(1, 3)))}.{r.choice(['com', 'org'])}{r.choice(['', '/', '/' + '/'.join(r.sample(words, r.randint(1, 3)))])}{r.choice(['', '?q=ads'])}" for _ in range(300)] + [None, "", "https://" + "a" * 50000 + "/ads/win"]
+    pages = spark.createDataFrame([(k, u, "t", "n") for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, target string, rule string")
+    rules = urlrules.read_rules(spark.createDataFrame([(x,) for x in lines], "value string"))
+    every = [urlrules.pattern_rule(x) for x in lines if x and urlrules.pattern_rule(x)]
+    hosts = spark.createDataFrame([(h.name, h.verdict, h.regex, list(h.tokens), h.length, h.own) for h in urlrules.HOST_RULES], urlrules.RULE)
+    want = []
+    for k, u in enumerate([*urls, urls[0]]):
+        h, p = urlrules.split_url(u)
+        own = {x.verdict for x in every if __import__("re").compile(x.regex, 16).match(h + p)}
+        want.append((k, *urlrules.decide([(x.length, x.name, x.verdict) for x in urlrules.HOST_RULES if __import__("re").match(x.regex, h + p)], own)))
+    assert {"allow", "block"} == {v for _, _, v in want}
+    for most in (100_000, 10):
+        monkeypatch.setattr(urlrules, "IN_TASKS", most)
+        got = sorted((x["page_id"], x["rule"], x["verdict"]) for x in urlrules.filter_urls(pages, rules=rules.union(hosts)).collect())
+        assert got == want
+        assert urlrules.filter_urls(pages.limit(0), rules=rules).count() == 0
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------
 
 PAGES = [
@@ -114,7 +239,7 @@ PAGES = [
     (
         "<body><main><article><header><h1>T</h1></header><p>Hello there, this is a long paragraph of text.</p><ul><li><a href=a>r1</a></li><li><a href=b>r2</a><li><a href=c>r3</a></ul>"
         "<form><p>Subscribe, now, to this, great letter</p></form><p>End.</p></article></main><aside>zz</aside></body>",
-        "Hello there, this is a long paragraph of text. End.",
+        "T Hello there, this is a long paragraph of text. r1 r2 r3 End.",
     ),
     ('<script>var t="</p><p>no</p>";</script><article><p>One.<p>Two<br>three</article>', "One. Two three"),
     ("<article><p>cut off in a tag <b", "cut off in a tag"),
@@ -130,6 +255,68 @@ def test_main_text(spark):
         maintext.main_text(page)
 
 
+_FIRST = "The first paragraph, with commas, and quite some words to count for points."
+_SECOND = "A second one, also long enough, with a comma or two, to be scored by its length."
+_BODY = f"<p>{_FIRST}</p><p>{_SECOND}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><h1>T</h1>{_BODY}<section id="discussion"><p>We discuss it.</p></section><div class="related-work"><p>Others did.</p></div></article>', f"T {_FIRST} {_SECOND} We discuss it. Others did."),
+        (f"<article>{_BODY}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", f"{_FIRST} {_SECOND} Let x=1 be."),
+        (f"<article>{_BODY}<ul><li><a href=a>Ref one</a></li><li><a href=b>Ref two</a></li><li><a href=c>Ref three</a></li></ul></article>", f"{_FIRST} {_SECOND} Ref one Ref two Ref three"),
+        (f'<article><header><h1>Title</h1><div class="meta">by me</div></header>{_BODY}</article>', f"Title {_FIRST} {_SECOND}"),
+        (f'<article>{_BODY}<div class="related"><a href=a>More of this</a> <a href=b>and that</a></div><div class="notice">We use cookies.</div><div id="ad-slot">Buy!</div></article>', f"{_FIRST} {_SECOND}"),
+        (f'<body><div class="content">{_BODY}</div><p>See <a href=1>this short link</a> and more.</p></body>', f"{_FIRST} {_SECOND} See this short link and more."),
+        (f'<body><div class="post"><p>Short.</p></div><div id="comments"><p>{_SECOND}</p><p>{_SECOND}</p></div></body>', "Short."),
+        (f'<body><div class="menu"><h2>H</h2>{_BODY}</div></body>', f"H {_FIRST} {_SECOND}"),
+    ],
+)
+def test_main_text_inside_the_article(page, want):
+    assert maintext.main_text(page) == want
+
+
+def gold_pages():
+    """Pages of many layouts with the text of their article: twelve ways to wrap it, with five sets of surroundings."""
+    wraps = [
+        "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content no-sidebar">{}</div>', '<div class="wrap has-sidebar"><div class="inner">{}</div></div>',
+        '<div class="post hentry category-news tag-python">{}</div>', '<div class="post comments-open">{}</div>', '<div id="main"><div class="entry-content">{}</div></div>', "<section>{}</section>",
+        '<div class="page-layout"><section class="text">{}</section></div>', '<table><tr><td class="body">{}</td></tr></table>', '<div class="story"><div class="header-image"></div>{}</div>',
+    ]
+    links = "".join(f'<li><a href="/{k}">Section {k}</a></li>' for k in range(7))
+    rounds = [
+        ("", ""),
+        (f"<nav><ul>{links}</ul></nav><header><a href=/>Site</a></header>", "<footer>Imprint, and contact, and more</footer>"),
+        (f'<div class="navbar"><ul>{links}</ul></div><div class="ad">Buy now, really, the best, of all, offers here today.</div>', f'<div id="sidebar"><h3>Popular</h3><ul>{links}</ul><p>Some text in the sidebar, with commas, long enough to count.</p></div>'),
+        ('<div class="cookieNotice"><p>We use cookies, and such, to serve you better, as ever, and always.</p></div>', '<div class="comments"><div class="comment"><p>Great post, I liked it, thank you, and so did my friends, all of them.</p></div></div>'),
+        ('<div style="display:none"><p>Hidden text, with commas, that is long enough to score, too.</p></div>', '<form><p>Subscribe to our letter, now, today, for free, please.</p></form><div class="share"><a href=x>Tweet</a></div>'),
+    ]
+    for w, wrap in enumerate(wraps):
+        for r, (before, after) in enumerate(rounds):
+            blocks = [f"Paragraph {k} of page {w} {r}, with a comma, and some words more to make it long enough." for k in range(2 + (w + r) % 4)]
+            inner = "".join(f"<p>{b.replace('comma', '<em>comma</em>')}</p>" for b in blocks[:-1]) + f"<h2>Part</h2><ul><li>{blocks[-1]}</li></ul>"
+            yield f"<html><head><title>t</title></head><body>{before}{wrap.format(inner)}{after}</body></html>", " ".join([*blocks[:-1], "Part", blocks[-1]])
+
+
+def test_main_text_gold():
+    from collections import Counter
+
+    pages = list(gold_pages())
+    shared = found = wanted = exact = 0
+    for page, gold in pages:
+        a, b = Counter(maintext.main_text(page).split()), Counter(gold.split())
+        shared, found, wanted, exact = shared + (a & b).total(), found + a.total(), wanted + b.total(), exact + (a == b)
+    print(f"{len(pages)} pages, precision {shared / found:.4f}, recall {shared / wanted:.4f}, exact {exact}")
+    assert len(pages) == 60 and shared / found >= 0.99 and shared / wanted >= 0.99
+
+
+def test_main_text_tables(spark):
+    df = spark.createDataFrame([(1, "u", PAGES[4][0]), (1, "u", PAGES[4][0]), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
+    rows = maintext.extract(df).collect()
+    assert [r["text"] for r in rows] == [PAGES[4][1], PAGES[4][1], ""] and maintext.extract(df.limit(0)).count() == 0
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -327,6 +514,81 @@ def test_media_damage():
         assert mpegaudio.read(bad).payload == b""
 
 
+def test_media_last_frame_that_looks_like_a_tag(spark):
+    """ADVICE: byte 497 of the last frame's payload begins with TAG."""
+    texts = ["x" * (576 * n + 448) + "TAG" + "y" * 125 for n in (0, 3)] + ["x" * k + "TAG" + "y" * (576 - 3 - k) for k in range(430, 520)]
+    rows = mpegaudio.probe(mpegaudio.to_media(docs(spark, texts))).collect()
+    assert all(r["payload_bytes"] == 576 * -(-len(t) // 576) for r, t in zip(sorted(rows, key=lambda r: r["id"]), texts, strict=True))
+
+
+def test_media_tables(spark):
+    long = "z" * 3_000_000
+    df = docs(spark, [long, long, None]).withColumn("media", F.lit(1)).withColumn("n_bytes", F.lit("n"))
+    rows = mpegaudio.probe(mpegaudio.to_media(df)).collect()
+    assert rows[0]["payload_bytes"] == 576 * -(-len(long) // 576) and len({(r["media_sha256"], r["feature"]) for r in rows}) == 2
+    assert rows[0]["duration"] == rows[0]["samples"] / 16000 and len(rows[0]["frame_offsets"]) == rows[0]["samples"] // 576
+    assert mpegaudio.probe(mpegaudio.to_media(df.limit(0))).count() == 0
+
+
+def plain_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        top = crc >> 15
+        crc = crc << 1 & 0xFFFF
+        if top != int(bit):
+            crc ^= 0x8005
+    return crc
+
+
+@pytest.mark.parametrize(
+    ("head", "allocation", "chosen"),
+    [
+        # Layer I, 44.1 kHz, 128 kbit/s: stereo 256 bits; joint stereo from subband 4 on 144; mono 128
+        ((0xFF, 0xFE, 0x40, 0x00), 256, 0), ((0xFF, 0xFE, 0x40, 0x40), 144, 0), ((0xFF, 0xFE, 0x40, 0xC0), 128, 0),
+        # Layer II: 44.1 kHz 192 kbit/s stereo (96 a channel: 30 subbands), 128 (27), 32 kHz 48 mono (12), 48 kHz 32 mono (8), MPEG 2 (30)
+        ((0xFF, 0xFC, 0xA0, 0x00), 2 * (44 + 36 + 14), 0), ((0xFF, 0xFC, 0x80, 0x00), 2 * (44 + 36 + 8), 0), ((0xFF, 0xFC, 0x28, 0xC0), 8 + 30, 0), ((0xFF, 0xFC, 0x14, 0xC0), 8 + 18, 0), ((0xFF, 0xF4, 0x84, 0xC0), 16 + 21 + 38, 0),
+        # the same with six subbands allocated, whose scale factor choice has two bits each
+        ((0xFF, 0xFC, 0xA0, 0x00), 2 * (44 + 36 + 14), 6), ((0xFF, 0xFC, 0x28, 0xC0), 8 + 30, 2),
+    ],
+)
+def test_media_checksums_of_all_layers(head, allocation, chosen):
+    h = mpegaudio.header(bytes(head))
+    bits = ["0"] * allocation
+    for k in range(chosen):
+        bits[4 * k] = "1"  # subbands of four bits, one channel after the other
+    covered = "".join(bits) + "10" * chosen
+    sent = plain_crc(f"{head[2]:08b}{head[3]:08b}" + covered)
+    body = int((covered + "0" * (-len(covered) % 8)) or "0", 2).to_bytes(-(-len(covered) // 8), "big")
+    frame = (bytes(head) + sent.to_bytes(2, "big") + body).ljust(h.size, b"\0")
+    s = mpegaudio.read(frame * 4)
+    assert (s.crc_good, s.crc_bad, len(s.offsets), s.samples) == (4, 0, 4, 4 * h.samples)
+    broken = bytearray(frame * 4)
+    broken[h.size + 7] ^= 16
+    assert mpegaudio.read(bytes(broken)).crc_bad == 1
+
+
+def test_media_tags_and_delay():
+    frames = mpegaudio.write(mpegaudio.payload_of("q" * 5000)[0])
+    body = frames[mpegaudio._id3v2(frames, mpegaudio.Stream()) :]
+
+    def tag(version, flags, content):
+        return b"ID3" + bytes((version, 0, flags)) + mpegaudio._syncsafe(len(content)) + content
+
+    text = b"\x00Title"
+    v22 = tag(2, 0, b"TT2" + len(text).to_bytes(3, "big") + text)
+    v23 = tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text)
+    odd = b"\x01\xff\xfeT\0"
+    unsync = tag(3, 0x80, b"TIT2" + len(odd).to_bytes(4, "big") + b"\0\0" + odd.replace(b"\xff", b"\xff\x00"))
+    v24 = tag(4, 0x10, b"TIT2" + mpegaudio._syncsafe(len(text)) + b"\0\0" + text) + b"3DI" + bytes(7)
+    for head, name, want in ((v22, "TT2", "Title"), (v23, "TIT2", "Title"), (unsync, "TIT2", "T"), (v24, "TIT2", "Title")):
+        s = mpegaudio.read(head + body)
+        assert s.tags[name] == want and len(s.offsets) == 9 and s.skipped == 0
+    k = body.index(b"Info") + 8 + 8 + 100
+    lame = body[:k] + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big") + body[k + 24 :]
+    s = mpegaudio.read(lame)
+    assert (s.samples, s.played, s.table["delay"], s.table["padding"]) == (9 * 576, 9 * 576 - 1576, 576, 1000)
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 
