@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corviq.errors import EngineError
+from corviq.operators.retrieval import TILE, _best, _tile, batch_knn, matrix
 
 SAMPLE = 50_000  # rows at most from which centroids are fitted; every row is indexed
 ROUNDS = 12
@@ -108,13 +109,33 @@ def search(index: DataFrame, coarse: Coarse, queries: Mapping[int, Sequence[floa
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def search_join(index: DataFrame, coarse: Coarse, queries: DataFrame, k: int, probes: int = 8, vector: str = "embedding", rows: int = TILE) -> DataFrame:
+    """(qid, id, score, rank) for each row (id, vector) of ``queries``, of any number: queries meet the lists they probe.
+
+    A list of more than ``rows`` vectors is dealt to several tasks by hash, its queries to each of them, so that no
+    list is too large for a task.
+    """
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = coarse.probes(matrix(batch.column(1)), probes) if batch.num_rows else np.empty((0, 1), int)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), chosen.shape[1]))
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(chosen.ravel().astype(np.int32))], ["qid", "q", "list"])
+
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("q"))
+    asked = asked.mapInArrow(probed, "qid long, q array<double>, list int")
+    parts = F.broadcast(index.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")))  # as many rows as lists
+    left = index.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.col("embedding").alias("v"))
+    right = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "q")
+    local = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(lambda a, c: _tile(a, c, k), "qid long, id long, score double")
+    return _best(local, k)
+
+
 def tune(index: DataFrame, coarse: Coarse, k: int = 10, least: float = RECALL, queries: int = 64) -> int:
     """The fewest probes with which a sample of indexed vectors finds the share ``least`` of its exact neighbours.
 
     One exact batch search over the index; only the sample's ``k`` neighbours and their lists reach the driver.
     """
-    from corviq.operators.retrieval import batch_knn
-
     few = {r["id"]: list(r["embedding"]) for r in index.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "embedding").collect()}
     exact = batch_knn(index, few, k).select("qid", "id").join(index.select("id", "list"), "id").select("qid", "list").collect()
     matrix = np.array(list(few.values()), float)

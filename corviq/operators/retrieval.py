@@ -75,11 +75,20 @@ def batch_knn(df: DataFrame, queries: Mapping[int, Sequence[float]], k: int, vec
 def fit_scales(df: DataFrame, vector: str = "embedding") -> list[float]:
     """The scale of each dimension for eight-bit codes: the largest absolute value over 127, as a float.
 
-    One aggregate with a row per dimension; non-finite components are refused (22000), and so are scales that a float
+    A row per dimension and partition is aggregated; non-finite components are refused (22000), and so are scales that a float
     can't hold. A dimension that is zero throughout has scale 0.
     """
-    spots = df.select(F.posexplode(vector).alias("at", "x")).withColumn("x", F.abs(F.col("x").cast("double")))
-    rows = spots.groupBy("at").agg(F.max("x").alias("top")).orderBy("at").collect()
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = None
+        for batch in batches:
+            if batch.num_rows:
+                own = np.abs(matrix(batch.column(0))).max(axis=0)  # not a number, if one isn't
+                most = own if most is None else np.maximum(most, own)
+        if most is not None:
+            yield pa.record_batch([pa.array(np.arange(len(most), dtype=np.int32)), pa.array(most)], ["at", "top"])
+
+    local = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>")).mapInArrow(tops, "at int, top double")
+    rows = local.groupBy("at").agg(F.max("top").alias("top")).orderBy("at").collect()
     out = []
     for r in rows:
         top = r["top"]
@@ -128,6 +137,58 @@ def from_f16(df: DataFrame, name: str = "f16", vector: str = "embedding") -> Dat
     return df.withColumn(vector, floats(F.col(name)))
 
 
+TILE = 65_536  # vectors that a task of a k-NN join holds at once
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors without nulls as rows of doubles."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1).astype(float)
+
+
+def _tile(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k best of a tile of vectors (id, v) for each query (qid, q), a block of queries at a time."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    if left.num_rows and right.num_rows:
+        ids, x = left.column("id").to_numpy(), matrix(left.column("v"))
+        qids, queries = right.column("qid").to_numpy(), matrix(right.column("q"))
+        step = max(1, (8 << 20) // len(ids))
+        for at in range(0, len(qids), step):
+            for qid, s in zip(qids[at : at + step], queries[at : at + step] @ x.T, strict=True):
+                good = np.flatnonzero(np.isfinite(s))
+                if len(good) > k:
+                    edge = np.partition(s[good], len(good) - k)[len(good) - k]
+                    good = good[s[good] >= edge]  # ties at the edge stay until ids decide
+                best = good[np.lexsort((ids[good], -s[good]))[:k]]
+                for column, value in zip(out, (np.full(len(best), qid), ids[best], s[best]), strict=True):
+                    column.append(value)
+    return pa.table([pa.array(np.concatenate(c) if c else np.empty(0), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "score"])
+
+
+def _best(local: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def knn_join(df: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", rows: int = TILE, block: int = BROADCAST_QUERIES) -> DataFrame:
+    """(qid, id, score, rank): the exact k best rows of ``df`` for each row (id, vector) of ``queries``, of any number.
+
+    Both sides are dealt to tiles by hash, ``rows`` vectors against ``block`` queries, each a matrix product in one task;
+    a vector travels once per block of queries, a query once per tile of vectors, and only k rows of a tile and query go
+    on. Rows without a vector are left out.
+    """
+    if not 1 <= k <= MAX_K:
+        raise EngineError("54000", f"k is 1 to {MAX_K}")
+    left = df.where(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(vector).alias("v"))
+    right = queries.where(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("qid"), F.col(vector).alias("q"))
+    tiles, blocks = max(1, -(-left.count() // rows)), max(1, -(-right.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("b", every(blocks))
+    right = right.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("t", every(tiles))
+    local = left.groupBy("t", "b").cogroup(right.groupBy("t", "b")).applyInArrow(lambda a, c: _tile(a, c, k), "qid long, id long, score double")
+    return _best(local, k)
+
+
 class BatchWindow:
     """Collects queries until there are ``most`` of them, and answers them in one pass over the vectors."""
 

@@ -20,7 +20,7 @@ LENGTHS = f"{TENANT} string, {VISIBILITY} string, n long, words long"
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms with their counts; a row without a term keeps its place by an empty term of count 0."""
+    """Terms with their counts, and for each row the empty term of count 0, which has its length."""
     for batch in batches:
         low = pc.utf8_lower(batch.column(3))
         rows, terms = [], []
@@ -43,9 +43,9 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(row, minlength=len(low)).astype(np.int32)
         both, tf = np.unique(row * max(1, len(names)) + code, return_counts=True)
         at, code = both // max(1, len(names)), both % max(1, len(names))
-        none = np.flatnonzero(size == 0)
-        term = pa.concat_arrays([names.take(pa.array(code)).cast(pa.string()), pa.array([""] * len(none), pa.string())])
-        at, tf = np.concatenate((at, none)), np.concatenate((tf, np.zeros(len(none), np.int64)))
+        every = np.arange(len(low))
+        term = pa.concat_arrays([names.take(pa.array(code)).cast(pa.string()), pa.array([""] * len(every), pa.string())])
+        at, tf = np.concatenate((at, every)), np.concatenate((tf, np.zeros(len(every), np.int64)))
         yield pa.record_batch([term, *(batch.column(k).take(pa.array(at)) for k in range(3)), pa.array(tf.astype(np.int32)), pa.array(size[at])], [f.split()[0] for f in POSTINGS.split(", ")])
 
 
@@ -59,10 +59,7 @@ def build(rows: DataFrame, text: str, path: str) -> None:
     made = known.mapInArrow(_postings, POSTINGS)
     made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
     spark = rows.sparkSession
-    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-    docs = stored.groupBy(*KEYS).agg(F.first("dl").alias("dl"))
-    docs.write.parquet(f"{path}/rows")
-    lengths = spark.read.schema(f"id long, {TENANT} string, {VISIBILITY} string, dl int").parquet(f"{path}/rows")
+    lengths = spark.read.schema(POSTINGS).parquet(f"{path}/postings").where("term = ''")
     lengths.groupBy(TENANT, VISIBILITY).agg(F.count("*").alias("n"), F.sum("dl").alias("words")).write.parquet(f"{path}/lengths")
 
 
@@ -83,15 +80,15 @@ class TextIndex:
         ``key`` asks for such structs as ids.
         """
         terms = query_terms(query)
-        postings = policy.read(self._read("postings", POSTINGS)).where(F.col("term").isin(*terms) if terms else F.lit(False))
+        every = policy.read(self._read("postings", POSTINGS))
+        postings = every.where(F.col("term").isin(*terms) if terms else F.lit(False))
         if ids is None:
             sizes = policy.read(self._read("lengths", LENGTHS)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
         else:
-            rows = policy.read(self._read("rows", f"id long, {TENANT} string, {VISIBILITY} string, dl int"))
             on = ["id", TENANT, VISIBILITY] if key else ["id"]
             wanted = ids.select(f"{key}.*").distinct() if key else ids.select(F.col("id").cast("long").alias("id")).distinct()
             postings = postings.join(wanted, on, "left_semi")
-            sizes = rows.join(wanted, on, "left_semi").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+            sizes = every.where("term = ''").join(wanted, on, "left_semi").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         found = F.struct(*KEYS).alias("id") if key else F.col("id")
         return scored_terms(_wide(postings.select(found, "term", "tf", "dl"), terms), postings, sizes, terms, k1, b)
 

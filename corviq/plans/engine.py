@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corviq.errors import EngineError
 from corviq.operators import ann
@@ -42,10 +43,16 @@ KEY = "_key"
 _AGG = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
 
 
+_SCHEMAS: dict[str, StructType] = {}  # by what marks a table's files, so that they are opened once for their schema
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table without tenant columns: every tenth key is another tenant's private row."""
-    key = F.expr(KEYS[name]).cast("long")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path, key = f"{sf_dir}/{name}.parquet", F.expr(KEYS[name]).cast("long")
+    mark = shared.mark(spark, path) or path
+    if mark not in _SCHEMAS:
+        _SCHEMAS[mark] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[mark]).parquet(path)
     other = key % 10 == 9
     return df.select(F.when(other, "tenant-b").otherwise("tenant-a").alias(TENANT), F.when(other, "private").otherwise("public").alias(VISIBILITY), key.alias("id"), "*")
 
@@ -79,6 +86,7 @@ class Engine:
         self.views: dict[str, Callable[[Engine], DataFrame]] = {}
         self.functions: dict[str, Callable[..., Column]] = {}
         self.mode: str | None = None
+        self.restoring = False  # while the store's views, functions, indexes and types are made again
         self.strategy = "filter"  # or "prefilter": two ways to the same visible rows
         self._seen: dict[tuple[str, int], str] = {}
         self.cursors: dict[str, Iterator] = {}
@@ -90,7 +98,12 @@ class Engine:
     @classmethod
     def on(cls, store, policy: Policy, client: planner.Client | None = None) -> Engine:
         """A session that reads and writes the tables of a store."""
-        return cls(store.raw, policy, store, client)
+        e = cls(store.raw, policy, store, client)
+        e.restoring = True
+        for text in store.catalog.get("objects", {}).values():
+            e.sql(text)
+        e.restoring = False
+        return e
 
     @property
     def spark(self) -> SparkSession:

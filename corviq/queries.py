@@ -493,10 +493,12 @@ def _(e):
 
 @query(
     "v6_batch_knn",
-    "WITH q(qid, v) AS (VALUES " + ", ".join(f"({q}, {_list(v)})" for q, v in PROBES.items()) + ") SELECT qid::BIGINT AS qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(embedding::DOUBLE[], v) DESC, id) AS rank FROM {embeddings}, q) WHERE rank <= 10",
+    "SELECT qid, id, rank FROM (SELECT q.id AS qid, v.id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.id) AS rank FROM {embeddings} v, {embeddings} q WHERE q.id % 20 = 0) WHERE rank <= 10",
 )
 def _(e):
-    return V.batch_knn(e.table("embeddings"), PROBES, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    """Every twentieth vector against all."""
+    v = e.table("embeddings")
+    return V.knn_join(v, v.where("id % 20 = 0"), 10).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 _SCALES = (

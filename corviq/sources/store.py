@@ -232,6 +232,15 @@ class Store:
         entry.setdefault("dropped", []).append(column)  # files keep it; a new column of the name rewrites them
         self._publish(name, None, keep=entry["parts"], entry=entry)
 
+    def put_object(self, name: str, text: str | None) -> None:
+        """Keeps the statement that makes a view, function, index or type, in the order they were made; None forgets it."""
+        new = self._copy()
+        objects = new.setdefault("objects", {})
+        objects.pop(name, None)
+        if text is not None:
+            objects[name] = text
+        self._put(new)
+
     def _entry(self, name: str) -> dict:
         try:
             return self._state()["tables"][name]
@@ -306,11 +315,20 @@ class Store:
         fixed = {TENANT: policy.tenant, VISIBILITY: visibility}
         columns = [F.lit(fixed[f.name]) if f.name in fixed else F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name)) for f in schema.fields]
         whole = df.select(*[c.cast(f.dataType).alias(f.name, metadata=f.metadata) for c, f in zip(columns, schema.fields, strict=True)])
-        digest = whole.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(*) as decimal(38,0)))").alias("sum"), F.expr("bit_xor(xxhash64(*))").alias("xor")).first()
-        self.insert(name, policy, whole, operation, visibility, on_conflict, key, frame=f"{digest['n']},{digest['sum']},{digest['xor']}")
+        part = uuid.uuid4().hex  # written once; the checks and the commit take it from there
+        path = f"{self.root}/{name}/{part}"
+        whole.write.parquet(path)
+        written = self.spark.read.schema(schema).parquet(path)
+        digest = written.agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(*) as decimal(38,0)))").alias("sum"), F.expr("bit_xor(xxhash64(*))").alias("xor")).first()
+        try:
+            self.insert(name, policy, written, operation, visibility, on_conflict, key, frame=f"{digest['n']},{digest['sum']},{digest['xor']}", part=part)
+        finally:
+            now = self.catalog if self.staged is None else self.staged
+            if part not in now["tables"][name]["parts"]:
+                self._fs.delete(self._path(path), True)
         return digest["n"]
 
-    def insert(self, name: str, policy: Policy, rows: Sequence[dict] | DataFrame, operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",), sets: dict[str, tuple] | None = None, frame: str = "") -> DataFrame:
+    def insert(self, name: str, policy: Policy, rows: Sequence[dict] | DataFrame, operation: str | None, visibility: str = "public", on_conflict: str = "error", key: Sequence[str] = ("id",), sets: dict[str, tuple] | None = None, frame: str = "", part: str | None = None) -> DataFrame:
         """Rows of one statement, all or none. ``on_conflict``: error, nothing, or update (by ``key`` among owned rows).
 
         ``rows`` may be a DataFrame of whole rows, as :meth:`load` makes them; it is read several times.
@@ -362,6 +380,8 @@ class Store:
             self._check_unique(name, written, few, others)
             if rest is not None:
                 self._publish(name, rest.unionByName(written), claim, keep)
+            elif part is not None and on_conflict == "error":
+                self._publish(name, None, claim, [*keep, part])
             else:
                 self._publish(name, written, claim, keep)
             return written

@@ -595,8 +595,10 @@ def run(engine, sql: str, params: tuple = (), data: str | None = None):
         engine.store.begin()
     try:
         out = None
-        for node in nodes:
+        for text, node in zip(texts, nodes, strict=True):
             out = Compiler(engine).query(node) if isinstance(node, Query) else st.execute(engine, node, data)
+            if isinstance(node, Statement) and node.kind in st.OBJECTS:
+                st.remember(engine, node, text, params)
     except BaseException:
         if whole:
             engine.store.rollback()

@@ -260,3 +260,27 @@ def test_store(spark, tmp_path):
     assert s.read("p", a).count() == 0 and s.read("p", b).count() == 1
     s.drop("c")
     assert code(lambda: s.raw("c")) == "42P01"
+
+
+def test_load(spark, tmp_path):
+    """Rows of a DataFrame: one part, defaults, the ledger, and nothing left behind by a load that is refused."""
+    from pyspark.sql import types as T
+
+    s, a = Store(spark, str(tmp_path)), Policy("a")
+    s.create("t", T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.StringType())]), defaults={"y": "none"}, check=["x < 100"])
+    rows = spark.range(50).selectExpr("id", "cast(id as string) as x")
+    assert s.load("t", a, rows, "l1") == 50 and [r["y"] for r in s.read("t", a).limit(2).collect()] == ["none"] * 2
+    parts = lambda: {p.name for p in (tmp_path / "t").iterdir()}
+    before = parts()
+    assert code(lambda: s.load("t", a, rows, "l1")) == "23505" and code(lambda: s.load("t", a, rows.limit(3), "l1")) == "22023"
+    assert code(lambda: s.load("t", a, rows, "l2")) == "23505" and code(lambda: s.load("t", a, spark.range(100, 103).selectExpr("id", "id as x"), "l3")) == "23514"
+    assert code(lambda: s.load("t", a, rows.withColumn("z", F.lit(1)), "l4")) == "42703" and code(lambda: s.load("t", a, rows, None)) == "23502"
+    assert parts() == before and len(s._entry("t")["parts"]) == 1
+    assert s.load("t", a, spark.range(40, 60).selectExpr("id", "99 as x"), "l5", on_conflict="update") == 20
+    assert s.read("t", a).where("x = 99").count() == 20 and s.read("t", a).count() == 60
+    assert s.load("t", a, spark.range(55, 65).selectExpr("id", "1 as x"), "l6", on_conflict="nothing") == 10
+    assert s.read("t", a).where("x = 99").count() == 20 and s.read("t", a).count() == 65
+    late = Store(spark, str(tmp_path))
+    s.add_column("t", T.StructField("z", T.StringType()))
+    assert code(lambda: late.drop("t")) == "40001" and late.raw("t").count() == 65  # the session sees what is there
+    assert code(lambda: late.add_column("t", T.StructField("w", T.StringType()))) == "40001" and "w" not in late.raw("t").columns

@@ -68,6 +68,62 @@ def test_refused(e, sql):
 def test_unordered_limit_stops_early(e):
     plan = e.sql("SELECT id FROM orders LIMIT 5")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+    plan = e.query({"op": "scan", "table": "orders", "columns": ["id"], "filter": {"o_totalprice": {"gt": 1000}}, "limit": 5})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "TakeOrdered" not in plan
+
+
+def test_nothing_is_cut_unasked(spark, e):
+    """More groups and rows than any limit that a caller may give."""
+    many = spark.range(25_000).selectExpr("id", "id as k")
+    e.create_view("many", lambda s: many)
+    assert e.query({"op": "aggregate", "table": "many", "group_by": ["k"], "items": {"n": {"count": "*"}}}).count() == 25_000
+    assert e.sql("SELECT k, COUNT(*) AS n FROM many GROUP BY k").count() == 25_000
+    assert e.sql("SELECT id FROM many ORDER BY id OFFSET 100").count() == 24_900
+    assert e.sql("SELECT id FROM many WHERE id >= 0 UNION ALL SELECT id FROM many WHERE id < 10").count() == 25_010
+    assert e.query({"op": "aggregate", "table": "many", "group_by": ["k"], "items": {"n": {"count": "*"}}, "limit": 10, "offset": 5, "order_by": [{"column": "k"}]}).collect()[0]["k"] == 5
+
+
+def test_messages_are_transactions(spark, tmp_path):
+    e = Engine.on(Store(spark, str(tmp_path)), Policy("a"))
+    e.sql("CREATE TABLE t (n INTEGER); INSERT INTO t (id, n) VALUES (1, 1) USING OPERATION_ID 'a'")
+    assert e.store.number == 1  # one commit
+    assert code(lambda: e.sql("UPDATE t SET n = 5 WHERE id = 1 USING OPERATION_ID 'b'; SELECT nope FROM t")) == "42703"
+    assert e.sql("SELECT n FROM t").first()["n"] == 1 and e.store.staged is None
+    assert e.sql("UPDATE t SET n = 5 WHERE id = 1 USING OPERATION_ID 'b'; SELECT n FROM t").first()["n"] == 5  # the operation is free again
+
+
+def test_objects_outlive_their_session(spark, tmp_path):
+    e = Engine.on(Store(spark, str(tmp_path)), Policy("a"))
+    e.sql("CREATE TYPE mood AS ENUM ('sad', 'ok'); CREATE TABLE t (m mood, n INTEGER); INSERT INTO t (id, m, n) VALUES (1, 'ok', 2), (2, 'sad', 3) USING OPERATION_ID 'a'")
+    e.sql("CREATE FUNCTION twice(x) AS x * 2; CREATE VIEW v AS SELECT id, m, twice(n) AS n FROM t; CREATE VIEW w AS SELECT n FROM v WHERE n > 4; CREATE INDEX i ON t USING scalar (n); CREATE VIEW gone AS SELECT id FROM t; DROP VIEW gone")
+    again = Engine.on(Store(spark, str(tmp_path)), Policy("a"))
+    assert [r["n"] for r in again.sql("SELECT n FROM w").collect()] == [6] and again.indexes == e.indexes and again.enums == e.enums
+    assert code(lambda: again.table("gone")) == "42P01" and code(lambda: again.sql("CREATE VIEW v AS SELECT id FROM t")) == "42P07"
+    assert [r["id"] for r in again.sql("SELECT id FROM t ORDER BY m LIMIT 2").collect()] == [2, 1]
+
+
+def test_safety_net_and_strategies(spark, tmp_path):
+    """Rows of another tenant that a broken reader lets through don't come out of a search."""
+    s = Store(spark, str(tmp_path))
+    a, b = Engine.on(s, Policy("a")), Engine.on(s, Policy("b"))
+    a.sql("CREATE TABLE v (embedding VECTOR(2), body TEXT); INSERT INTO v (id, embedding, body) VALUES (1, '[1,0]', 'red') USING OPERATION_ID 'x'")
+    b.visibility = "private"
+    b.sql("INSERT INTO v (id, embedding, body) VALUES (2, '[5,0]', 'red red') USING OPERATION_ID 'x'")
+    search = "SELECT id FROM v ORDER BY embedding <=> '[1,0]' LIMIT 5"
+    assert [r["id"] for r in a.sql(search).collect()] == [1] and [r["id"] for r in b.sql(search).collect()] == [2, 1]
+    a.strategy = "prefilter"
+    assert [r["id"] for r in a.sql(search).collect()] == [1] and a.sql("SELECT COUNT(*) AS n FROM v").first()["n"] == 1
+    a.strategy = "filter"
+
+    class Leaky(Policy):
+        def read(self, df):
+            return df
+
+    leaky = Engine.on(s, Leaky("a"))
+    assert leaky.table("v").count() == 2  # nothing is filtered while reading
+    assert [r["id"] for r in leaky.sql(search).collect()] == [1]
+    assert [r["id"] for r in leaky.query({"op": "search", "table": "v", "text": "red", "k": 5}).collect()] == [1]
+    assert [r["id"] for r in leaky.sql("SELECT id FROM v ORDER BY hybrid_rrf(embedding, '[1,0]', body, 'red') LIMIT 5").collect()] == [1]
 
 
 def test_filters_reach_the_scan(spark, e):
@@ -192,6 +248,10 @@ def test_inverted_file_recall(e):
     exact = {(r["qid"], r["id"]) for r in V.batch_knn(vectors, queries, 10).collect()}
     found = {(r["qid"], r["id"]) for r in ann.search(index, coarse, queries, 10, probes).collect()}
     assert len(found & exact) >= 0.9 * len(exact)
+    asked = vectors.where("id % 20 = 0")
+    for rows in (100_000, 7):  # lists whole, and dealt to several tasks
+        assert {(r["qid"], r["id"]) for r in ann.search_join(index, coarse, asked, 10, probes, rows=rows).collect()} == found
+        assert {(r["qid"], r["id"]) for r in V.knn_join(vectors, asked, 10, rows=rows * 10, block=rows).collect()} == exact
     assert ann.worthwhile(50, 100) and not ann.worthwhile(5, 100)
     assert np.array_equal(ann.fit(vectors).centroids, coarse.centroids)
 
