@@ -2,11 +2,16 @@
 
 Filter directions are all combinations of one random unit codeword per block of the (rotated) coordinates. Their number
 is a product, but a vector finds all directions beyond the threshold by list decoding: partial sums over the blocks are
-kept while the best rest can still lift them over it. Vectors meet in the filters they share and are verified there.
+kept while the best rest can still lift them over it. Vectors meet in the filters they share.
+
+What travels to the filters is a vector's id and a sketch of 128 bits, not the vector: only members of a filter whose
+sketch is near to another's are fetched, once a filter, and verified there. Filters are where most vectors meet others
+that aren't near, so most vectors are never fetched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
@@ -27,6 +32,7 @@ IN_FILTER = 8.0  # vectors expected in a filter
 BLOCKS = 2  # of a product code
 BLOCK = 512
 SLICE = 500  # vectors that are decoded at once
+SKETCH = 128  # hyperplanes
 
 
 @lru_cache(64)
@@ -95,12 +101,32 @@ def narrow(words: int, count: int) -> bool:
     return count * words**BLOCKS < 1 << 31
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float, count: int) -> Iterator[pa.RecordBatch]:
+@lru_cache(16)
+def _planes(dim: int) -> np.ndarray:
+    """The normals of the hyperplanes whose sides are a sketch, the same in every process."""
+    return np.random.default_rng([dim, 78]).standard_normal((dim, SKETCH))
+
+
+def sketch(unit: np.ndarray) -> np.ndarray:
+    """Two 64-bit words a row: on which side of each hyperplane it lies."""
+    bits = np.packbits(unit @ _planes(unit.shape[1]) > 0, axis=1)
+    return np.ascontiguousarray(bits).view(np.uint64)
+
+
+def farthest(least: float) -> int:
+    """How many bits of two sketches may differ. Vectors at cosine ``least`` differ in a bit with probability angle / pi;
+    six standard deviations and two bits above the mean lose about one link in ten million."""
+    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    return min(SKETCH, math.ceil(SKETCH * p + 6 * math.sqrt(SKETCH * p * (1 - p))) + 2)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], words: int, z: float, count: int) -> Iterator[pa.RecordBatch]:
+    """The sketch and the sorted filters of each vector."""
     number = np.int32 if narrow(words, count) else np.int64
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
-            values, offsets = _vectors(batch.column(batch.schema.get_field_index("v")))
+            values, offsets = _vectors(batch.column(2))
             dims = np.diff(offsets)
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
@@ -110,17 +136,38 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, z: float, count: in
                 row, key = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order].astype(number)
-                if not len(row):
-                    continue
-                ends = np.searchsorted(row, np.arange(len(rows) + 1))
-                taken = batch.take(pa.array(rows[row]))
-                # each posting carries all filters of its vector
-                lens = np.diff(ends)[row]
-                flat = np.concatenate(([0], np.cumsum(lens)))
-                within = np.arange(flat[-1]) - np.repeat(flat[:-1], lens)
-                lists = pa.ListArray.from_arrays(pa.array(flat, pa.int32()), pa.array(key[np.repeat(ends[row], lens) + within]))
-                where = key.astype(np.int64) + (dim << 44)  # vectors of different lengths never meet
-                yield pa.record_batch([pa.array(where), *taken.columns, lists], ["key", *batch.schema.names, "filters"])
+                ends = np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32)
+                bits = sketch(x).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key))
+                own = [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
+                yield pa.record_batch([*own, pa.array(np.full(len(rows), dim, np.int32)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], ["rep", "h", "dim", "s0", "s1", "filters"])
+
+
+def _runs(run: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, end, part or None) of the blocks of two rows or more in a table sorted by (key, i, j)."""
+    key, i, j, part = (run.column(n).to_numpy() for n in ("key", "i", "j", "part"))
+    cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+    several = ends - starts > 1
+    for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        yield a, b, None if i[a] == j[a] else part[a:b]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The members of each block that have another one whose sketch is near: only their vectors are fetched."""
+    for run in key_runs(batches, ["key", "i", "j"]):
+        bits = [run.column(n).to_numpy().view(np.uint64) for n in ("s0", "s1")]
+        kept = []
+        for a, b, part in _runs(run):
+            away = sum(np.bitwise_count(s[a:b][:, None] ^ s[a:b][None, :]).astype(np.uint16) for s in bits)
+            near = away <= most
+            if part is None:
+                np.fill_diagonal(near, False)
+            else:
+                near &= part[:, None] != part[None, :]
+            kept.append(a + np.flatnonzero(near.any(axis=1)))
+        if kept and sum(map(len, kept)):
+            yield from run.take(pa.array(np.concatenate(kept))).combine_chunks().to_batches()
 
 
 def _met_before(filters: list[np.ndarray], key: int) -> np.ndarray | None:
@@ -142,20 +189,18 @@ def _met_before(filters: list[np.ndarray], key: int) -> np.ndarray | None:
 
 def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for run in key_runs(batches, ["key", "i", "j"]):
-        key, i, j, part, rep, m = (run.column(n).to_numpy() for n in ("key", "i", "j", "part", "rep", "m"))
+        key, rep, m = (run.column(n).to_numpy() for n in ("key", "rep", "m"))
         values, at = _vectors(run.column("v"))
         filters, ft = _vectors(run.column("filters"))
-        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
         out: list[list[np.ndarray]] = [[], [], []]
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        for a, b, part in _runs(run):
             x = values[at[a] : at[b]].reshape(b - a, -1).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             near = x @ x.T >= least
-            if i[a] == j[a]:
+            if part is None:
                 np.fill_diagonal(near, False)
             else:
-                near &= part[a:b][:, None] != part[a:b][None, :]
+                near &= part[:, None] != part[None, :]
             if not near.any():
                 continue
             before = _met_before([filters[ft[r] : ft[r + 1]] for r in range(a, b)], int(key[a]) & (1 << 44) - 1)
@@ -196,24 +241,30 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = materialize(groups)
     n = max(1, groups.count())
     (words, z), count = plan(n), tables(n)
-    schema = f"key long, rep long, m long, v {exact}, filters array<{'int' if narrow(words, count) else 'long'}>"
-    postings = groups.select("rep", "m", "v").mapInArrow(lambda it: _postings(it, words, z, count), schema)
-    postings = materialize(postings)
-    dealt = blocked(postings, "key", "rep", block).select("key", "i", "j", "part", "rep", "m", "v", "filters")
-    found = materialize(dealt.mapInArrow(lambda it: _links(it, least), "rep long, links long, root long"))
-    release(postings)
+    schema = f"rep long, h long, dim int, s0 long, s1 long, filters array<{'int' if narrow(words, count) else 'long'}>"
+    lists = materialize(groups.select("rep", F.xxhash64("v").alias("h"), "v").mapInArrow(lambda it: _lists(it, words, z, count), schema))
+    # vectors of different lengths never meet
+    keys = F.transform("filters", lambda f: f.cast("long") + F.shiftleft(F.col("dim").cast("long"), 44))
+    postings = lists.select("rep", "s0", "s1", F.explode(keys).alias("key"))
+    dealt = blocked(postings, "key", "rep", block, lists).select("key", "i", "j", "part", "rep", "s0", "s1")
+    most = farthest(least)
+    members = materialize(dealt.mapInArrow(lambda it: _candidates(it, most), "key long, i int, j int, part int, rep long, s0 long, s1 long"))
+    held = groups.select("rep", F.xxhash64("v").alias("h"), "m", "v").join(lists.drop("dim"), ["rep", "h"])
+    whole = members.join(held, ["rep", "s0", "s1"]).select("key", "i", "j", "part", "rep", "m", "v", "filters")
+    whole = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialize(whole.mapInArrow(lambda it: _links(it, least), "rep long, links long, root long"))
+    release(lists, members)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    digest = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]  # 128 bits stand for a vector here
     named = (
-        groups.select("v", "rep", "m")
+        groups.select(*digest, "rep", "m")
         .join(links, "rep", "left")
         .join(parts, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("v").alias("_v"),
-            (F.coalesce("links", F.lit(0).cast("long")) + F.col("m") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+        .select("h", "g", (F.coalesce("links", F.lit(0).cast("long")) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    found = base.where(usable).join(named, F.col("v") == F.col("_v")).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    component = F.col("component_id")
+    found = base.where(usable).select("id", *digest).join(named, ["h", "g"]).select(F.col("id").alias(id_col), "n_links", component, (F.col("id") == component).alias("kept"))
+    # vectors that link with nothing share no key and need no join
     alone = base.where(~usable).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    return found.unionByName(alone)  # vectors that link with nothing share no key and need no join
+    return found.unionByName(alone)
