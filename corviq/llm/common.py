@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,36 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from corviq.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may run without it and then gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="corviq-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: A written table gets a file per this many bytes of what it is made of (but one per core at least).
 FILE_BYTES = 32 << 20
 _WRITTEN: dict[str, None] = {}  # folders of this process that weren't released, in order
 
 
-def _hadoop(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def materialize(df: DataFrame, *bases: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage is cut, lost executors lose nothing.
 
@@ -51,15 +31,15 @@ def materialize(df: DataFrame, *bases: DataFrame) -> DataFrame:
     files instead of one per shuffle partition. What isn't released goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corviq-{uuid.uuid4().hex}"
+    path = f"{shared.folder(spark)}/corviq-{uuid.uuid4().hex}"
     if bases:
         size = 0
         for base in bases:
-            fs, where = _hadoop(spark, base._corviq_path)
+            fs, where = shared.hadoop(spark, base._corviq_path)
             size += fs.getContentSummary(where).getLength()
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
     df.write.parquet(path)
-    fs, where = _hadoop(spark, path)
+    fs, where = shared.hadoop(spark, path)
     fs.deleteOnExit(where)
     _WRITTEN[path] = None
     out = spark.read.schema(df.schema).parquet(path)
@@ -74,7 +54,7 @@ def release(*tables: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    fs, where = _hadoop(spark, path)
+    fs, where = shared.hadoop(spark, path)
     fs.delete(where, True)
     fs.cancelDeleteOnExit(where)
     _WRITTEN.pop(path, None)
@@ -90,9 +70,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(out._corviq_path)
         return out
 
-    yield keep
-    for path in [p for p in _WRITTEN if p not in before and p not in kept]:
-        _delete(spark, path)
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+            _delete(spark, path)
 
 
 def with_fields(schema: T.StructType, *added: tuple[str, str]) -> T.StructType:

@@ -61,12 +61,15 @@ _UPPER = r"[^\W\d_a-zа-яёα-ωß-öø-ÿ]"
 _CAP = rf"{_UPPER}(?:{_WORD}|['’]{_UPPER}){_WORD}*(?:['’-]{_WORD}+)*"
 _TITLE = "|".join(TITLES)
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}")
+_GROUP = r"(?! (?:\d{1,3}\.){3}\d)[ .-]?"
 NUMERIC = re.compile(
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,5}){1,5}|\(\d{2,5}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,5}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]))"
+    # digits in groups, none of which begins an address after a blank; numbers of zone 1 have a length of their own
+    r"|(?P<phone>(?<![\w.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)[ .-]?)?\d{{2,4}}(?:{_GROUP}\d{{2,5}}){{1,5}}|\(\d{{2,5}}\)[ .-]?\d{{3,4}}(?:{_GROUP}\d{{2,5}}){{1,3}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?![\w]))"
 )
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|::)[0-9A-Fa-f:]{1,38}(?![\w:])")
 BORN = re.compile(

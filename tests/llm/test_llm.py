@@ -127,9 +127,19 @@ def test_types_and_formats():
     for street in ("12 Old Mill Road", "Hauptstraße 7b", "5 rue de la Paix", "Calle de Alcalá, 42"):
         made = replaced(f"at {street}.")
         assert surrogates.find(made)[0][2] == "street" and made != f"at {street}." and replaced(f"AT {street.upper()}") is not None
+    kinds = lambda t: [k for _, _, k, _ in surrogates.find(t)]
+    assert kinds("+1 (826) 555-4081 190.137.223.204 du") == ["phone", "ip"] and kinds("+49 30 1234567 8.8.8.8") == ["phone", "ip"] and kinds("(030) 123 4567 4111111111111111") == ["phone", "card"]
     assert surrogates.find("4111 1111 1111 1112") == [] and replaced("token = \"deadbeef99\"")[9:].strip('"').islower()
 
 
+def test_surrogates_in_long_texts(spark):
+    text = "\n".join(f"line {k}: mail{k % 50}@ab.example.com and Herr Kunze {'x' * (k % 30)}" for k in range(20_000))
+    rows = surrogates.pseudonymize(docs(spark, [text, text]), KEY).collect()
+    assert rows[0]["text"] == rows[1]["text"] and rows[0]["n_entities"] == 40_000
+    assert "Kunze" not in rows[0]["text"] and len(rows[0]["text"].split("\n")) == 20_000
+    assert len({w for w in rows[0]["text"].split() if "@" in w}) == 50
+
+
 def test_surrogates_stay_distinct(spark):
     """A space of a hundred forms, with ninety entities: collisions must be resolved, also against real entities."""
     df = docs(spark, [f"Herr {n}" for n in "Ab Cd Ef Gh".split()] + [f"{a}{b}.x@ab.example.com" for a in "abcdefghij" for b in "klmnopqrs"] + [f"{c}@ab.example.com" for c in "abcdefghijklmnopqrst"])
@@ -619,6 +629,21 @@ def test_vectors(spark):
     assert capfilters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_sketches_keep_links():
+    """Of pairs at the least cosine none is lost by its sketch, and of unrelated ones hardly any passes."""
+    rng = np.random.default_rng(4)
+    for dim in (8, 64, 300):
+        a = rng.standard_normal((20_000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal(a.shape)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        near = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        away = np.bitwise_count(capfilters.sketch(a) ^ capfilters.sketch(near)).sum(axis=1)
+        assert away.max() <= capfilters.farthest(0.95) < 40
+        other = np.bitwise_count(capfilters.sketch(a) ^ capfilters.sketch(a[::-1])).sum(axis=1)
+        assert (other <= capfilters.farthest(0.95)).mean() < (0.1 if dim == 8 else 0.001)
+
+
 @pytest.mark.parametrize("n", [500, 50_000, 5_000_000])
 def test_filter_recall(n):
     rng = np.random.default_rng(n)
@@ -701,6 +726,36 @@ def test_packing_is_tight(spark, real):
     assert len(check_sequences(rows)) <= -(-sum(r["length"] for r in rows) // 1024) + 1
 
 
+def test_packing_edges(spark):
+    """Null ids, repeated rows, a very long text, clashing names: each row's pieces have places of their own."""
+    long = "word and " * 40_000
+    df = docs(spark, [long, "same", "same", None]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("length", F.lit("l")).withColumn("rank", F.lit(1))
+    rows = packing.pack(df).collect()
+    check_sequences(rows)
+    assert {r["id"] for r in rows} == {None} and sum(r["piece"] == 0 for r in rows) == 4
+    assert sum(r["length"] for r in rows if r["length"] == 1024) == 1024 * (sum(r["length"] for r in rows) // 1024)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_place_every_piece(seed):
+    """Whatever the slack, all pieces are placed, no bin is too full, and trying slacks never costs a bin."""
+    import random
+
+    r = random.Random(seed)
+    counts = {n: r.randint(1, 60) for n in r.sample(range(1, 101), 25)}
+    own = sum(t for _, t in packing.bins(counts, 100, (0,)))
+    plan = packing.bins(counts, 100)
+    placed = {}
+    for combination, times in plan:
+        assert sum(n * k for n, k in combination.items()) <= 100
+        for n, k in combination.items():
+            placed[n] = placed.get(n, 0) + k * times
+    assert placed == counts and sum(t for _, t in plan) <= own
+    for slack in (1, 5, 20):  # a slack leaves a bin short by that much at most, if the fullest combination fills it
+        full, short = (sum(n * k for n, k in packing.fullest(counts, 100, s).items()) for s in (0, slack))
+        assert short >= min(full, 100 - slack)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fullest_against_brute_force(seed):
     import itertools
@@ -790,6 +845,17 @@ def test_targets():
     assert mixing.targets({"a": 0}) == {"a": 0} and mixing.targets({}) == {}
 
 
+def test_mix_edges(spark):
+    """A very long text, nulls in every column, equal sources and clashing names."""
+    rows = [(1, "w " * 300_000, "a", 1), (2, "w", "b", 2), (None, None, None, None), (2, "w", "b", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copies int")
+    got = mixing.mix(df).collect()
+    assert len(got) == 4 and sum(r["mix_size"] for r in got) == 300_002
+    assert len({(r["mix_copies"], r["mix_target"]) for r in got if r["doc_id"] == 2}) == 1
+    kept = mixing.mix(df, prefix="other_").collect()
+    assert sorted(str(r["mix_copies"]) for r in kept) == ["1", "2", "2", "None"]
+
+
 def test_mix(spark):
     rows = [(k, " ".join(["w"] * (k % 7)), [None, "b", "a"][k % 3], "e") for k in range(900)] + [(5, "w w", "a", "e"), (None, "w", "b", "e"), (7, None, "z", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_target string")
