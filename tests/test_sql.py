@@ -100,6 +100,8 @@ def test_objects_outlive_their_session(spark, tmp_path):
     assert [r["n"] for r in again.sql("SELECT n FROM w").collect()] == [6] and again.indexes == e.indexes and again.enums == e.enums
     assert code(lambda: again.table("gone")) == "42P01" and code(lambda: again.sql("CREATE VIEW v AS SELECT id FROM t")) == "42P07"
     assert [r["id"] for r in again.sql("SELECT id FROM t ORDER BY m LIMIT 2").collect()] == [2, 1]
+    again.sql("DROP TABLE t")
+    assert code(lambda: Engine.on(Store(spark, str(tmp_path)), Policy("a")).sql("SELECT n FROM w")) == "42P01"
 
 
 def test_safety_net_and_strategies(spark, tmp_path):
