@@ -200,10 +200,10 @@ def _(e):
     return e.sql("SELECT id FROM nation WHERE visible() AND n_regionkey = 1")
 
 
-@query("f24_jsonb", """SELECT id, '{"a":[1,' || coalesce(json_extract(props, '$.page')::VARCHAR, 'null') || '],"z":' || id || '}' AS doc FROM {events}""")
+@query("f24_jsonb", """SELECT id, '{"a":[1,' || coalesce(json_extract(props, '$.k')::VARCHAR, 'null') || '],"z":' || id || '}' AS doc FROM {events}""")
 def _(e):
     """Canonical text: keys sorted, no blanks."""
-    page = F.coalesce(S.json_text(F.col("props"), "$.page"), F.lit("null"))
+    page = F.coalesce(S.json_text(F.col("props"), "$.k"), F.lit("null"))
     doc = F.concat(F.lit('{ "z" : '), "id", F.lit(' , "a": [ 1, '), page, F.lit(" ] }"))
     return e.table("events").select("id", S.jsonb(doc).alias("doc"))
 

@@ -167,22 +167,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-UNROLLED = 32  # terms of a sum that are written out
-
-
-def dot_with(v: Column, query: list[float]) -> Column:
-    """The inner product with a query that is known when the plan is made: sums written out, which stay in generated
-    code, where lambdas over arrays are interpreted. A vector that is shorter or longer than the query gives null."""
-    total = None
-    for at in range(0, len(query), UNROLLED):
-        part = None
-        for k, y in enumerate(query[at : at + UNROLLED], at):
-            term = F.get(v, F.lit(k)).cast("double") * F.lit(float(y))
-            part = term if part is None else part + term
-        total = part if total is None else total + part
-    return F.when(F.size(v) == len(query), total)
-
-
 def vec_sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
 

@@ -11,12 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corviq.operators.retrieval import RUN, WORD, query_terms, scored_terms, token_list
+from corviq.operators.retrieval import RUN, WORD, bm25_score, query_terms, token_list
 from corviq.policy import TENANT, VISIBILITY, Policy
 
+MOST_KEPT = 100_000  # counts of terms in the driver's memory
+_KEPT: dict[tuple, dict[str, tuple[int, int]]] = {}
+FORMAT = 2  # of the tables, in their names: another one is built anew
 KEYS = ("id", TENANT, VISIBILITY)
 POSTINGS = f"term string, id long, {TENANT} string, {VISIBILITY} string, tf int, dl int"
-LENGTHS = f"{TENANT} string, {VISIBILITY} string, n long, words long"
+TERMS = f"term string, {TENANT} string, {VISIBILITY} string, n long, words long"
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +53,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build(rows: DataFrame, text: str, path: str) -> None:
-    """Writes the postings of ``rows`` (id, tenant, visibility, text) and their lengths by tenant and visibility.
+    """Writes the postings of ``rows`` (id, tenant, visibility, text), and by tenant and visibility the documents of each
+    term; the empty term stands for all of them, with their words.
 
     Postings are partitioned and sorted by term and id, so that a term's rows lie together and the Parquet statistics
     skip all others; a term of many rows has many partitions. Rows without a text are no documents.
@@ -59,8 +63,9 @@ def build(rows: DataFrame, text: str, path: str) -> None:
     made = known.mapInArrow(_postings, POSTINGS)
     made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
     spark = rows.sparkSession
-    lengths = spark.read.schema(POSTINGS).parquet(f"{path}/postings").where("term = ''")
-    lengths.groupBy(TENANT, VISIBILITY).agg(F.count("*").alias("n"), F.sum("dl").alias("words")).write.parquet(f"{path}/lengths")
+    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    counts = stored.groupBy("term", TENANT, VISIBILITY).agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("words"))
+    counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
 
 @dataclass(frozen=True)
@@ -73,6 +78,16 @@ class TextIndex:
     def _read(self, what: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{p}/{what}" for p in self.paths])
 
+    def _counts(self, policy: Policy, terms: Sequence[str]) -> dict[str, tuple[int, int]]:
+        """(documents, words) of each term among what ``policy`` lets through. Postings never change, so counts are kept."""
+        if sum(map(len, _KEPT.values())) > MOST_KEPT:
+            _KEPT.clear()
+        known = _KEPT.setdefault((self.paths, policy), {})
+        if new := [t for t in terms if t not in known]:
+            found = _collected(policy.read(self._read("terms", TERMS)).where(F.col("term").isin(*new)))
+            known.update({t: found.get(t, (0, 0)) for t in new})
+        return known
+
     def bm25(self, policy: Policy, query: str, ids: DataFrame | None = None, key: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(id, score > 0), as ``retrieval.bm25`` gives them for the rows that ``policy`` lets through.
 
@@ -81,16 +96,26 @@ class TextIndex:
         """
         terms = query_terms(query)
         every = policy.read(self._read("postings", POSTINGS))
-        postings = every.where(F.col("term").isin(*terms) if terms else F.lit(False))
+        if not terms:
+            found = F.struct(*KEYS).alias("id") if key else F.col("id")
+            return every.select(found, F.lit(0.0).alias("score")).where(F.lit(False))
         if ids is None:
-            sizes = policy.read(self._read("lengths", LENGTHS)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+            seen = self._counts(policy, ("", *terms))
         else:
             on = ["id", TENANT, VISIBILITY] if key else ["id"]
             wanted = ids.select(f"{key}.*").distinct() if key else ids.select(F.col("id").cast("long").alias("id")).distinct()
-            postings = postings.join(wanted, on, "left_semi")
-            sizes = every.where("term = ''").join(wanted, on, "left_semi").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        found = F.struct(*KEYS).alias("id") if key else F.col("id")
-        return scored_terms(_wide(postings.select(found, "term", "tf", "dl"), terms), postings, sizes, terms, k1, b)
+            every = every.join(wanted, on, "left_semi")
+            counted = every.where(F.col("term").isin("", *terms)).withColumn("n", F.lit(1)).withColumn("words", F.when(F.col("term") == "", F.col("dl")))
+            seen = _collected(counted)
+        n, words = seen.get("", (0, 0))
+        wide = _wide(every.where(F.col("term").isin(*terms)).select(F.struct(*KEYS).alias("id") if key else F.col("id"), "term", "tf", "dl"), terms)
+        score = bm25_score(F.lit(n), F.lit(words / n if n else 0.0), [F.lit(seen.get(t, (0, 0))[0]) for t in terms], k1, b)
+        return wide.select("id", score.alias("score")).where("score > 0")
+
+
+def _collected(counted: DataFrame) -> dict[str, tuple[int, int]]:
+    """A row a term reaches the driver."""
+    return {r["term"]: (r["n"], r["words"]) for r in counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
 
 
 def _wide(postings: DataFrame, terms: Sequence[str]) -> DataFrame:

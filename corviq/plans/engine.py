@@ -170,13 +170,13 @@ class Engine:
             return None
         if self.store is not None:
             parts = self.store._entry(table)["parts"]
-            paths = [f"{self.store.root}/_text/{table}/{p}/{body}" for p in parts]
+            paths = [f"{self.store.root}/_text/{table}/{p}/{body}-{sparse.FORMAT}" for p in parts]
             for part, path in zip(parts, paths, strict=True):
-                if not shared.exists(self.spark, f"{path}/lengths/_SUCCESS"):
+                if not shared.exists(self.spark, f"{path}/terms/_SUCCESS"):
                     shared.replace(self.spark, path, lambda at, p=part: sparse.build(self.store._read(table, [p]), body, at))
         elif self.files is not None and (mark := self.files(table)) is not None:
-            path = f"{shared.folder(self.spark)}/corviq-text/{mark}-{body}"
-            if not shared.exists(self.spark, f"{path}/lengths/_SUCCESS"):
+            path = f"{shared.folder(self.spark)}/corviq-text/{mark}-{body}-{sparse.FORMAT}"
+            if not shared.exists(self.spark, f"{path}/terms/_SUCCESS"):
                 shared.replace(self.spark, path, lambda at: sparse.build(self.resolve(table), body, at))
             paths = [path]
         else:

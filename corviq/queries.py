@@ -246,9 +246,11 @@ def _(e):
     return e.table("embeddings").select("id", F.round(S.vec_norm(v), 6).alias("norm"), F.round(S.vec_sum(v), 6).alias("total"), F.round(S.dot(v, p), 6).alias("dot"), F.round(S.cosine(v, p), 6).alias("cosine"))
 
 
-@query("f23_json_path", "SELECT id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref FROM {events}")
+@query("f23_json_path", "SELECT id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.ref') AS ref, (json_extract(props, '$.k')::INTEGER + 1)::VARCHAR AS second FROM {events}")
 def _(e):
-    return e.table("events").select("id", S.json_text(F.col("props"), "$.page").alias("page"), S.json_text(F.col("props"), "$.ref").alias("ref"))
+    """An object's key, one that isn't there, and an array's element."""
+    deep = F.concat(F.lit('{"a": [{"b": 1}, '), S.json_text(F.col("props"), "$.k").cast("int") + 1, F.lit("]}"))
+    return e.table("events").select("id", S.json_text(F.col("props"), "$.k").alias("k"), S.json_text(F.col("props"), "$.ref").alias("ref"), S.json_text(deep, "$.a[1]").alias("second"))
 
 
 # -- aggregates ------------------------------------------------------------------------------------------------------

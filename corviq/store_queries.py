@@ -431,12 +431,12 @@ def _(e, d):
     return other.table("nation").select("id", "n_name", F.lit(n).cast("long").alias("touched"))
 
 
-@stored("p14_json", "SELECT event_id AS id, 'eq' AS how FROM events WHERE json_extract_string(props, '$.page') = '3' UNION ALL SELECT event_id, 'in' FROM events WHERE json_extract_string(props, '$.page') IN ('3', '5')")
+@stored("p14_json", "SELECT event_id AS id, 'eq' AS how FROM events WHERE json_extract_string(props, '$.k') = '3' UNION ALL SELECT event_id, 'in' FROM events WHERE json_extract_string(props, '$.k') IN ('3', '5')")
 def _(e, d):
     """JSON compares by value: the order of keys and blanks don't matter."""
     e.sql("CREATE TABLE ev (props JSON, own JSONB)")
     events = e.spark.read.parquet(f"{d}/events.parquet")
-    page = F.get_json_object("props", "$.page")
+    page = F.get_json_object("props", "$.k")
     e.store.load("ev", e.policy, events.select(F.col("event_id").alias("id"), F.concat(F.lit('{"z": 1, "page" :'), page, F.lit("}")).alias("props"), F.concat(F.lit('{"page":'), page, F.lit(',"z":1}')).alias("own")), "load")
     one = e.sql("""SELECT id FROM ev WHERE props = '{ "page":3,"z":1 }' AND own = '{"z":1, "page": 3}'""")
     two = e.table("ev").where(_predicate(e, {"own": {"in": ['{"z":1,"page":3}', '{"page":5, "z":1}']}})).select("id")

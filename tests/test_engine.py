@@ -130,15 +130,23 @@ def test_hashing_embedder_in_batches():
     assert ingest.hashing(4)(["", " "]).tolist() == [[0.0] * 4] * 2
 
 
-def test_written_out_products(spark):
+def test_scores_of_any_vector(spark):
+    """Null, short, long and odd vectors have no score; equal vectors have equal ones wherever they stand."""
     import numpy as np
 
     rng = np.random.default_rng(2)
-    for dim in (1, 31, 64, 100):
-        x, q = rng.standard_normal(dim).astype(np.float32), rng.standard_normal(dim).tolist()
-        df = spark.createDataFrame([([float(v) for v in x],), ([1.0] * (dim + 1),), (None,)], "v array<float>")
-        got = [r[0] for r in df.select(S.dot_with(F.col("v"), q)).collect()]
-        assert got[0] == pytest.approx(float(x.astype(float) @ np.array(q))) and got[1:] == [None, None]
+    q = rng.standard_normal(64).tolist()
+    same = [float(np.float32(v)) for v in rng.standard_normal(64)]
+    rows = [(k, same, "x") for k in range(500, 0, -1)] + [(1000, None, "x"), (1001, [1.0] * 63, "x"), (1002, [1.0] * 65, "x"), (1003, [float("nan")] * 64, "x"), (1004, [1.0] * 63 + [None], "x"), (1005, [], "x")]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, note string").repartition(3)
+    got = V.scored(df, q, keep=("id", "note")).collect()
+    assert len(got) == 500 and len({r["score"] for r in got}) == 1 and got[0]["score"] == pytest.approx(float(np.array(same) @ np.array(q))) and got[0]["note"] == "x"
+    assert [r["id"] for r in V.knn(df, q, 5).collect()] == [1, 2, 3, 4, 5]
+    some = df.where("id < 1000")
+    assert [r["id"] for r in V.batch_knn(some, {7: q}, 5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    asked = spark.createDataFrame([(7, q)], "id long, embedding array<double>")
+    assert [r["id"] for r in V.knn_join(some, asked, 5, rows=50).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    assert V.scored(df.limit(0), q).count() == 0
 
 
 def test_postings_give_the_same_scores(spark, tmp_path):
