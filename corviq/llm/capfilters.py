@@ -30,7 +30,7 @@ TABLES = 4  # independent rotations and codes, up to 100,000 vectors: what one m
 PER_TABLE = 4.0  # filters a vector is expected to be in, of one table
 IN_FILTER = 8.0  # vectors expected in a filter
 BLOCKS = 2  # of a product code
-BLOCK = 512
+BLOCK = 1024
 SLICE = 500  # vectors that are decoded at once
 SKETCH = 128  # hyperplanes
 
