@@ -24,20 +24,32 @@ FILE_BYTES = 32 << 20
 _WRITTEN: dict[str, None] = {}  # folders of this process that weren't released, in order
 
 
+def few_files(df: DataFrame, *bases: DataFrame) -> DataFrame:
+    """``df`` in at most a partition per ``FILE_BYTES`` of ``bases``, which bound what it can have (but one per core).
+
+    Adaptive execution does that too where it may; each file that a local file system writes costs a process or two.
+    Sizes are those of written tables, else Spark's estimates, which are the files' for a scan and large for joins.
+    """
+    spark, size = df.sparkSession, 0
+    for base in bases:
+        path = getattr(base, "_corviq_path", None)
+        if path:
+            fs, where = shared.hadoop(spark, path)
+            size += fs.getContentSummary(where).getLength()
+        else:
+            size += int(str(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 30))
+
+
 def materialize(df: DataFrame, *bases: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage is cut, lost executors lose nothing.
 
-    ``bases``: written tables whose bytes bound what ``df`` can have. Where they are small, ``df`` is written in few
-    files instead of one per shuffle partition. What isn't released goes when the driver ends.
+    ``bases``: see :func:`few_files`. What isn't released goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared.folder(spark)}/corviq-{uuid.uuid4().hex}"
     if bases:
-        size = 0
-        for base in bases:
-            fs, where = shared.hadoop(spark, base._corviq_path)
-            size += fs.getContentSummary(where).getLength()
-        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+        df = few_files(df, *bases)
     df.write.parquet(path)
     fs, where = shared.hadoop(spark, path)
     fs.deleteOnExit(where)

@@ -244,7 +244,7 @@ def _without(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str, coun
     by, row, mine = (fresh(n, docs.columns) for n in ("_spot_id", "_spot_row", "_spots"))
     spots = spots.select(F.col("id").alias(by), F.col("row").alias(row), F.col("spots").alias(mine)).hint("merge")
     own = F.col(id_col).cast("long").eqNullSafe(F.col(by)) & (F.xxhash64(text_col) == F.col(row))
-    joined = materialize(docs.select(*keep).join(spots, own, "left").drop(by, row))
+    joined = materialize(docs.select(*keep).join(spots, own, "left").drop(by, row), docs)
     release(*done)
     bodies = joined.where(F.col(mine).isNotNull()).select(text_col, mine).mapInArrow(lambda it: _bodies(it, text_col, mine), "h long, g long, body binary")
     differ = bodies.groupBy("h", "g").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a != b").select("h", "g")

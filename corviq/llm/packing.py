@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corviq.llm.common import bound_batches, materialize, slices
+from corviq.llm.common import bound_batches, few_files, materialize, slices
 
 EOS = 2
 _ENCODERS: dict[str, object] = {}
@@ -216,4 +216,4 @@ def pack(
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "salt"]).select(*pieces.columns, (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(lambda it: _placed(it, slots), schema + ", sequence_id long, offset long")
+    return few_files(ranked, pieces).mapInArrow(lambda it: _placed(it, slots), schema + ", sequence_id long, offset long")
