@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corviq.llm import langid, linechunks, mixing, packing, simhash
-from corviq.llm.common import fresh, scratch, table
+from corviq.llm.common import few_files, fresh, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +35,11 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64("text") == F.col("_keep_hash"))
     single = docs.join(kept.where("_copies = 1").hint("merge"), same, "left_semi")
     if kept.where("_copies > 1").isEmpty():
-        return single.select(*docs.columns)
+        return few_files(single.select(*docs.columns), docs)
     several = docs.join(kept.where("_copies > 1").hint("merge"), same, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     first = several.groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
-    return single.select(*docs.columns).union(first.select("_row.*").select(*docs.columns))
+    return few_files(single.select(*docs.columns).union(first.select("_row.*").select(*docs.columns)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
