@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: A written table gets a file per this many bytes of what it is made of (but one per core at least).
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 _WRITTEN: dict[str, None] = {}  # folders of this process that weren't released, in order
 
 
