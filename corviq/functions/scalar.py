@@ -1,4 +1,4 @@
-"""Scalar functions with the dialect's semantics, as Column expressions that stay in generated code."""
+"""Scalar functions with the dialect's semantics, as Column expressions: in the JVM, and but for lambdas over arrays in generated code."""
 
 from __future__ import annotations
 
