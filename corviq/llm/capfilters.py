@@ -121,12 +121,12 @@ def farthest(least: float) -> int:
 
 
 def _lists(batches: Iterator[pa.RecordBatch], words: int, z: float, count: int) -> Iterator[pa.RecordBatch]:
-    """The sketch and the sorted filters of each vector."""
+    """Each vector with its sketch and its sorted filters."""
     number = np.int32 if narrow(words, count) else np.int64
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
-            values, offsets = _vectors(batch.column(2))
+            values, offsets = _vectors(batch.column(batch.schema.get_field_index("v")))
             dims = np.diff(offsets)
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
@@ -139,8 +139,8 @@ def _lists(batches: Iterator[pa.RecordBatch], words: int, z: float, count: int)
                 ends = np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32)
                 bits = sketch(x).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key))
-                own = [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
-                yield pa.record_batch([*own, pa.array(np.full(len(rows), dim, np.int32)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], ["rep", "h", "dim", "s0", "s1", "filters"])
+                own = batch.take(pa.array(rows)).columns
+                yield pa.record_batch([*own, pa.array(np.full(len(rows), dim, np.int32)), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], [*batch.schema.names, "dim", "s0", "s1", "filters"])
 
 
 def _runs(run: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -224,8 +224,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Equal vectors are collapsed first and counted. Every link has cosine >= ``least``, computed in
     double precision; a link is found if its ends share a filter, which isn't certain: of links at cosine 0.955 about
-    two in a thousand were missed at 50,000 vectors of 64 components, fewer of nearer ones (README has the figures). Each link is counted in the first filter that both ends share,
-    so no table of pairs is made: blocks emit one row per vector. Rows with a null id link with nothing. Rows that
+    two in a thousand were missed at 50,000 vectors of 64 components, fewer of nearer ones (README has the figures).
+    Each link is counted in the first filter that both ends share, so no table of pairs is made: blocks emit one row per
+    vector. Rows with a null id link with nothing. Rows that
     repeat an id are vectors of their own, but share links and component. Labels and other columns aren't looked at.
     Choose parameters by the number of vectors: filters grow with it, so that their occupancy stays the same.
     """
@@ -237,28 +238,26 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     whole = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * 0.0)
     some = F.exists(v, lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & ~F.exists(v, lambda x: x.isNull()) & (whole == 0.0) & some, F.lit(False))
-    groups = base.where(usable).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
-    groups = materialize(groups)
-    n = max(1, groups.count())
+    n = max(1, base.where(usable).count())
     (words, z), count = plan(n), tables(n)
-    schema = f"rep long, h long, dim int, s0 long, s1 long, filters array<{'int' if narrow(words, count) else 'long'}>"
-    lists = materialize(groups.select("rep", F.xxhash64("v").alias("h"), "v").mapInArrow(lambda it: _lists(it, words, z, count), schema))
+    digest = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]  # 128 bits stand for a vector where it needn't travel
+    groups = base.where(usable).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m")).select("rep", "m", *digest, "v")
+    schema = f"rep long, m long, h long, g long, v {exact}, dim int, s0 long, s1 long, filters array<{'int' if narrow(words, count) else 'long'}>"
+    held = materialize(groups.mapInArrow(lambda it: _lists(it, words, z, count), schema))
     # vectors of different lengths never meet
     keys = F.transform("filters", lambda f: f.cast("long") + F.shiftleft(F.col("dim").cast("long"), 44))
-    postings = lists.select("rep", "s0", "s1", F.explode(keys).alias("key"))
-    dealt = blocked(postings, "key", "rep", block, lists).select("key", "i", "j", "part", "rep", "s0", "s1")
+    postings = held.select("rep", "s0", "s1", F.explode(keys).alias("key"))
+    dealt = blocked(postings, "key", "rep", block, held).select("key", "i", "j", "part", "rep", "s0", "s1")
     most = farthest(least)
     members = materialize(dealt.mapInArrow(lambda it: _candidates(it, most), "key long, i int, j int, part int, rep long, s0 long, s1 long"))
-    held = groups.select("rep", F.xxhash64("v").alias("h"), "m", "v").join(lists.drop("dim"), ["rep", "h"])
-    whole = members.join(held, ["rep", "s0", "s1"]).select("key", "i", "j", "part", "rep", "m", "v", "filters")
+    whole = members.join(held.select("rep", "s0", "s1", "m", "v", "filters"), ["rep", "s0", "s1"]).select("key", "i", "j", "part", "rep", "m", "v", "filters")
     whole = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = materialize(whole.mapInArrow(lambda it: _links(it, least), "rep long, links long, root long"))
-    release(lists, members)
+    release(members)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    digest = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]  # 128 bits stand for a vector here
     named = (
-        groups.select(*digest, "rep", "m")
+        held.select("h", "g", "rep", "m")
         .join(links, "rep", "left")
         .join(parts, F.col("rep") == F.col("node"), "left")
         .select("h", "g", (F.coalesce("links", F.lit(0).cast("long")) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -644,6 +644,14 @@ def test_sketches_keep_links():
         assert (other <= capfilters.farthest(0.95)).mean() < (0.1 if dim == 8 else 0.001)
 
 
+def test_equal_vectors_by_value(spark):
+    """Zero has one value, whatever its sign; a third of the rows being one vector is a group like any other."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [0.0, 1.0]), *((k, [3.0, 4.0]) for k in range(10, 400))]
+    got = {r["vec_id"]: r for r in capfilters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == 393 and (got[1]["n_links"], got[2]["n_links"], got[2]["component_id"], got[3]["n_links"]) == (1, 1, 1, 0)
+    assert {(r["n_links"], r["component_id"], r["kept"]) for k, r in got.items() if k > 10} == {(389, 10, False)} and got[10]["kept"]
+
+
 @pytest.mark.parametrize("n", [500, 50_000, 5_000_000])
 def test_filter_recall(n):
     rng = np.random.default_rng(n)
