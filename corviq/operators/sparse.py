@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corviq.operators.retrieval import RUN, WORD, bm25_score, query_terms, token_list
 from corviq.policy import TENANT, VISIBILITY, Policy
+from corviq.sources import shared
 
 MOST_KEPT = 100_000  # counts of terms in the driver's memory
 _KEPT: dict[tuple, dict[str, tuple[int, int]]] = {}
@@ -60,9 +61,12 @@ def build(rows: DataFrame, text: str, path: str) -> None:
     skip all others; a term of many rows has many partitions. Rows without a text are no documents.
     """
     known = rows.where(F.col(text).isNotNull()).select(F.col("id").cast("long"), TENANT, VISIBILITY, F.col(text).alias("text"))
-    made = known.mapInArrow(_postings, POSTINGS)
-    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
     spark = rows.sparkSession
+    known.mapInArrow(_postings, POSTINGS).write.parquet(f"{path}/made")  # ranges are sampled first: texts are tokenized once
+    made = spark.read.schema(POSTINGS).parquet(f"{path}/made")
+    made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    fs, where = shared.hadoop(spark, f"{path}/made")
+    fs.delete(where, True)
     stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     counts = stored.groupBy("term", TENANT, VISIBILITY).agg(F.count("*").alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("words"))
     counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
