@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import decimal
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -171,9 +172,67 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how:
         x, y = (declared[k].get(c) or _CLASS.get(types[k][c]) for k, c in enumerate((a, b)))
         if x is None or x != y or x in ("json", "jsonb"):
             raise EngineError("42804", f"{a} and {b} can't be compared as join keys")
+    if how == "full" and reproducible(left) and reproducible(right):
+        return _full(left, right, on)
     return left.join(right, reduce(lambda p, q: p & q, [left[a] == right[b] for a, b in on]), how)
 
 
+#: Left rows of a key that one task of a full join takes.
+DEALT = 4_096
+
+
+def reproducible(df: DataFrame) -> bool:
+    """Whether reading ``df`` twice gives the same rows: nothing random, no LIMIT, which may take any rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.deterministic() and not re.search(r"^\W*(Global|Local)Limit |^\W*(Offset|Sample|Tail) ", plan.toString(), re.MULTILINE)
+
+
+def _full(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], ids: Sequence[str] = (), first: int | None = None) -> DataFrame:
+    """A full join as a left join and the right rows without a match.
+
+    Spark's own holds all pairs of a key in memory at once; a left join holds the matches of a row. The left rows of a
+    key that has more than ``DEALT`` are dealt to several tasks by hash, and its right rows go to each of them. What is
+    broadcast is a row for each such key, a ``DEALT``-th of the left rows at most. ``ids``, ``first``: see
+    :func:`first_of_join`.
+    """
+    names = [*left.columns, *right.columns]
+    a = left.toDF(*[f"_l{n}" for n in range(len(left.columns))])
+    c = right.toDF(*[f"_r{n}" for n in range(len(right.columns))])
+    la, rc = ([side[columns.index(k)] for k in keys] for side, columns, keys in ((a.columns, left.columns, [x for x, _ in on]), (c.columns, right.columns, [y for _, y in on])))
+    some = a if first is None else _leading(a, [a.columns[left.columns.index(i)] for i in ids], first)
+    keys = [f"_k{n}" for n in range(len(on))]
+    known = reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in la])
+    parts = some.where(known).groupBy(*[F.col(x).alias(k) for x, k in zip(la, keys, strict=True)]).agg(F.ceil(F.count("*") / DEALT).cast("int").alias("_parts")).where("_parts > 1")
+    on_keys = lambda side: reduce(lambda p, q: p & q, [F.col(x) == F.col(k) for x, k in zip(side, keys, strict=True)])
+    row = F.xxhash64(*[x for x, t in a.dtypes if "map<" not in t and t not in ("variant", "void")] or [F.lit(0)])
+    dealt = some.join(F.broadcast(parts), on_keys(la), "left").withColumn("_part", F.pmod(row, F.when(known, F.coalesce("_parts", F.lit(1))).otherwise(DEALT)).cast("int"))
+    copied = c.join(F.broadcast(parts), on_keys(rc), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    equal = lambda: reduce(lambda p, q: p & q, [F.col(x) == F.col(y) for x, y in zip(la, rc, strict=True)])
+    pairs = dealt.select(*a.columns, "_part").join(copied.select(*c.columns, "_copy").hint("merge"), equal() & (F.col("_part") == F.col("_copy")), "left").select(*a.columns, *c.columns)
+    alone = c.join(a.select(*la).distinct(), equal(), "left_anti").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in a.schema.fields], *c.columns)
+    return pairs.union(alone).toDF(*names)
+
+
+def _leading(df: DataFrame, ids: Sequence[str], first: int) -> DataFrame:
+    """The rows up to the ``first``-th by ``ids``, nulls last, with all that tie with it."""
+    place = F.struct(*[F.struct(F.col(i).isNull().alias("null"), F.col(i).alias("id")) for i in ids])
+    edge = df.select(place.alias("_at")).orderBy("_at").limit(first).agg(F.max("_at").alias("_edge"))
+    return df.join(F.broadcast(edge), place <= F.col("_edge")).drop("_edge")
+
+
+def first_of_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str, ids: Sequence[str], first: int) -> DataFrame:
+    """A join of which only the ``first`` rows by the left side's ``ids`` and then the right side's are asked for.
+
+    In a left or full join every left row has a row, so that the first left rows are enough; other joins are made whole.
+    """
+    if how in ("left", "full") and reproducible(left) and reproducible(right):
+        if how == "left":
+            return join(_leading(left, ids, first), right, on, how)
+        join(left, right, on)  # refuses what can't be compared
+        return _full(left, right, on, ids, first)
+    return join(left, right, on, how)
+
+
 def in_subquery(df: DataFrame, column: str, inner: DataFrame, negate: bool = False) -> DataFrame:
     """``IN`` as a semi join. ``NOT IN``: all rows if the inner query is empty, none if it holds a null.
 

@@ -171,6 +171,16 @@ def test_join_types_and_sets(spark):
     assert code(lambda: R.set_op("union", a, b)) == "42804"
 
 
+def test_full_join_holds_no_key_whole(spark, monkeypatch):
+    monkeypatch.setattr(R, "DEALT", 2)
+    a = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, 5, "c"), (4, None, "d"), (6, 7, "f"), (None, 5, "h"), (3, 8, "i")], "id int, k int, x string")
+    b = spark.createDataFrame([(10, 5), (11, 5), (12, 9), (13, None), (14, 8)], "rid int, y int")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    joined = R.join(a, b, [("k", "y")], "full")
+    assert rows(joined) == rows(a.join(b, a.k == b.y, "full"))
+    assert "FullOuter" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dict_queries_refuse(spark):
     e = Engine.over(spark, DATA)
     assert code(lambda: e.query({"op": "scan", "table": "nation", "limit": 5, "filter": {"nope": 1}})) == "42703"
