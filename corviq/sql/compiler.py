@@ -283,7 +283,8 @@ class Compiler:
     def relation(self, name: str) -> DataFrame:
         return self.ctes[name] if name in self.ctes else self.engine.table(name)
 
-    def source(self, s: Select, keyed: bool = False) -> Env:
+    def source(self, s: Select, keyed: bool = False, asked: int | None = None) -> Env:
+        """The relations of a query, joined; ``asked``: so many rows in scan order are all that it asks for."""
         aliases = [r.alias for r in s.relations]
         if len(set(aliases)) < len(aliases):
             raise EngineError("42712", "a relation name is used twice")
@@ -301,7 +302,7 @@ class Compiler:
 
         df, own = named(first)
         env = Env(df, [own])
-        for r in s.relations[1:]:
+        for n, r in enumerate(s.relations[1:], 2):
             right, new = named(r)
             keys = []
             for a, b in r.on:
@@ -311,7 +312,11 @@ class Compiler:
                 if a[1] == r.alias or a[1] is None and a[2] in new[1] and not any(a[2] in c for _, c in env.scope):
                     a, b = b, a
                 keys.append((env.column(a[1], a[2]), there.column(b[1], b[2])))
-            env = Env(R.join(env.df, right, keys, r.how), [*env.scope, new])
+            ids = [i for _, cs in env.scope for c, i in cs.items() if c == "id"]
+            if asked is not None and n == len(s.relations) and len(ids) == n - 1:
+                env = Env(R.first_of_join(env.df, right, keys, r.how, ids, asked), [*env.scope, new])
+            else:
+                env = Env(R.join(env.df, right, keys, r.how), [*env.scope, new])
         return env
 
     def attach(self, node, env: Env):
@@ -367,7 +372,11 @@ class Compiler:
 
     def select(self, s: Select) -> DataFrame:
         search = s.plan is not None or len(s.order) == 1 and (s.order[0][0][:2] == ("op", "<=>") or s.order[0][0][0] == "call" and s.order[0][0][1] in ("hybrid_rrf", "hybrid"))
-        env = self.source(s, keyed=bool(search) and len(s.relations) == 1)
+        whole: list[tuple] = []  # what looks at all rows, though only some are asked for
+        for e, _ in s.items:
+            walk(e, lambda node: node[0] == "call" and node[1] in AGGREGATES | RANKS and not whole.append(node))
+        plain = not (whole or s.where or s.group or s.having or s.order or s.offset or s.distinct)
+        env = self.source(s, keyed=bool(search) and len(s.relations) == 1, asked=s.limit if plain else None)
         if search:
             return self.search(s, env)
         if s.mode or s.hint:

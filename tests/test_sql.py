@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corviq.operators import ann
 from corviq.operators import retrieval as V
@@ -72,6 +73,20 @@ def test_unordered_limit_stops_early(e):
     assert "Exchange" not in plan and "Sort" not in plan and "TakeOrdered" not in plan
 
 
+@pytest.mark.parametrize("how", ["FULL", "LEFT"])
+def test_first_rows_of_a_join(spark, how):
+    """Only left rows that can be among the first are joined; ties, unmatched and padded rows count."""
+    left = spark.createDataFrame([(1, 5), (2, 5), (2, 6), (2, 7), (3, None), (None, 5)], "id long, k int")
+    right = spark.createDataFrame([(10, 5), (11, 5), (12, 9), (9, 7)], "id long, y int")
+    e = Engine(lambda name: {"a": left, "b": right}[name].selectExpr("'t' AS _tenant_id", "'public' AS _visibility", "*"), Policy("t"))
+    whole = left.alias("a").join(right.alias("b"), F.expr("k = y"), how.lower()).selectExpr("a.id AS x", "b.id AS y").orderBy(*[F.col(c).asc_nulls_last() for c in "xy"]).collect()
+    for n in (1, 2, 3, 4, 5, 6, 8, 20):
+        out = e.sql(f"SELECT a.id AS x, b.id AS y FROM a {how} JOIN b ON a.k = b.y LIMIT {n}")
+        assert out.collect() == whole[:n]
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit") > 1
+    assert e.sql(f"SELECT COUNT(*) OVER () AS n FROM a {how} JOIN b ON a.k = b.y LIMIT 1").first()["n"] == len(whole)
+
+
 def test_nothing_is_cut_unasked(spark, e):
     """More groups and rows than any limit that a caller may give."""
     many = spark.range(25_000).selectExpr("id", "id as k")
