@@ -170,7 +170,7 @@ class Engine:
             return None
         if self.store is not None:
             parts = self.store._entry(table)["parts"]
-            paths = [f"{self.store.root}/_text/{table}/{p}/{body}-{sparse.FORMAT}" for p in parts]
+            paths = [f"{self.store.root}/_text/{table}/{self.store.label(table, p)}/{body}-{sparse.FORMAT}" for p in parts]
             for part, path in zip(parts, paths, strict=True):
                 if not shared.exists(self.spark, f"{path}/terms/_SUCCESS"):
                     shared.replace(self.spark, path, lambda at, p=part: sparse.build(self.store._read(table, [p]), body, at))

@@ -8,7 +8,7 @@ import re
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,11 @@ FEW = 10_000
 SYSTEM = T.StructType([T.StructField(TENANT, T.StringType()), T.StructField(VISIBILITY, T.StringType()), T.StructField("id", T.LongType())])
 
 
+def _part() -> Column:
+    """The part that a row is read from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1)
+
+
 def _ledger_name(key: str) -> str:
     digest = hashlib.sha256(key.encode()).hexdigest()
     return f"{digest[:3]}/{digest}"
@@ -30,7 +35,8 @@ class Store:
     """A folder of tables on storage that driver and executors share (any file system Spark can write).
 
     A table is a list of parts, each a folder of Parquet that never changes. An insert adds a part; changes and deletes
-    rewrite only the parts that hold rows they touch. Numbered catalog files say which parts are current: a commit writes
+    rewrite only the parts that hold rows they touch; ``ranges`` says between which ids a part's rows count (low, high],
+    if not all do. Numbered catalog files say which parts are current: a commit writes
     the catalog under a temporary name and renames it to the next number, which fails if another writer was first
     (40001). Readers keep the parts that they planned on. :meth:`compact` joins small parts. The ledger of operations is
     a folder with a small file each, which counts if the commit that it names was made; so a commit costs the same
@@ -127,6 +133,8 @@ class Store:
             part = uuid.uuid4().hex
             df.write.parquet(f"{self.root}/{name}/{part}")
             entry["parts"].append(part)
+        if ranges := {p: r for p, r in entry.pop("ranges", {}).items() if p in entry["parts"]}:
+            entry["ranges"] = ranges
         entry["generation"] = entry.get("generation", 0) + 1
         new["tables"][name] = entry
         if ledger:
@@ -138,7 +146,7 @@ class Store:
         parts = self._entry(name)["parts"]
         if len(parts) < 2:
             return parts, []
-        rows = self.raw(name).withColumn("_part", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1))
+        rows = self.raw(name).withColumn("_part", _part())
         rows = rows.where(hit) if isinstance(hit, Column) else rows.join(hit, list(on), "left_semi")
         found = {r[0] for r in rows.select("_part").distinct().collect()}
         return [p for p in parts if p in found], [p for p in parts if p not in found]
@@ -256,7 +264,17 @@ class Store:
         schema = T.StructType.fromJson(json.loads(self._entry(name)["schema"]))
         if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+        df = self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+        for part, (low, high) in self._entry(name).get("ranges", {}).items():
+            if part in parts:  # of which a partitioned change left some rows only
+                inside = (F.lit(True) if low is None else F.col("id") > low) & (F.lit(True) if high is None else F.col("id") <= high)
+                df = df.where((_part() != part) | F.coalesce(inside, F.lit(high is None)))
+        return df
+
+    def label(self, name: str, part: str) -> str:
+        """A name for the rows of a part that count."""
+        low, high = self._entry(name).get("ranges", {}).get(part, (None, None))
+        return part if low is None and high is None else f"{part}_{low}_{high}"
 
     def read(self, name: str, policy: Policy) -> DataFrame:
         return policy.read(self.raw(name))
@@ -391,17 +409,21 @@ class Store:
     def _change(self, name: str, hit: Column, values: dict[str, Column], claim: tuple[str, str] | None = None) -> DataFrame:
         """Sets columns where ``hit`` holds, in the parts that have such rows; returns the changed rows."""
         touched, keep = self._split(name, hit)
-        old = self._read(name, touched)
-        marked = old.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-        after = marked.select(*[F.when(F.col("_hit"), values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes], "_hit")
-        changed = after.where("_hit").drop("_hit")
+        after, changed = self._after(name, touched, hit, values)
         self._check(name, changed)
         entry = self._entry(name)
         if any(set(values) & set(columns) for columns in (entry["key"], *entry["unique"])):
-            self._check_unique(name, self._read(name, keep).unionByName(after.drop("_hit")))
-        self._publish(name, after.drop("_hit") if touched else None, claim, keep)
+            self._check_unique(name, self._read(name, keep).unionByName(after))
+        self._publish(name, after if touched else None, claim, keep)
         return changed
 
+    def _after(self, name: str, parts: Sequence[str], hit: Column, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+        """(all rows of ``parts`` with columns set where ``hit`` holds, only the changed ones)."""
+        old = self._read(name, parts)
+        marked = old.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+        after = marked.select(*[F.when(F.col("_hit"), values[c].cast(t)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c, t in old.dtypes], "_hit")
+        return after.drop("_hit"), after.where("_hit").drop("_hit")
+
     def update(self, name: str, policy: Policy, where: Column, values: dict[str, Column], operation: str | None) -> DataFrame:
         """Owned and visible rows for which ``where`` is true; returns them as they are now."""
 
@@ -431,31 +453,108 @@ class Store:
         """Removes all rows that the tenant owns."""
         self._guard(lambda: self._remove(name, policy.owned()))
 
-    def _chunks(self, name: str, policy: Policy, where: Column, chunk: int, cancelled, step) -> int:
-        """Chunks in id order, each a commit of its own; every row is met once, the predicate holds anew in each chunk."""
+    def _chunks(self, name: str, policy: Policy, where: Column, chunk: int, cancelled, values: dict[str, Column] | None) -> int:
+        """Chunks in id order, each a commit of its own; every row is met once, the predicate holds anew in each chunk.
+
+        What comes of a row depends on no other row, unless a rule looks at several of them. So the rows after all
+        chunks are written once, and a chunk's commit says up to which id they count; rules are checked on all chunks
+        before the first, on fewer and fewer if they refuse. Chunks that depend on each other are changed one by one.
+        """
         if self.staged is not None:
             raise EngineError("25001", "not inside a transaction")
-        cursor, done = -(1 << 63), 0
-        while True:
-            hit = where & policy.owned() & policy.visible() & (F.col("id") > cursor)
-            last, n = self.raw(name).where(hit).orderBy("id").limit(chunk).agg(F.max("id"), F.count("*")).first()
-            if last is None:
-                return done
-            if cancelled():
-                raise EngineError("VD002", f"cancelled after {done} rows")
-            try:
-                self._guard(lambda h=hit & (F.col("id") <= last): step(h))
-            except EngineError as e:
-                raise EngineError("VD001", f"ended after {done} rows: {e}") if done else e from None
-            cursor, done = last, done + n
+        mine, cursor, done = where & policy.owned() & policy.visible(), -(1 << 63), 0
+        while ends := self._ends(name, mine & (F.col("id") > cursor), chunk):
+            at, most = 0, len(ends) if self._independent(name, values) else 1
+            before, number = done, self.number
+            while at < len(ends) and self.number == number:
+                run = ends[at : at + most]
+                hit = mine & (F.col("id") > cursor) & (F.col("id") <= run[-1][0])
+                ready = None
+                try:
+                    if len(run) > 1:
+                        try:
+                            ready = self._prepared(name, hit, values)
+                        except EngineError:
+                            most = len(run) // 2
+                            continue
+                    for n, (last, upto) in enumerate(run, 1):
+                        if cancelled():
+                            raise EngineError("VD002", f"cancelled after {done} rows")
+                        if self.number != number:
+                            break  # this session wrote meanwhile: what was prepared may be old
+                        try:
+                            if ready is None:
+                                self._guard(lambda h=hit: self._remove(name, h) if values is None else self._change(name, h, values))
+                            else:
+                                self._guard(lambda e=last if n < len(run) else None, r=ready: self._advance(name, *r, e))
+                        except EngineError as e:
+                            raise EngineError("VD001", f"ended after {done} rows: {e}") if done else e from None
+                        cursor, done, at, number = last, before + upto, at + 1, number + 1
+                finally:
+                    if ready is not None and ready[2] not in self._entry(name)["parts"]:
+                        self._fs.delete(self._path(f"{self.root}/{name}/{ready[2]}"), True)
+            if at == len(ends) and self.number == number:
+                break
+        return done
+
+    def _ends(self, name: str, hit: Column, chunk: int) -> list[tuple[int, int]]:
+        """(last id, rows up to it) of each chunk of the rows that ``hit`` holds for; rows of one id are in one chunk.
+
+        The ids are sorted once, into a file a partition; a row's place is its file's and its place there.
+        """
+        path = f"{self.root}/_chunks-{uuid.uuid4().hex}"
+        self.raw(name).where(hit).select("id").orderBy("id").write.parquet(path)
+        ids = self.spark.read.schema("id long").parquet(path).select("id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        files = ids.groupBy("file").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        earlier = F.sum("n").over(Window.orderBy("least", "file").rowsBetween(Window.unboundedPreceding, -1))
+        files = files.select("file", F.coalesce(earlier, F.lit(0)).alias("earlier"), F.sum("n").over(Window.partitionBy()).alias("all"))
+        placed = ids.join(F.broadcast(files), "file").select("id", (F.col("earlier") + F.col("row") + 1).alias("place"), "all")
+        end = (F.col("place") % chunk == 0) | (F.col("place") == F.col("all"))
+        found = placed.groupBy("id").agg(F.max("place").alias("place"), F.max(end).alias("end")).where("end").collect()
+        self._fs.delete(self._path(path), True)
+        return sorted((r["id"], r["place"]) for r in found)
+
+    def _independent(self, name: str, values: dict[str, Column] | None) -> bool:
+        """Whether no rule makes what comes of a row depend on rows of other chunks, or on other tables' changes."""
+        entry = self._entry(name)
+        if values is None:
+            return not any(parent == name for e in self._state()["tables"].values() for _, parent, _, _ in e["foreign"])
+        return not any(set(values) & set(columns) for columns in (entry["key"], *entry["unique"])) and not any(parent == name for _, parent, _, _ in entry["foreign"])
+
+    def _prepared(self, name: str, hit: Column, values: dict[str, Column] | None) -> tuple[list[str], list[str], str]:
+        """(parts with rows that ``hit`` holds for, the others, a new part with the former's rows after the change)."""
+        touched, keep = self._split(name, hit)
+        if values is None:
+            after = self._read(name, touched).where(~F.coalesce(hit, F.lit(False)))
+        else:
+            after, changed = self._after(name, touched, hit, values)
+            self._check(name, changed)
+        part = uuid.uuid4().hex
+        after.write.parquet(f"{self.root}/{name}/{part}")
+        return touched, keep, part
+
+    def _advance(self, name: str, touched: Sequence[str], keep: Sequence[str], part: str, end: int | None) -> None:
+        """Up to the id ``end`` the rows of ``part`` count, from there on those of the parts ``touched``; None: no more."""
+        new = self._copy()
+        entry = new["tables"][name]
+        ranges = entry.pop("ranges", {})
+        ranges.pop(part, None)  # all of its rows count, once the last chunk is through
+        if end is not None:
+            ranges |= {p: [end if (low := ranges.get(p, [None, None])[0]) is None else max(low, end), ranges.get(p, [None, None])[1]] for p in touched} | {part: [None, end]}
+        some = [p for p in touched if end is not None and (ranges[p][1] is None or ranges[p][0] < ranges[p][1])]
+        entry["parts"] = [*keep, *some, part]
+        if kept := {p: r for p, r in ranges.items() if p in entry["parts"]}:
+            entry["ranges"] = kept
+        entry["generation"] = entry.get("generation", 0) + 1
+        self._put(new)
 
     def partitioned_update(self, name: str, policy: Policy, where: Column, values: dict[str, Column], operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
         """An update in chunks; sending it again after a stop goes on with the rows that still fit."""
-        return self._chunks(name, policy, where, chunk, cancelled, lambda hit: self._change(name, hit, values))
+        return self._chunks(name, policy, where, chunk, cancelled, values)
 
     def partitioned_delete(self, name: str, policy: Policy, where: Column, operation: str, chunk: int = 1000, cancelled=lambda: False) -> int:
         """A delete in chunks; sending it again after a stop goes on with the rest."""
-        return self._chunks(name, policy, where, chunk, cancelled, lambda hit: self._remove(name, hit))
+        return self._chunks(name, policy, where, chunk, cancelled, None)
 
     # -- constraints
 

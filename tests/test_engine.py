@@ -280,6 +280,43 @@ def test_store(spark, tmp_path):
     assert code(lambda: s.raw("c")) == "42P01"
 
 
+def test_chunks_are_written_once(spark, tmp_path):
+    """Each chunk is a commit that others see, but the rows are written once a statement, however many chunks it has."""
+    from pyspark.sql import types as T
+
+    s, a = Store(spark, str(tmp_path)), Policy("a")
+    s.create("t", T.StructType([T.StructField("n", T.IntegerType()), T.StructField("body", T.StringType())]), check=["n < 1000"])
+    s.load("t", a, spark.range(40).selectExpr("id", "id % 7 as n", "'old' as body"), "l1")
+    s.load("t", a, spark.range(40, 60).selectExpr("id", "id % 7 as n", "'old' as body"), "l2")
+    state = lambda x=s: {r["id"]: (r["n"], r["body"]) for r in x.read("t", a).collect()}
+    folders = lambda: {p.name for p in (tmp_path / "t").iterdir()}
+    first, seen = state(), []
+
+    def stop() -> bool:
+        seen.append(Store(spark, str(tmp_path)).number)
+        return len(seen) == 4
+
+    before, hits, number = folders(), [i for i in range(60) if i % 7 != 0], s.number
+    assert code(lambda: s.partitioned_update("t", a, F.col("n") > 0, {"n": F.col("n") + 100, "body": F.lit("new")}, "u", 5, stop)) == "VD002"
+    after = {i: (n + 100, "new") if i in hits[:15] else (n, b) for i, (n, b) in first.items()}
+    assert seen == [number + k for k in range(4)] and state() == state(Store(spark, str(tmp_path))) == after and len(folders() - before) == 1
+    e = Engine.on(s, a)
+    assert e.bm25("t", "body", "new").count() == 15 and e.bm25("t", "body", "old").count() == 45
+    s.update("t", a, F.col("id") == 59, {"body": F.lit("last")}, "one")
+    after[59] = (after[59][0], "last")
+    assert state() == after
+    assert s.partitioned_update("t", a, (F.col("n") > 0) & (F.col("n") < 100), {"n": F.col("n") + 100, "body": F.lit("new")}, "u", 5) == len(hits) - 15
+    after = {i: (n + 100, "new") if i in hits else (n, b) for i, (n, b) in first.items()}
+    assert state() == after and e.bm25("t", "body", "new").count() == len(hits)
+    # the rule refuses id 30 only: the chunks before it stay
+    assert code(lambda: s.partitioned_update("t", a, F.col("id") >= 0, {"n": F.when(F.col("id") == 30, 5000).otherwise(1)}, "v", 4)) == "VD001"
+    after = {i: (1, b) if i < 28 else (n, b) for i, (n, b) in after.items()}
+    assert state() == after
+    assert s.partitioned_delete("t", a, F.col("id") % 2 == 0, "d", 3) == 30
+    assert state() == {i: v for i, v in after.items() if i % 2}
+    assert s.partitioned_delete("t", a, F.col("id") % 2 == 0, "d", 3) == 0
+
+
 def test_load(spark, tmp_path):
     """Rows of a DataFrame: one part, defaults, the ledger, and nothing left behind by a load that is refused."""
     from pyspark.sql import types as T
