@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from corviq.operators.batches import bound_batches, by_bytes  # noqa: F401  the operators take the first from here
 from corviq.sources import shared
 
 
@@ -102,30 +102,14 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def bound_batches(df: DataFrame, most: int = 4 << 20) -> None:
-    """From here on the session hands batches of about ``most`` bytes to Python workers, unless it was set to less than
-    the default of 64 MB; a worker holds several copies of a batch, and so does the executor."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    if int(conf.get(key, str(64 << 20)).rstrip("b")) >= 64 << 20:
-        conf.set(key, str(most))
-
-
 def rows_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of column ``name`` take up to ``most`` bytes each (one longer text by itself)."""
+    """:func:`by_bytes` of a column by its name."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(name))
-        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, n = 0, batch.num_rows
-        while at < n:
-            before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(at, stop - at)
-            at = stop
+        yield from by_bytes([batch], batch.schema.get_field_index(name), most)
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

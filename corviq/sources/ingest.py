@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corviq.errors import EngineError
+from corviq.operators.batches import bound_batches, by_bytes
 
 WINDOW, SECTION = 60, 600
 MAX_INPUT = 16 << 20
@@ -73,11 +74,12 @@ def markdown_chunks(text: str) -> list[tuple[int, int, str]]:
 
 def chunk_markdown(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             rows = [(i, k, *c) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, c in enumerate(markdown_chunks(t or ""))]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.record_batch([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], [id_col, "chunk", "start_line", "end_line", "body"])
 
+    bound_batches(df)
     return df.select(F.col(id_col).cast("long"), text).mapInArrow(run, f"{id_col} long, chunk int, start_line int, end_line int, body string")
 
 

@@ -164,6 +164,44 @@ def test_postings_give_the_same_scores(spark, tmp_path):
             assert got == want, (q, some)
 
 
+def test_python_batches_are_bounded():
+    """However many rows an Arrow batch has, what an operator makes of them at once stays small."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corviq.operators import ann, sparse
+
+    n = 5_000
+    texts = pa.array(["# one\n" + "word other word \n" * 60] * n)
+    ids, blank = pa.array(np.arange(n)), pa.array(["x"] * n)
+    made = list(sparse._postings(iter([pa.record_batch([ids, blank, blank, texts], ["id", "a", "b", "text"])])))
+    assert len(made) > 1 and sum(b.num_rows for b in made) == 4 * n and max(b.num_rows for b in made) < 5_000
+    assert {(r["term"], r["tf"], r["dl"]) for r in made[-1].to_pylist()} == {("one", 1, 181), ("word", 120, 181), ("other", 60, 181), ("", 0, 181)}
+    counted = list(V._term_counts(iter([pa.record_batch([ids, texts], ["id", "text"])]), ["word"]))
+    assert len(counted) > 1 and sum(b.num_rows for b in counted) == n and {r["tf0"] for b in counted for r in b.to_pylist()} == {120}
+    coarse = ann.Coarse(np.random.default_rng(1).normal(size=(2000, 16)))
+    x = np.random.default_rng(2).normal(size=(n, 16))
+    queries = pa.record_batch([ids, pa.array(list(x))], ["qid", "q"])
+    tracemalloc.start()
+    near, probed = coarse.nearest(x)[:, 0], [b.num_rows for b in ann._probed(iter([queries]), coarse, 500)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all distances are 80 MB, and three such arrays were held
+    assert sum(probed) == 500 * n and max(probed) * 16 <= 1 << 20
+    assert [((v - coarse.centroids) ** 2).sum(axis=1).argmin() for v in x[::500]] == near[::500].tolist()
+
+
+def test_markdown_chunks_in_small_batches(spark):
+    """A batch of many texts is chunked a few at a time, and its rows go on before the next are made."""
+    texts = spark.range(3_000).selectExpr("id", "concat('# a\n', repeat('some words here ', 60), '\n\n# b\nend') AS text").coalesce(1)
+    out = ingest.chunk_markdown(texts, "id")
+    sizes = out.mapInArrow(lambda it: it, out.schema).groupBy("chunk").count()
+    assert {r["chunk"]: r["count"] for r in sizes.collect()} == {0: 3_000, 1: 3_000}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
 def test_join_types_and_sets(spark):
     a, b = spark.createDataFrame([(1, 1.0)], "k int, f double"), spark.createDataFrame([(1, "1")], "k long, s string")
     assert R.join(a.withColumnRenamed("k", "l"), b, [("l", "k")]).count() == 1
