@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corviq.errors import EngineError
+from corviq.operators.batches import CELLS, by_rows
 from corviq.operators.retrieval import TILE, _best, _tile, batch_knn, matrix
 
 SAMPLE = 50_000  # rows at most from which centroids are fitted; every row is indexed
@@ -28,14 +29,21 @@ class Coarse:
 
     def nearest(self, x: np.ndarray, n: int = 1) -> np.ndarray:
         """The ``n`` nearest lists of each row, by Euclidean distance, ties by number."""
-        away = (self.centroids**2).sum(axis=1)[None, :] - 2 * (x @ self.centroids.T)
-        if n == 1:
-            return away.argmin(axis=1)[:, None]
-        return np.argsort(away, axis=1, kind="stable")[:, :n]
+        square = (self.centroids**2).sum(axis=1)[None, :]
+        return self._first(x, n, lambda some: square - 2 * (some @ self.centroids.T))
 
     def probes(self, queries: np.ndarray, n: int) -> np.ndarray:
         """The lists whose centroids have the largest inner products with each query."""
-        return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")[:, :n]
+        return self._first(queries, n, lambda some: -(some @ self.centroids.T))
+
+    def _first(self, x: np.ndarray, n: int, away: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The ``n`` lists that are least away from each row, ``CELLS`` distances at a time."""
+        n = min(n, len(self.centroids))
+        out, step = np.empty((len(x), n), np.int64), max(1, CELLS // len(self.centroids))
+        for at in range(0, len(x), step):
+            far = away(x[at : at + step])
+            out[at : at + step] = far.argmin(axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
+        return out
 
 
 def fit(df: DataFrame, lists: int | None = None, vector: str = "embedding", seed: int = 7) -> Coarse:
@@ -89,9 +97,7 @@ def search(index: DataFrame, coarse: Coarse, queries: Mapping[int, Sequence[floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_id = [np.empty(0, np.int64) for _ in ids]
         best = [np.empty(0) for _ in ids]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in by_rows(batches, len(ids)):
             who, where = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
             scores = matrix @ x.T
@@ -109,6 +115,14 @@ def search(index: DataFrame, coarse: Coarse, queries: Mapping[int, Sequence[floa
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _probed(batches: Iterator[pa.RecordBatch], coarse: Coarse, probes: int) -> Iterator[pa.RecordBatch]:
+    """Queries (qid, q) once for each list that they probe; so many at a time that their copies stay small."""
+    for batch in by_rows(batches, min(probes, len(coarse.centroids)) * coarse.centroids.shape[1]):
+        chosen = coarse.probes(matrix(batch.column(1)), probes)
+        at = pa.array(np.repeat(np.arange(batch.num_rows), chosen.shape[1]))
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(chosen.ravel().astype(np.int32))], ["qid", "q", "list"])
+
+
 def search_join(index: DataFrame, coarse: Coarse, queries: DataFrame, k: int, probes: int = 8, vector: str = "embedding", rows: int = TILE) -> DataFrame:
     """(qid, id, score, rank) for each row (id, vector) of ``queries``, of any number: queries meet the lists they probe.
 
@@ -116,14 +130,8 @@ def search_join(index: DataFrame, coarse: Coarse, queries: DataFrame, k: int, pr
     list is too large for a task.
     """
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chosen = coarse.probes(matrix(batch.column(1)), probes) if batch.num_rows else np.empty((0, 1), int)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), chosen.shape[1]))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(chosen.ravel().astype(np.int32))], ["qid", "q", "list"])
-
     asked = queries.where(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("qid"), F.col(vector).cast("array<double>").alias("q"))
-    asked = asked.mapInArrow(probed, "qid long, q array<double>, list int")
+    asked = asked.mapInArrow(lambda it: _probed(it, coarse, probes), "qid long, q array<double>, list int")
     parts = F.broadcast(index.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")))  # as many rows as lists
     left = index.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.col("embedding").alias("v"))
     right = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "q")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from corviq.errors import EngineError
 from corviq.functions import scalar
+from corviq.operators.batches import CELLS, bound_batches, by_bytes, by_rows
 
 MAX_K = 10_000
 CODE, F16_MAX = 127, 65504.0
@@ -88,7 +89,7 @@ def batch_knn(df: DataFrame, queries: Mapping[int, Sequence[float]], k: int, vec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partition-local winners of each query: those kept so far compete with a batch's."""
         best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
-        for batch in batches:
+        for batch in by_rows(batches, len(ids)):
             if batch.num_rows:
                 who, x = batch.column(0).to_numpy(), matrix(batch.column(1))
                 for n, (q, score) in enumerate(zip(asked, asked @ x.T, strict=True)):
@@ -177,7 +178,7 @@ def _tile(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     if left.num_rows and right.num_rows:
         ids, x = left.column("id").to_numpy(), matrix(left.column("v"))
         qids, queries = right.column("qid").to_numpy(), matrix(right.column("q"))
-        step = max(1, (8 << 20) // len(ids))
+        step = max(1, CELLS // len(ids))
         for at in range(0, len(qids), step):
             for qid, q, score in zip(qids[at : at + step], queries[at : at + step], queries[at : at + step] @ x.T, strict=True):
                 rows, exact = best_of(score, x, q, ids, k)
@@ -271,7 +272,7 @@ def query_terms(text: str) -> list[str]:
 
 def _term_counts(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
     words = [(n, rf"\b{t}\b") for n, t in enumerate(terms) if WORD.fullmatch(t)]
-    for batch in batches:
+    for batch in by_bytes(batches, 1):
         low = pc.utf8_lower(batch.column(1))
         size = pc.count_substring_regex(low, WORD.pattern).to_numpy(zero_copy_only=False).astype(np.int32)
         counts = np.zeros((len(terms), len(low)), np.int32)
@@ -294,6 +295,7 @@ def term_counts(docs: DataFrame, terms: list[str], text: str = "text") -> DataFr
     kind = kind if kind.startswith("struct") else "bigint"  # rows of several tenants are keyed by id and tenant
     schema = ", ".join([f"id {kind}", "dl int", *(f"tf{n} int" for n in range(len(terms)))])
     known = docs.where(F.col(text).isNotNull()).select(F.col("id").cast(kind).alias("id"), text)  # rows without a text are no documents
+    bound_batches(docs)
     return known.mapInArrow(lambda it: _term_counts(it, terms), schema)
 
 
@@ -420,7 +422,11 @@ def cross_encoder(score, batch: int = 256, text: str = "text"):
             texts = [t or "" for t in s]
             return pd.Series([float(x) for at in range(0, len(texts), batch) for x in score(query, texts[at : at + batch])], index=s.index)
 
-        return lambda hits: hits.withColumn("score", scores(F.col(text)))
+        def rank(hits: DataFrame) -> DataFrame:
+            bound_batches(hits)
+            return hits.withColumn("score", scores(F.col(text)))
+
+        return rank
 
     return of
 

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corviq.operators.batches import bound_batches, by_bytes
 from corviq.operators.retrieval import RUN, WORD, bm25_score, query_terms, token_list
 from corviq.policy import TENANT, VISIBILITY, Policy
 from corviq.sources import shared
@@ -25,7 +26,7 @@ TERMS = f"term string, {TENANT} string, {VISIBILITY} string, n long, words long"
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms with their counts, and for each row the empty term of count 0, which has its length."""
-    for batch in batches:
+    for batch in by_bytes(batches, 3):
         low = pc.utf8_lower(batch.column(3))
         rows, terms = [], []
         odd = np.flatnonzero(pc.match_substring_regex(low, RUN.pattern).to_numpy(zero_copy_only=False))
@@ -62,6 +63,7 @@ def build(rows: DataFrame, text: str, path: str) -> None:
     """
     known = rows.where(F.col(text).isNotNull()).select(F.col("id").cast("long"), TENANT, VISIBILITY, F.col(text).alias("text"))
     spark = rows.sparkSession
+    bound_batches(rows)
     known.mapInArrow(_postings, POSTINGS).write.parquet(f"{path}/made")  # ranges are sampled first: texts are tokenized once
     made = spark.read.schema(POSTINGS).parquet(f"{path}/made")
     made.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
