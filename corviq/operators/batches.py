@@ -17,9 +17,10 @@ def bound_batches(df: DataFrame, most: int = 4 << 20) -> None:
     """From here on the session hands batches of about ``most`` bytes to Python workers, unless it was set to less than
     the default of 64 MB; a worker holds several copies of a batch, and so does the executor."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    if int(conf.get(key, str(64 << 20)).rstrip("b")) >= 64 << 20:
-        conf.set(key, str(most))
+    spark = df.sparkSession
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))  # it may have a unit
+    if size >= 64 << 20:
+        spark.conf.set(key, str(most))
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:

@@ -193,6 +193,26 @@ def test_python_batches_are_bounded():
     assert [((v - coarse.centroids) ** 2).sum(axis=1).argmin() for v in x[::500]] == near[::500].tolist()
 
 
+def test_text_searches_in_small_batches(spark, tmp_path):
+    """The session's bound may have a unit; postings come out of batches of 4 MB, or less where the session asks for less."""
+    from corviq.operators import sparse
+
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(8_000).selectExpr("id", "'a' AS _tenant_id", "'public' AS _visibility", "repeat('word other word ', 100) AS text").coalesce(1)
+    try:
+        for given, most in (("128MB", 4 << 20), ("67108864b", 4 << 20), ("2m", 2 << 20)):
+            spark.conf.set(key, given)
+            sparse.build(texts, "text", str(tmp_path / given))
+            sizes = texts.select("text").mapInArrow(lambda it: (b.from_pydict({"n": [b.nbytes]}) for b in it), "n long").collect()
+            assert most // 2 < max(r["n"] for r in sizes) < most + (64 << 10) and len(sizes) > 2, given
+            found = sparse.TextIndex(spark, (str(tmp_path / given),)).bm25(Policy("a"), "word", texts.where("id < 50"))
+            assert found.count() == 50
+        spark.conf.set(key, "64m")
+        assert V.bm25(texts, "word").count() == 8_000 and spark.conf.get(key) == str(4 << 20)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_markdown_chunks_in_small_batches(spark):
     """A batch of many texts is chunked a few at a time, and its rows go on before the next are made."""
     texts = spark.range(3_000).selectExpr("id", "concat('# a\n', repeat('some words here ', 60), '\n\n# b\nend') AS text").coalesce(1)
