@@ -10,7 +10,7 @@ from corviq.plans.engine import Engine
 from corviq.policy import Policy
 from corviq.sources import ingest
 from corviq.sources.store import Store
-from tests.conftest import DATA
+from tests.conftest import DATA, same
 
 
 def one(spark, column):
@@ -213,6 +213,23 @@ def test_text_searches_in_small_batches(spark, tmp_path):
         spark.conf.set(key, before)
 
 
+def test_reranking_bounds_batches_of_any_session(spark, duck, tmp_path):
+    """The postings of new files are built in batches of 4 MB, in whatever unit the session gives its own bound."""
+    import shutil
+
+    from corviq import queries
+
+    for table in ("documents", "embeddings"):
+        shutil.copy(f"{DATA}/{table}.parquet", tmp_path)  # new files: nothing is kept of them
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set(key, "64m")
+        same(duck, queries.SQL["r3_rerank"], queries.QUERIES["r3_rerank"](spark, str(tmp_path)))
+        assert spark.conf.get(key) == str(4 << 20)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_markdown_chunks_in_small_batches(spark):
     """A batch of many texts is chunked a few at a time, and its rows go on before the next are made."""
     texts = spark.range(3_000).selectExpr("id", "concat('# a\n', repeat('some words here ', 60), '\n\n# b\nend') AS text").coalesce(1)
