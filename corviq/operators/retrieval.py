@@ -442,9 +442,11 @@ def boost_ids(hits: DataFrame, ids: DataFrame, amount: float, most: float = 1.0)
 def rerank_lexical(hits: DataFrame, query: str, text: str = "text", k: int = 60, fused: float = 3.0, lexical: float = 1.0) -> DataFrame:
     """``hits`` (id, score, text) by fused / (k + rank) + lexical / (k + rank of shared terms), group-end ranks.
 
-    ``hits`` is a pool with at most ``MAX_K`` distinct scores.
+    ``hits`` is a pool with at most ``MAX_K`` distinct scores. A hit without a text shares no terms. Their number is never
+    null: else Spark infers a filter on it for the join below and tokenizes whatever the texts are joined from.
     """
     shared = F.size(F.array_intersect(F.array_distinct(tokens(F.col(text))), F.array(*[F.lit(t) for t in query_terms(query)]).cast("array<string>")))
+    shared = F.coalesce(shared, F.lit(0))
 
     marked = hits.withColumn("_o", shared)
     by_score, by_words = (group_ends(marked, c, MAX_K) for c in ("score", "_o"))

@@ -230,6 +230,20 @@ def test_reranking_bounds_batches_of_any_session(spark, duck, tmp_path):
         spark.conf.set(key, before)
 
 
+def test_reranking_tokenizes_its_hits_only(spark, duck):
+    """A hit without a text stays, with no shared terms; no filter tokenizes the texts of all other rows."""
+    from corviq import queries
+
+    hits = spark.createDataFrame([(1, 0.5, "a red fox"), (2, 0.4, None), (3, 0.3, "blue"), (4, 0.3, "")], "id long, score double, text string")
+    got = {r["id"]: r["score"] for r in V.rerank_lexical(hits, "red blue").collect()}
+    assert got == pytest.approx({1: 3 / 61 + 1 / 62, 2: 3 / 62 + 1 / 64, 3: 3 / 64 + 1 / 62, 4: 3 / 64 + 1 / 64})
+    df = queries.QUERIES["r3_rerank"](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("regexp_extract_all" in line for line in plan)
+    assert not any("Filter" in line and "regexp_extract_all" in line for line in plan)
+    same(duck, queries.SQL["r3_rerank"], df)
+
+
 def test_markdown_chunks_in_small_batches(spark):
     """A batch of many texts is chunked a few at a time, and its rows go on before the next are made."""
     texts = spark.range(3_000).selectExpr("id", "concat('# a\n', repeat('some words here ', 60), '\n\n# b\nend') AS text").coalesce(1)
